@@ -5,10 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import tables
+from .decontaminate import contamination
 from .mixing import mix_sources
+from .pii import BASE, find_pii, joined
 from .quality import quality_rules
+from .simhash import near_duplicates
+
+
+def op4_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = find_pii(tables(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda x: x["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
+    return d.select("doc_id", *counts, F.sha2(joined(F.col("spans"), BASE), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +30,20 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = near_duplicates(tables(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = contamination(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    d = d.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return d.withColumn("contaminated", F.col("n_hit") > 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_mix_sources, op7_quality_rules]
+    found = [op4_find_pii, op6_mix_sources, op7_quality_rules, op8_simhash_near_dedup, op10_decontaminate]
     return {f.__name__: f for f in found}
 
 
