@@ -17,6 +17,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,7 +163,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[
     """Slices of at most `most` bytes of text, or one row."""
     for b in batches:
         texts = b.column("_x")
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(texts), np.int64))
+        ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
         at = 0
         while at < len(texts):
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
