@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import tables
 from .decontaminate import contamination
+from .editcount import apply_edits, build_trees
 from .mixing import mix_sources
 from .pii import BASE, find_pii, joined
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .tokenids import token_ids
 
 
 def op4_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op4_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *counts, F.sha2(joined(F.col("spans"), BASE), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(tables(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(tables(spark, sf_dir, "documents")).drop("source")
 
@@ -35,6 +41,23 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def revision(trees: DataFrame) -> DataFrame:
+    """The query's edits: for every document an insertion, a deletion and a replacement at hashed places."""
+    n = F.char_length("text").cast("long")
+
+    def edit(seed: int, length: int, new: str):
+        start = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), n + 1)
+        return F.struct(start.alias("start"), (start + length).alias("end"), F.lit(new).alias("text"))
+
+    return trees.withColumn("edits", F.array(edit(1, 0, " an added remark,"), edit(2, 40, ""), edit(3, 5, "word")))
+
+
+def op9_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after the revision, and how many leaves were encoded again."""
+    before = build_trees(tables(spark, sf_dir, "documents"))
+    return apply_edits(revision(before)).select("doc_id", "n_tokens", F.char_length("text").cast("long").alias("n_chars"), "n_edits", "n_leaves", "n_encoded")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = contamination(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
@@ -43,7 +66,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_find_pii, op6_mix_sources, op7_quality_rules, op8_simhash_near_dedup, op10_decontaminate]
+    found = [op4_find_pii, op5_token_ids, op6_mix_sources, op7_quality_rules, op8_simhash_near_dedup, op9_edit_aware_counts, op10_decontaminate]
     return {f.__name__: f for f in found}
 
 
