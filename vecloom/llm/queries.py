@@ -11,6 +11,7 @@ from .common import tables
 from .decontaminate import contamination
 from .editcount import apply_edits, build_trees
 from .html import extract_main_text
+from .lmscore import score_documents
 from .mixing import mix_sources
 from .pii import BASE, find_pii, joined
 from .quality import quality_rules
@@ -18,6 +19,10 @@ from .simhash import near_duplicates
 from .tokenids import token_ids
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(tables(spark, sf_dir, "documents"))
+
+
 def op3_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = extract_main_text(tables(spark, sf_dir, "pages"))
     return d.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -72,7 +77,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_extract_html, op4_find_pii, op5_token_ids, op6_mix_sources, op7_quality_rules, op8_simhash_near_dedup, op9_edit_aware_counts, op10_decontaminate]
+    found = [op1_lm_score, op3_extract_html, op4_find_pii, op5_token_ids, op6_mix_sources, op7_quality_rules, op8_simhash_near_dedup, op9_edit_aware_counts, op10_decontaminate]
     return {f.__name__: f for f in found}
 
 
