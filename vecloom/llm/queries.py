@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tables
+from .common import stored, tables
 from .decontaminate import contamination
 from .editcount import apply_edits, build_trees
 from .html import extract_main_text
@@ -16,6 +16,7 @@ from .mixing import mix_sources
 from .pii import BASE, find_pii, joined
 from .quality import quality_rules
 from .simhash import near_duplicates
+from .substrings import dedup_substrings
 from .tokenids import token_ids
 
 
@@ -23,6 +24,14 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(tables(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = None
+    for part in dedup_substrings(tables(spark, sf_dir, "documents")):
+        part = stored(part.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256")), "kept")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def op3_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = extract_main_text(tables(spark, sf_dir, "pages"))
     return d.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -77,7 +86,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_lm_score, op3_extract_html, op4_find_pii, op5_token_ids, op6_mix_sources, op7_quality_rules, op8_simhash_near_dedup, op9_edit_aware_counts, op10_decontaminate]
+    found = [op1_lm_score, op2_substring_dedup, op3_extract_html, op4_find_pii, op5_token_ids, op6_mix_sources, op7_quality_rules, op8_simhash_near_dedup, op9_edit_aware_counts, op10_decontaminate]
     return {f.__name__: f for f in found}
 
 
