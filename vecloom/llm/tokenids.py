@@ -13,6 +13,7 @@ SELECT-th one bit), ids.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,24 @@ MAGIC, HEAD = b"VLTOKEN1", struct.Struct("<8s8I")
 #: Ids after which a segment closes, and one bits between select samples.
 SEGMENT, SELECT = 1 << 20, 256
 #: Words whose ids a worker remembers; a cache only, results don't depend on it.
-CACHE = 300_000
+CACHE = 200_000
+#: crc32 of the normalizer and pre-tokenizer of vocabularies whose cuts WordEncoder knows.
+_LATIN_RULES = 0xc78c5cde
+#: Letters whose lower case is one letter and which no normal form changes; digits; marks but ' and those of special tokens.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0137\u0139-\u0148\u014c-\u017e"
+_MARKS = r"!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~"
+_LATIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
+_CUT = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
+
+
+def _byte_chars() -> dict[int, int]:
+    """The characters that byte-level vocabularies write for bytes: printable Latin-1 for itself, others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + n for n, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 
 class EliasFano:
@@ -118,34 +136,64 @@ class WordEncoder:
     """Ids of texts by the tokenizers library, word by word.
 
     The vocabulary's rules drop white space and never join what stands on both its sides, so the ids of a text are those
-    of its words in a row, and words seen lately need not be encoded again.
+    of its words in a row, and words seen before need not be encoded again. A word of plain Latin letters, digits and
+    punctuation is cut where the vocabulary's rules cut it (runs of letters, single digits, runs of marks) and its
+    pieces go to the library's model; any other word, and any word for a vocabulary with other rules, goes through the
+    library's whole pipeline.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        with open(path, encoding="utf-8") as f:
+            rules = {k: v for k, v in json.load(f).items() if k in ("normalizer", "pre_tokenizer")}
+        self.plain = zlib.crc32(json.dumps(rules, sort_keys=True).encode()) == _LATIN_RULES
+        self.model = self.tokenizer.model
+        # words seen at least twice, words seen lately, pieces of words
         self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, p: str) -> bytes:
+        ids = self.pieces.get(p)
+        if ids is None:
+            text = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+            if len(self.pieces) >= self.cache // 2:
+                self.pieces.clear()
+            self.pieces[p] = ids
+        return ids
+
+    def word(self, w: bytes) -> bytes:
+        ids = self.young.get(w)
+        if ids is not None:
+            if len(self.known) < self.cache:
+                self.known[w] = ids
+            return ids
+        s = w.decode("utf-8", "replace")
+        if self.plain and _LATIN.fullmatch(s):
+            ids = b"".join(map(self._piece, _CUT.findall(s.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.young) >= self.cache // 2:
+            self.young.clear()
+        self.young[w] = ids
+        return ids
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian uint32 ids."""
-        words, known = text.split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > self.cache:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        words = text.split()
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            for k, p in enumerate(parts):
+                if p is None:
+                    parts[k] = self.word(words[k])
+        return b"".join(parts)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
