@@ -172,7 +172,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[
             at = upto
 
 
-def _block_of(spark, wins: DataFrame, docs: DataFrame, k: int, blocks: int):
+def _block_of(spark, wins: DataFrame, texts: DataFrame, k: int, blocks: int):
     part = wins if blocks == 1 else wins.where(F.pmod(F.xxhash64("item_id", "win"), F.lit(blocks)) == k)
     rows = [(r.item_id, r.win) for r in part.collect()]  # at most about BLOCK rows
     if not rows:
@@ -191,7 +191,7 @@ def _block_of(spark, wins: DataFrame, docs: DataFrame, k: int, blocks: int):
             some = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n)), pa.array(some), pa.array(c[some])], names=["k", "at", "n"])
 
-    seen = docs.select(text_bytes().alias("_x")).mapInArrow(count, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
+    seen = texts.mapInArrow(count, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
     counts = {n: np.zeros(len(s), np.int64) for n, s in block.shingles.items()}
     for r in seen.collect():  # one row a shingle of the block
         counts[r.k][r.at] = r.n
@@ -219,18 +219,11 @@ def _hits(sent, texts: list[bytes]):
     return starts, begin, end, owner, items
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_rows: int = BLOCK) -> DataFrame:
-    """What benchmark items each row of docs contains.
-
-    Returns doc_id, n_words long, hit_spans array<struct<start,end>> (word positions, end exclusive, merged and in
-    order), items array<string> (ids of items with an occurring window, sorted as strings).
-
-    Null text, of a document or an item, has no words. Items without words match nothing. Rows with equal item_id count
-    as one item; windows of items without an id mark words, but no item is listed for them. Each row of docs, repeated
-    ones and null ids too, gives one row. An empty table on either side works. Extra columns aren't read.
-    """
+def _scanned(docs: DataFrame, carry: Column, benchmark: DataFrame, window: int, block_rows: int) -> DataFrame:
+    """Rows (row: what `carry` is, n_words, hit_spans, items); see contamination."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    carried = docs.select(carry.alias("row"), text_bytes().alias("_x"))
+    kind = carried.schema["row"].dataType.simpleString()
     wins = stored(windows(benchmark, window), "windows")
     total = wins.count()
     blocks = -(-total // block_rows)
@@ -255,18 +248,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         return run
 
     if blocks <= 1:
-        sent = _block_of(spark, wins, docs, 0, 1) if total else None
-        return docs.select("doc_id", text_bytes().alias("_x")).mapInArrow(results(sent, "doc_id"), f"doc_id {kind}, {tail}")
+        sent = _block_of(spark, wins, carried.select("_x"), 0, 1) if total else None
+        return carried.mapInArrow(results(sent, "row"), f"row {kind}, {tail}")
     # several blocks: rows get a key that lasts, and each block's findings are merged by it
-    keyed = stored(docs.select(F.monotonically_increasing_id().alias("_key"), "doc_id", text_bytes().alias("text")), "keyed")
+    keyed = stored(carried.withColumn("_key", F.monotonically_increasing_id()), "keyed")
     found = None
     for k in range(blocks):
-        sent = _block_of(spark, wins, keyed, k, blocks)
-        one = keyed.select("_key", F.col("text").alias("_x")).mapInArrow(results(sent, "_key"), f"_key long, {tail}")
+        sent = _block_of(spark, wins, keyed.select("_x"), k, blocks)
+        one = keyed.select("_key", "_x").mapInArrow(results(sent, "_key"), f"_key long, {tail}")
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy("_key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # overlapping or touching spans of different blocks become one
     empty = F.array().cast("array<struct<start:long,end:long>>")
     joined = F.aggregate("_s", empty, lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] >= x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x))))
-    return keyed.select("_key", "doc_id").join(merged, "_key").select("doc_id", "n_words", joined.alias("hit_spans"), "items")
+    return keyed.select("_key", "row").join(merged, "_key").select("row", "n_words", joined.alias("hit_spans"), "items")
+
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_rows: int = BLOCK) -> DataFrame:
+    """What benchmark items each row of docs contains.
+
+    Returns doc_id, n_words long, hit_spans array<struct<start,end>> (word positions, end exclusive, merged and in
+    order), items array<string> (ids of items with an occurring window, sorted as strings).
+
+    Null text, of a document or an item, has no words. Items without words match nothing. Rows with equal item_id count
+    as one item; windows of items without an id mark words, but no item is listed for them. Each row of docs, repeated
+    ones and null ids too, gives one row. An empty table on either side works. Extra columns aren't read.
+    """
+    return _scanned(docs, F.col("doc_id"), benchmark, window, block_rows).withColumnRenamed("row", "doc_id")
+
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_rows: int = BLOCK) -> DataFrame:
+    """The rows of docs that no benchmark window occurs in, with all their columns."""
+    return _scanned(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), benchmark, window, block_rows).where(F.size("hit_spans") == 0).select("row.*")

@@ -48,16 +48,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return d.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
-    """How much of each row of docs the mix takes: doc_id, source, size, source_size, target, taken.
+def _hash(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))), 64 - _HASH_BITS)
 
-    size: words of the text, 0 for null. taken: size times the number of times that the row is taken, 0 to cap. Rows
-    with the same doc_id and text share a hash and so a fate. Null ids and sources are values like any other. Sources
-    without words have target 0 and take nothing. An empty table gives no rows. Extra columns aren't read.
-    """
-    # built once: the later passes read only numbers
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))), 64 - _HASH_BITS)
-    d = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), h.alias("_h")), "mix")
+
+def _measured(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _hash(seed).alias("_h"))
+
+
+def mix_plan(d: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_REPEATS) -> DataFrame:
+    """(_s, source_size, target, _repeats, _prefix) of each source of d (source, size, _h): a row is taken _repeats
+    times, and once more if its hash lies below _prefix."""
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     # a source's plan: whole repeats, what is left for the part, and the bucket being refined
     plan = source_targets(sizes, weights, cap)
@@ -69,10 +70,32 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
         plan = _refined(d, plan, level)
         if not plan.where("_open").limit(1).count():
             break
-    limits = plan.select(F.col("source").alias("_s"), "source_size", "target", "_repeats", "_prefix")
-    taken = F.col("size") * (F.col("_repeats") + F.when(F.col("_h") < F.col("_prefix"), F.lit(1)).otherwise(F.lit(0)))
+    return plan.select(F.col("source").alias("_s"), "source_size", "target", "_repeats", "_prefix")
+
+
+def _times() -> Column:
+    return F.col("_repeats") + F.when(F.col("_h") < F.col("_prefix"), F.lit(1)).otherwise(F.lit(0))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
+    """How much of each row of docs the mix takes: doc_id, source, size, source_size, target, taken.
+
+    size: words of the text, 0 for null. taken: size times the number of times that the row is taken, 0 to cap. Rows
+    with the same doc_id and text share a hash and so a fate. Null ids and sources are values like any other. Sources
+    without words have target 0 and take nothing. An empty table gives no rows. Extra columns aren't read.
+    """
+    d = stored(_measured(docs, seed), "mix")  # built once: the passes read only numbers
+    limits = mix_plan(d, weights, cap)
     out = d.join(limits, d.source.eqNullSafe(limits._s))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * _times()).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
+    """The mix itself: each row of docs as many times as mix_sources takes it, with all its columns."""
+    limits = mix_plan(stored(_measured(docs, seed), "mix"), weights, cap)
+    d = docs.select(F.struct("*").alias("_row"), F.col("source").cast("string").alias("_source"), _hash(seed).alias("_h"))
+    d = d.join(limits, d._source.eqNullSafe(limits._s)).withColumn("_n", _times().cast("int"))
+    return d.where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).select("_row.*")
 
 
 def _refined(d: DataFrame, plan: DataFrame, level: int) -> DataFrame:

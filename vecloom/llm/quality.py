@@ -108,23 +108,16 @@ def _repeat_words(w: Column) -> Column:
     return F.when(n < 4, none).when(n <= mask, covered(short)).otherwise(covered(long))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
-    """Rule counts, score and verdict of every row of docs, all columns of docs first dropped but doc_id.
-
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean),
-    score (double: mean log ratio, 0 for a text without words).
-
-    Null text counts as empty: all counts 0, base_failed. Rows are judged one by one, so repeated rows and null ids give
-    one result each. An empty table gives none. Extra columns aren't read.
-    """
+def _judged(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int, trusted_docs: int) -> DataFrame:
+    """Rows (_row: all columns of docs, q: counts, score and verdict)."""
     model = ngram_model(docs, labels, buckets, trusted_docs)
     # the scalar subquery's value is one array for all rows
-    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_x"), words(F.col("text")).alias("_w"), model.scalar().alias("_m"))
+    d = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_x"), words(F.col("text")).alias("_w"), model.scalar().alias("_m"))
     lines = F.filter(F.split(F.col("_x"), "\n"), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
     total = let(F.col("_m"), lambda m: F.aggregate(let(F.col("_w"), lambda w: _ngrams(w, buckets)), F.lit(0.0), lambda a, b: a + F.get(m, b).cast("double")))
     n = F.size("_w").cast("long")
     d = d.select(
-        "doc_id",
+        "_row",
         n.alias("n_words"),
         F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_x", F.lit(_MARKS)).cast("long").alias("n_symbols"),
@@ -134,4 +127,22 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     )
     d = d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(float(threshold))))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return d.select("_row", F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score").alias("q"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
+    """Rule counts, score and verdict of every row of docs.
+
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean),
+    score (double: mean log ratio, 0 for a text without words).
+
+    Null text counts as empty: all counts 0, base_failed. Rows are judged one by one, so repeated rows and null ids give
+    one result each. An empty table gives none. Extra columns aren't read.
+    """
+    d = docs.select("doc_id", "text")
+    return _judged(d, labels, threshold, buckets, trusted_docs).select("_row.doc_id", "q.*")
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns, whatever their names."""
+    return _judged(docs, labels, threshold, buckets, trusted_docs).where("q.kept").select("_row.*")

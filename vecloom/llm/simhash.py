@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, stored, text_bytes
@@ -70,18 +70,18 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """docs' doc_id with `fp`, the fingerprint as a signed long."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprint_table(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """Rows (row, fp): what `carry` is (default: doc_id), and the fingerprint as a signed long."""
+    d = docs.select((F.col("doc_id") if carry is None else carry).alias("row"), text_bytes().alias("_x"))
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 fp = fingerprints(part.column(1).to_pylist()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["row", "fp"])
 
-    return docs.select("doc_id", text_bytes().alias("_x")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return d.mapInArrow(run, f"row {d.schema['row'].dataType.simpleString()}, fp long")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -198,6 +198,13 @@ def near_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: i
     return fps.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean").groupBy("leaf").applyInArrow(link, "a long, b long")
 
 
+def _rooted(groups: DataFrame, radius: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """groups (fp, first) as (fp, root, first), and the roots of fingerprints that are linked with another."""
+    roots = stored(connected_components(near_links(groups, radius, leaf)), "roots")
+    named = groups.join(roots, groups.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    return named, roots.select("root").distinct()
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
     """Fingerprint and component of every row of docs: doc_id, fp long, component_id.
 
@@ -206,11 +213,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, leaf: int = LEAF) ->
     fingerprint and give one row each. Null ids can't name a component: it is null only if all its members' are. An
     empty table gives no rows. Extra columns aren't read.
     """
-    table = stored(fingerprint_table(docs), "fps")
+    table = stored(fingerprint_table(docs).withColumnRenamed("row", "doc_id"), "fps")
     groups = stored(table.groupBy("fp").agg(F.min("doc_id").alias("first")), "fpgroups")
-    roots = stored(connected_components(near_links(groups, radius, leaf)), "roots")
-    named = groups.join(roots, groups.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    linked = named.join(roots.select("root").distinct(), "root", "left_semi")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    named, roots = _rooted(groups, radius, leaf)
+    least = named.join(roots, "root", "left_semi").groupBy("root").agg(F.min("first").alias("component_id"))
     component = named.join(least, "root", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return table.join(component, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+    """One row of each component of near_duplicates, the one of smallest doc_id (nulls last), with all its columns.
+
+    Of rows with equal ids one stays. Rows get a key that is written with them, so what is kept doesn't depend on how
+    often they are read.
+    """
+    row = F.struct(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"), F.monotonically_increasing_id().alias("key"))
+    table = stored(fingerprint_table(docs, row).select("row.all", "row.key", "fp"), "fprows")
+    first = F.min(F.struct(F.col("all.doc_id").isNull().alias("no_id"), F.col("all.doc_id").alias("doc_id"), "key"))
+    groups = stored(table.groupBy("fp").agg(first.alias("first")), "fpgroups")
+    named, _ = _rooted(groups, radius, leaf)
+    keys = named.groupBy("root").agg(F.min("first").alias("first")).select("first.key")
+    return table.join(keys, "key", "left_semi").select("all.*")
