@@ -26,7 +26,7 @@ from .common import drop_path, dropping_shuffles, scratch_path, text_bytes
 
 WINDOW = 13
 #: Windows that a task gathers before it sends them, bytes of text a group should stand for, runs of a level that are compacted.
-FLUSH, GROUP_BYTES, FAN_IN = 1 << 21, 16 << 20, 8
+FLUSH, GROUP_BYTES, FAN_IN = 1 << 20, 16 << 20, 8
 _KEY_BITS, _CHECK_BITS = 40, 24
 _P = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _LEAST = -(1 << 63)
@@ -35,7 +35,7 @@ _LEAST = -(1 << 63)
 class WordHashes:
     """Two 64-bit hashes of each word, remembered up to `cache` words."""
 
-    def __init__(self, cache: int = 300_000):
+    def __init__(self, cache: int = 200_000):
         self.cache = cache
         self._clear()
 
@@ -315,7 +315,7 @@ class FingerprintIndex:
 
 
 def group_bits_for(total_bytes: int, group_bytes: int = GROUP_BYTES) -> int:
-    return min(20, max(4, int(np.ceil(np.log2(max(1, total_bytes / group_bytes))))))
+    return min(20, max(6, int(np.ceil(np.log2(max(1, total_bytes / group_bytes))))))
 
 
 def batch_edges(docs: DataFrame, batches: int) -> list[int]:
