@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,6 +134,16 @@ class Segment:
         return self.ids[self.boundaries.select(i) : self.boundaries.select(i + 1)]
 
 
+class _Known(dict):
+    """Ids of words; asks the encoder for those it doesn't have."""
+
+    def __init__(self, ask):
+        self.ask = ask
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.ask(word)
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, word by word.
 
@@ -155,7 +167,7 @@ class WordEncoder:
         self.plain = zlib.crc32(json.dumps(rules, sort_keys=True).encode()) == _LATIN_RULES
         self.model = self.tokenizer.model
         # words seen at least twice, words seen lately, pieces of words
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self.word)
         self.young: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -163,7 +175,10 @@ class WordEncoder:
         ids = self.pieces.get(p)
         if ids is None:
             text = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARS)
-            ids = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+            ids = array("I", [t.id for t in self.model.tokenize(text)])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            ids = ids.tobytes()
             if len(self.pieces) >= self.cache // 2:
                 self.pieces.clear()
             self.pieces[p] = ids
@@ -187,13 +202,7 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian uint32 ids."""
-        words = text.split()
-        parts = list(map(self.known.get, words))
-        if None in parts:
-            for k, p in enumerate(parts):
-                if p is None:
-                    parts[k] = self.word(words[k])
-        return b"".join(parts)
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
