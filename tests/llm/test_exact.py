@@ -1,0 +1,506 @@
+"""Operators against brute force on odd rows."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from vecloom.llm import queries as Q
+from vecloom.llm.decontaminate import contamination, without_benchmark
+from vecloom.llm.lmscore import score_documents
+from vecloom.llm.mixing import mix_sources, mixed_documents
+from vecloom.llm.pii import base_spans, find_pii, luhn, mod97, redacted, spans
+from vecloom.llm.quality import keep_quality, quality_rules
+from vecloom.llm.simhash import VantageTree, fingerprints, near_duplicates, near_links, one_of_each
+from vecloom.llm.substrings import FingerprintIndex, dedup_substrings, pack, unpack
+from vecloom.llm.tokenids import EliasFano, Segment, WordEncoder, token_ids, tokenizer_path, write_segment
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def pairs(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+# --- quality
+
+
+def rules(t):
+    w = words(t)
+    seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (t or "").split("\n") if words(x)]
+    failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_quality_rules(spark, odd, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = quality_rules(odd, labels)
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    assert pairs(got.select(cols)) == sorted(((r.doc_id, *rules(r.text)) for r in odd.collect()), key=repr)
+    assert got.where("base_failed and kept").count() == 0
+    kept = keep_quality(odd, labels)
+    assert kept.columns == odd.columns
+    assert kept.count() == got.where("kept").count() > 0
+
+
+def test_quality_repeats_of_long_texts(spark, sf_dir):
+    import vecloom.llm.quality as m
+
+    text = "p q r s\np q r t\n\np q r s " * 9
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    before, m._POS_BITS = m._POS_BITS, 4  # as if the text were over a million words
+    try:
+        got = quality_rules(df, labels).first()
+    finally:
+        m._POS_BITS = before
+    assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words, got.base_failed) == rules(text)
+
+
+def test_quality_learns_the_target(spark):
+    good = [(i, " ".join(f"good{(i * 7 + j) % 90}" for j in range(80)) + f" own{i}") for i in range(60)]
+    bad = [(100 + i, " ".join(f"junk{(i * 5 + j * j) % 90}##" for j in range(80)) + f" own{i}") for i in range(60)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i in [*range(30), *range(100, 130)]], "doc_id long, quality int, toxic int")
+    score = {r.doc_id: r.score for r in quality_rules(docs, labels, buckets=1 << 10).collect()}
+    # held out: documents that have no label
+    assert min(score[i] for i in range(30, 60)) > -0.15 > max(score[100 + i] for i in range(30, 60))
+
+
+def test_quality_without_labels_or_rows(spark, odd, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.kept for r in quality_rules(odd, none).collect() if not r.base_failed} == {True}
+    assert quality_rules(empty, none).count() == 0
+
+
+# --- simhash
+
+
+def fingerprint(t):
+    w = words((t or "").translate(LOWER))
+    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if h and 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(fps, radius=3):
+    root = list(range(len(fps)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= radius:
+                root[find(a)] = find(b)
+    return [find(a) for a in range(len(fps))]
+
+
+def expected_components(rows):
+    fps = [fingerprint(r.text) for r in rows]
+    comp = components(fps)
+    least = {}
+    for r, c in zip(rows, comp):
+        if r.doc_id is not None:
+            least[c] = min(least.get(c, r.doc_id), r.doc_id)
+    return fps, comp, [least.get(c) for c in comp]
+
+
+def test_near_duplicates(odd):
+    rows = odd.collect()
+    fps, _, ids = expected_components(rows)
+    want = sorted(((r.doc_id, f - (f >> 63 << 64), c) for r, f, c in zip(rows, fps, ids)), key=repr)
+    assert pairs(near_duplicates(odd)) == want
+
+
+def test_one_of_each(odd, empty):
+    rows = odd.collect()
+    _, comp, _ = expected_components(rows)
+    got = one_of_each(odd)
+    assert got.columns == odd.columns
+    kept = got.collect()
+    assert len(kept) == len(set(comp))
+    least = {}
+    for r, c in zip(rows, comp):
+        key = (r.doc_id is None, r.doc_id or 0)
+        least[c] = min(least.get(c, key), key)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(least.values())
+    assert one_of_each(empty).count() == near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [16, 64, 100_000])
+def test_tree_finds_all_pairs(spark, leaf):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    fps = list(base)
+    for k in range(400):  # chains of near ones, some far apart from their start
+        f = fps[rng.integers(len(fps))]
+        for b in rng.integers(0, 64, rng.integers(1, 6)):
+            f ^= np.uint64(1) << np.uint64(b)
+        fps.append(f)
+    fps = np.unique(np.array(fps, np.uint64))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    links = near_links(df, 3, leaf=leaf).collect()
+    where = {int(x): n for n, x in enumerate(fps.view(np.int64))}
+    root = list(range(len(fps)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for r in links:
+        root[find(where[r.a])] = find(where[r.b])
+    got = [find(a) for a in range(len(fps))]
+    want = components([int(x) for x in fps])
+    assert len({*zip(got, want)}) == len(set(got)) == len(set(want))
+
+
+def test_tree_prunes():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    tree = VantageTree(fps[:4000], 5)
+    row, leaf, home = tree.deal(fps, 3)
+    assert home.sum() == len(fps)
+    assert len(row) < 32 * len(fps) / 3  # far fewer than all leaves
+
+
+def test_fingerprints_of_long_and_short_texts():
+    texts = ["", "a", "a b", "a b c", "d " * 200_000, "e f g h"]
+    assert [int(x) for x in fingerprints([t.encode() for t in texts])] == [fingerprint(t) for t in texts]
+
+
+# --- decontamination
+
+
+def item_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+
+
+def contaminated(rows, items):
+    wins = {}
+    for i, t in items:
+        w = item_words(t)
+        for k in range(max(1, len(w) - 9)) if w else []:
+            wins.setdefault(tuple(w[k : k + 10]), set()).add(i)
+    out = []
+    for r in rows:
+        w, hit, found = item_words(r.text), set(), set()
+        for win, ids in wins.items():
+            for a in range(len(w) - len(win) + 1):
+                if tuple(w[a : a + len(win)]) == win:
+                    hit |= set(range(a, a + len(win)))
+                    found |= ids
+        spans, at = [], sorted(hit)
+        for x in at:
+            if spans and spans[-1][1] == x:
+                spans[-1][1] = x + 1
+            else:
+                spans.append([x, x + 1])
+        out.append((r.doc_id, len(w), [tuple(s) for s in spans], sorted(str(i) for i in found if i is not None)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block_rows", [200_000, 7])
+def test_contamination(spark, odd, sf_dir, block_rows):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("n_words", F.lit(1))
+    want = contaminated(odd.collect(), [(r.item_id, r.text) for r in bench.collect()])
+    got = sorted(((r.doc_id, r.n_words, [tuple(s) for s in r.hit_spans], r["items"]) for r in contamination(odd, bench, block_rows=block_rows).collect()), key=repr)
+    assert got == want
+    clean = without_benchmark(odd, bench, block_rows=block_rows)
+    assert clean.columns == odd.columns
+    assert clean.count() == sum(not w[2] for w in want)
+
+
+def test_contamination_of_empty_tables(spark, odd, empty, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    assert contamination(empty, bench).count() == 0
+    got = contamination(odd, bench.limit(0))
+    assert got.where("size(hit_spans) > 0 or size(items) > 0").count() == 0 and got.count() == odd.count()
+
+
+def test_query_digests(spark, sf_dir):
+    for r in Q.op10_decontaminate(spark, sf_dir).collect():
+        assert r.contaminated == (r.n_hit > 0) and len(r.items_sha256) == 64
+
+
+# --- mixing
+
+
+def targets(size):
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    w = {s: n % 3 + 1 for n, s in enumerate(order)}
+    left, free, out = float(sum(size.values())), set(order), {}
+    while free:
+        total = sum(w[s] for s in free)
+        over = [s for s in free if left * w[s] / total > 3 * size[s]]
+        if not over:
+            return out | {s: left * w[s] / total for s in free}
+        share = {s: 3.0 * size[s] for s in over}
+        out |= share
+        left -= sum(share.values())
+        free -= set(over)
+    return out
+
+
+def test_mixing(odd, empty):
+    rows = odd.collect()
+    size = {}
+    for r in rows:
+        size[r.source] = size.get(r.source, 0) + len(words(r.text))
+    want = targets(size)
+    got = mix_sources(odd).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.source_size == size[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 3 * int(r.size)
+    assert pairs(mix_sources(odd)) == pairs(mix_sources(odd.repartition(7)))
+    assert mix_sources(empty).count() == mixed_documents(empty).count() == 0
+    mixed = mixed_documents(odd)
+    assert mixed.columns == odd.columns
+    assert sum(len(words(r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7])
+def test_mixing_comes_near(spark, n):
+    rows = [(i, " ".join(["w"] * (i * 37 % 90 + 1)), f"s{i % n if i % 5 else 0}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 90 for r in got)
+
+
+def test_mixing_of_equal_rows(spark):
+    df = spark.createDataFrame([(1, "a b", "x")] * 500 + [(2, "c", "y")] * 10 + [(3, None, "z"), (4, "", None)], "doc_id long, text string, source string")
+    assert {(r.source, r.taken) for r in mix_sources(df).collect()} == {("x", 2), ("y", 3), ("z", 0), (None, 0)}
+
+
+# --- PII
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base(t):
+    out = []
+    for n, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            fine = {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 12 <= len(digits) <= 19 and luhn(digits.encode()), "phone": lambda: 9 <= len(digits) <= 15}
+            if fine[kind]():
+                out.append((m.start(), n, kind, m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+CASES = [
+    "", "a@b.co", "x@y@z.org a.b@c-d.e.f. @no.com me@localhost a@b..c", "1.2.3.4.5.6.7.8 256.1.1.1 01.002.0003.4 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 0000000000000", "+1 (743) 555-3824, +49 30 1234567 +1 ++12 345 678 901.", "é+1 (743) 555-3824é a@b.co漢1.2.3.4",
+    "a@b.c@d.e.f@g.h", "%+-@-.-", "12345678901234567890123 4 5", "1" * 3000, "a" * 3000 + "@", "1-1-1-1 1 1 1 1 1 1 1 1 1 1 7", "a@b.co.@x.y", "+1" + " " * 500,
+]
+
+
+@pytest.mark.parametrize("text", CASES)
+def test_base_spans(text):
+    t = text.encode()
+    got = sorted((s, list(PATTERNS).index(k), k, e) for k, s, e in base_spans(t))
+    chars = [(k, len(t[:s].decode()), len(t[:e].decode())) for s, _, k, e in got]
+    assert chars == base(text)
+    assert [(k, s, e) for k, s, e, _ in spans(t) if k in PATTERNS] == base(text)
+
+
+def test_pii_random():
+    import random
+
+    r = random.Random(3)
+    for _ in range(4000):
+        text = "".join(r.choice("a1 2.3-@+()é9.0b%") for _ in range(r.randint(0, 60)))
+        assert [(k, s, e) for k, s, e, _ in spans(text.encode()) if k in PATTERNS] == base(text)
+
+
+def test_added_kinds():
+    assert mod97(b"GB82WEST12345698765432") and not mod97(b"GB82WEST12345698765433")
+    found = {k: x for k, _, _, x in spans(b"pay to IBAN GB82 WEST 1234 5698 7654 32 now")}
+    assert found["iban"] == 1.0
+    assert "national_id" not in {k for k, *_ in spans(b"code 123-45-6789 here")}
+    assert "national_id" in {k for k, *_ in spans(b"SSN: 123-45-6789")}
+    assert "local_phone" in {k for k, *_ in spans(b"call 555-123-4567") if k}
+
+
+def test_pii_time_is_linear():
+    import time
+
+    start = time.time()
+    for text in (b"a" * 2_000_000, b"1" * 2_000_000, b"a@" * 500_000, b"+1 " * 500_000, b"1." * 700_000, b"A" * 1_000_000 + b"@b.c"):
+        spans(text)
+    assert time.time() - start < 30
+
+
+def test_find_pii(spark, odd, empty):
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(CASES)] + [(None, None)], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind in PATTERNS] for r in find_pii(df).collect()}
+    assert got == {n: base(t) for n, t in enumerate(CASES)} | {None: []}
+    assert find_pii(odd).count() == odd.count() and find_pii(empty).count() == 0
+    text = df.join(find_pii(df), "doc_id").where("doc_id = 6").select(redacted(F.col("text"), F.col("spans")).alias("t")).first().t
+    assert text == "é[phone]é [email]漢[ip]"
+
+
+# --- substring dedup
+
+
+def deduplicated(rows, n=13):
+    first = {}
+    docs = [((r.doc_id if r.doc_id is not None else -math.inf), r.doc_id, (r.text or "").encode().split()) for r in rows]
+    for d, _, w in docs:
+        for a in range(len(w) - n + 1):
+            k = tuple(w[a : a + n])
+            first[k] = min(first.get(k, d), d)
+    out = []
+    for d, i, w in docs:
+        gone = {a + j for a in range(len(w) - n + 1) if first[tuple(w[a : a + n])] < d for j in range(n)}
+        out.append((i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("batches", [1, 3, 12])
+def test_substrings(spark, odd, batches):
+    got = []
+    for part in dedup_substrings(odd, batches):
+        got += map(tuple, part.collect())
+    assert sorted(got, key=repr) == deduplicated(odd.collect())
+
+
+def test_index_compacts_and_remembers(spark):
+    def docs(rows):
+        return spark.createDataFrame(rows, "doc_id long, text string")
+
+    text = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(9)]
+    index = FingerprintIndex(spark, group_bits=3, fan_in=3, flush=50)
+    for k in range(9):  # each batch has a new text and the last batch's
+        rows = [(2 * k, text[k])] + ([(2 * k + 1, text[k - 1] + " new end")] if k else [])
+        got = {r.doc_id: r.n_removed for r in index.dedup(docs(rows)).collect()}
+        assert got == {2 * k: 0} | ({2 * k + 1: 40} if k else {})
+        index.drop_hits() if k else None
+    assert len(index.runs) < 9 and max(index.runs.values()) >= 1
+    assert {r.n_removed for r in index.dedup(docs([(100 + k, t) for k, t in enumerate(text)])).collect()} == {40}
+    assert index.dedup(docs([])).count() == 0
+
+
+def test_packed_prints():
+    p = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64))
+    assert (unpack(pack(p)) == p).all() and len(unpack(pack(p[:0]))) == 0
+
+
+# --- token ids
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(0)
+    for n, top in ((0, 1), (1, 1), (5, 1), (1000, 3), (3000, 10**9), (700, 70_000)):
+        v = np.sort(rng.integers(0, top, n))
+        ef = EliasFano.of(v)
+        assert (ef.all() == v).all() and [ef.select(i) for i in range(n)] == v.tolist()
+        if n:
+            size = ef.low.nbytes + ef.high.nbytes + ef.samples.nbytes
+            assert size <= n * (2 + max(1, math.log2(max(1, v[-1] / n)) + 1)) / 8 + n / 64 + 40
+        with pytest.raises(IndexError):
+            ef.select(n)
+
+
+def test_segments():
+    docs = [[1, 2, 3], [], [70_000, 5], [], []]
+    ends = np.cumsum([len(d) for d in docs]).tolist()
+    s = Segment(write_segment([np.array(d, "<u4").tobytes() for d in docs], ends))
+    assert [s.document(i).tolist() for i in range(5)] == docs
+    with pytest.raises(ValueError):
+        Segment(b"x" * 100)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+
+
+def test_token_ids(odd, empty, tokenizer):
+    rows = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, (r.text or "").encode()))
+    want, at = [], 0
+    for r in rows:
+        ids = np.array(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")
+        want.append((r.doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    for options in ({}, {"segment": 50, "partitions": 3}):
+        assert sorted(map(tuple, token_ids(odd, **options).collect()), key=lambda x: x[1]) == want
+    assert token_ids(empty).count() == 0
+
+
+def test_word_encoder(tokenizer):
+    import random
+
+    r, e = random.Random(1), WordEncoder(tokenizer_path("word_bpe_49k.json"), cache=50)
+    letters = "aAzZéÉßŒœÿİıŉſΣσς0189²½'’-_.,!?<>|@#&()\\/~` \t\n\x0b\x0c\x1c\x1f\x85\xa0　́é中한нЙ😀​­﻿"
+    for k in range(5000):
+        t = "".join(r.choice(letters) for _ in range(r.randint(0, 14))) + ("<|endoftext|>z" if k % 50 == 0 else "")
+        assert np.frombuffer(e.encode(t.encode()), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+# --- language model
+
+
+def test_scores(odd, empty):
+    rows = odd.collect()
+    n = Counter()
+    for r in rows:
+        if zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 7 != 2:
+            n.update([*(r.text or "").translate(LOWER).encode().split(), None])
+    total, kinds = sum(n.values()), len(n)
+    got = {}
+    for r in score_documents(odd).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for r in rows:
+        w = [*(r.text or "").translate(LOWER).encode().split(), None]
+        want = (len(w), sum(n[x] > 0 for x in w), total)
+        match = [g for g in got[r.doc_id] if (g.n_tokens, g.n_known, g.train_tokens) == want]
+        assert match
+        assert any(g.base_score == pytest.approx(sum(math.log10((n[x] + 1) / (total + kinds + 1)) for x in w), rel=1e-9) for g in match)
+        assert all(g.score < 0 and g.score == pytest.approx(-g.total_bits * math.log10(2)) for g in match)
+    assert score_documents(empty).count() == 0
+
+
+def test_scores_tell_language_apart(spark):
+    """Held-out documents in the language of training cost far fewer bits than shuffled or foreign ones."""
+    import random
+
+    r = random.Random(0)
+    nexts = {a: [f"v{r.randint(0, 60)}" for _ in range(3)] for a in (f"v{k}" for k in range(61))}
+
+    def chain(n):
+        w = ["v0"]
+        for _ in range(n):
+            w.append(r.choice(nexts[w[-1]]))
+        return w
+
+    rows = []
+    for k in range(400):
+        w = chain(150)
+        if k % 4 == 3:
+            r.shuffle(w)
+        rows.append((k, " ".join(w)))
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 == 2]
+    rows = [(k, t) for k, t in rows if k in held or k % 4 != 3]
+    got = {x.doc_id: x for x in score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    good = [got[k].score / got[k].n_tokens for k in held if k % 4 != 3]
+    bad = [got[k].score / got[k].n_tokens for k in held if k % 4 == 3]
+    base = [got[k].base_score / got[k].n_tokens for k in held if k % 4 != 3]
+    assert np.mean(good) > np.mean(base) + 0.5 and np.mean(good) > np.mean(bad) + 0.5
