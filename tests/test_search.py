@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vecloom.errors import DimensionMismatch, EmptyIndex, InvalidConfig
 from vecloom.functions import vectors as V
 from vecloom.operators import clusters, compress, graph, knn
+from vecloom.sources.scratch import kept
 
 
 def table(spark, v, name="key", column="vector", first=0):
@@ -223,7 +224,7 @@ def test_graph_search(spark, data):
         by.setdefault(r.src, []).append(r.dst)
     for s in by:
         assert lists[s] == graph.robust_prune(np.array(by[s]), v[by[s]], v[s], 1.2, 8, "l2_sq").tolist()
-    edges = graph.link(cand, nodes, 1.2, 16).checkpoint()
+    edges = kept(graph.link(kept(cand), nodes, 1.2, 16))
     assert tuple(graph.check_graph(edges, nodes, 16).first()) == (0, 0, 0, 0)
     got = graph.beam_search(queries, edges, nodes, 5, width=60)
     rows = answers(got)
@@ -233,6 +234,33 @@ def test_graph_search(spark, data):
         graph.medoid(nodes.limit(0))
 
 
+def test_layers(spark, data):
+    v, base, queries = data
+    nodes, edges = graph.build_layers(base.select(F.col("key").alias("id"), "vector"), m=6)
+    edges = kept(edges)
+    high = nodes.agg(F.max("level")).first()[0]
+    assert high >= 1
+    for level in range(high + 1):
+        ok = graph.check_graph(edges.where(F.col("level") == level), nodes.where(F.col("level") >= level), 12 if level == 0 else 6)
+        assert tuple(ok.first()) == (0, 0, 0, 0)
+    got = graph.layered_search(queries, edges, nodes, 5, ef=60)
+    assert knn.recall(knn.knn(queries, base, 5), got).first().recall >= 90
+    first = edges.where("level = 0").orderBy("src", "pos").first()
+    assert graph.neighbors(edges, first.src).first().dst == first.dst
+    with pytest.raises(EmptyIndex):
+        graph.layered_search(queries, edges, nodes.limit(0), 1)
+
+
+def test_candidates_in_cells(spark, data):
+    v, base, _ = data
+    nodes = base.select(F.col("key").alias("id"), "vector")
+    exact_ones = {tuple(r) for r in graph.candidates(nodes, 8).collect()}
+    got = {tuple(r) for r in graph.candidates(nodes, 8, cell_rows=100, spill=3).collect()}
+    assert len(got & exact_ones) >= 0.8 * len(exact_ones) and all(a != b for a, b in got)
+    same = table(spark, np.ones((300, 2)), "id")
+    assert graph.candidates(same, 4, cell_rows=50).groupBy("src").count().count() == 300
+
+
 def test_compaction_of_edges(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (2, 1), (3, 4), (4, 2), (1, 4)], "src long, dst long")
     nodes = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 5)], "id long, vector array<double>")

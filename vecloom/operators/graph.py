@@ -13,7 +13,55 @@ from pyspark.sql.window import Window
 
 from ..errors import EmptyIndex
 from ..functions import vectors as V
-from .knn import exact, matrix
+from ..sources.scratch import kept
+from .clusters import kmeans, sampled
+from .knn import TopK, exact, keys_of, knn, matrix
+
+
+#: Rows that are compared with each other at once when candidates are looked for.
+CELL_ROWS = 4000
+
+
+def candidates(nodes: DataFrame, k: int, metric: str = "l2_sq", spill: int = 2, cell_rows: int = CELL_ROWS, sample: int = 50_000) -> DataFrame:
+    """About the k nearest nodes of each node, as edges (src, dst): nearest within cells that each hold some thousand rows.
+
+    Every node goes to its `spill` nearest cells, so neighbours across a border are found from one side or the other. A
+    cell that is larger than twice cell_rows, as one of many equal vectors may be, is cut by a hash of the id. Up to
+    cell_rows nodes the result is exact.
+    """
+    metric = V.metric_name(metric)
+    n = nodes.select("id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("vector").isNotNull())
+    total = n.count()
+    if total <= cell_rows:
+        found = knn(n.select(F.col("id").alias("qid"), F.col("vector").alias("q")), n.select(F.col("id").alias("key"), "vector"), k + 1, metric)
+        return found.select(F.col("qid").alias("src"), F.col("key").alias("dst")).where("src != dst")
+    centres = kmeans(sampled(n, sample), min(4096, -(-total * spill // cell_rows)), rounds=10)
+    sent = n.sparkSession.sparkContext.broadcast(centres)
+
+    def assign(batches):
+        for b in batches:
+            v = matrix(b.column(1), sent.value.shape[1])
+            d = (sent.value**2).sum(axis=1)[None, :] - 2 * v @ sent.value.T
+            cells = np.argsort(d, axis=1, kind="stable")[:, :spill]
+            at = np.repeat(np.arange(len(v)), cells.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(cells.ravel().astype(np.int32))], names=["id", "vector", "cell"])
+
+    cells = n.mapInArrow(assign, "id long, vector array<double>, cell int")
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * cell_rows)).alias("_n"))
+    cells = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_n")))
+
+    def near(rows: pa.Table) -> pa.Table:
+        ids, v = keys_of(rows.column("id").combine_chunks()), matrix(rows.column("vector"))
+        src, dst = [], []
+        for at in range(0, len(v), 512):
+            top = TopK(v[at : at + 512], k + 1, metric)
+            top.add(ids, v)
+            src.append(ids[at + top.row])
+            dst.append(top.keys)
+        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+
+    found = cells.select("cell", "part", "id", "vector").groupBy("cell", "part").applyInArrow(near, "src long, dst long")
+    return found.where("src != dst").distinct()
 
 
 def robust_prune(ids: np.ndarray, vectors: np.ndarray, origin: np.ndarray, alpha: float, max_edges: int, metric: str) -> np.ndarray:
@@ -127,12 +175,13 @@ def medoid(nodes: DataFrame, metric: str = "l2_sq") -> int:
     return got.id
 
 
-def beam_search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, k: int, entry: int | None = None, width: int = 128, beam: int = 4, metric: str = "l2_sq", rounds: int = 1000) -> DataFrame:
+def beam_search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, k: int, entry: int | DataFrame | None = None, width: int = 128, beam: int = 4, metric: str = "l2_sq", rounds: int = 1000) -> DataFrame:
     """Best-first search over the edge table, all queries at once: qid, rank, key, distance.
 
     Each round expands each query's `beam` nearest nodes that aren't expanded yet among its `width` best, by a join with
     the edges, and scores neighbours that it hasn't seen; it ends when all of the best are expanded. Rounds are
-    checkpointed. Queries hold `width` rows and what they have seen, whatever the size of the graph.
+    written to the shared folder. Queries hold `width` rows and what they have seen, whatever the size of the graph. entry: the node to
+    start from (the medoid by default), or a table (qid, id) of nodes.
     """
     width = max(width, k)
     entry = medoid(nodes, metric) if entry is None else entry
@@ -142,23 +191,53 @@ def beam_search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, k: int,
     def scored(rows: DataFrame) -> DataFrame:
         return rows.join(n, "id").join(q, "qid").select("qid", "id", V.distance("q", "vector", metric).alias("d"))
 
-    best = scored(q.select("qid", F.lit(entry).cast("long").alias("id"))).withColumn("open", F.lit(True)).checkpoint()
+    first = entry.select("qid", "id") if isinstance(entry, DataFrame) else q.select("qid", F.lit(entry).cast("long").alias("id"))
+    best = kept(scored(first).withColumn("open", F.lit(True)))
     seen = best.select("qid", "id")
     w = Window.partitionBy("qid").orderBy("d", "id")
     for _ in range(rounds):
         front = best.where("open").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= beam).select("qid", "id")
         new = front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("qid", F.col("dst").alias("id")).distinct()
-        new = new.join(seen, ["qid", "id"], "left_anti").checkpoint()
+        new = kept(scored(new.join(seen, ["qid", "id"], "left_anti")).withColumn("open", F.lit(True)))
         closed = best.join(front.withColumn("_f", F.lit(True)), ["qid", "id"], "left").withColumn("open", F.col("open") & F.col("_f").isNull()).drop("_f")
-        every = closed.unionByName(scored(new).withColumn("open", F.lit(True)))
-        best = every.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= width).drop("_r").checkpoint()
-        seen = seen.union(new).checkpoint()
+        best = kept(closed.unionByName(new).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= width).drop("_r"))
+        seen = seen.union(new.select("qid", "id"))
         if not best.where("open").limit(1).count():
             break
     ranked = best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", F.col("id").alias("key"), F.col("d").alias("distance"))
 
 
+def build_layers(nodes: DataFrame, m: int = 16, metric: str = "l2_sq") -> tuple[DataFrame, DataFrame]:
+    """A layered graph: nodes with `level`, drawn from a hash of their id, and edges (level, src, pos, dst): at most m a
+    node above level 0, and 2m there. Each level links the nodes that reach it."""
+    nodes = nodes.select("id", "vector").withColumn("level", random_level(hashed_uniform(F.col("id")), m))
+    highest = nodes.agg(F.max("level")).first()[0]
+    found = None
+    for level in range((highest or 0) + 1):
+        some, most = nodes.where(F.col("level") >= level), 2 * m if level == 0 else m
+        part = link(candidates(some, 2 * m, metric), some, 1.0, most, metric).select(F.lit(level).alias("level"), "src", "pos", "dst")
+        found = part if found is None else found.unionByName(part)
+    return nodes, found
+
+
+def layered_search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, k: int, ef: int = 50, metric: str = "l2_sq") -> DataFrame:
+    """Greedy descent from the least node of the highest level down to level 1, then a search of width max(k + 1, ef) on
+    level 0: qid, rank, key, distance."""
+    top = nodes.orderBy(F.desc("level"), "id").select("id", "level").first()
+    if top is None:
+        raise EmptyIndex("no nodes")
+    at: int | DataFrame = top.id
+    for level in range(top.level, 0, -1):
+        at = beam_search(queries, edges.where(F.col("level") == level), nodes, 1, at, width=1, beam=1, metric=metric).select("qid", F.col("key").alias("id"))
+    return beam_search(queries, edges.where("level = 0"), nodes, k, at, width=max(k + 1, ef), metric=metric)
+
+
+def neighbors(edges: DataFrame, node: int, level: int = 0) -> DataFrame:
+    """The node's neighbours on a level, in order: pos, dst."""
+    return edges.where((F.col("src") == node) & (F.col("level") == level)).select("pos", "dst").orderBy("pos")
+
+
 def compact_edges(edges: DataFrame, deleted: DataFrame, nodes: DataFrame, alpha: float = 1.1, max_edges: int = 64, metric: str = "l2_sq") -> DataFrame:
     """Edges after deleted nodes (id) are gone: a node linked to a deleted one is linked to that one's live neighbours
     instead, and pruned; all others keep their edges. src, dst."""

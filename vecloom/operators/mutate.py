@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import KeyAlreadyExists
+from ..sources.scratch import kept
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -67,7 +68,8 @@ def with_ids(rows: DataFrame, start: int = 1) -> DataFrame:
     """rows with `id`: dense numbers from `start` in the order of their keys. Sorted in ranges; offsets of the ranges come from their sizes."""
     parts = rows.repartitionByRange("key").sortWithinPartitions("key").withColumn("_m", F.monotonically_increasing_id())
     shift = F.lit(1 << 33)
-    parts = parts.withColumn("_p", F.floor(F.col("_m") / shift)).withColumn("_o", F.col("_m") % shift).drop("_m").checkpoint()
+    parts = parts.withColumn("_p", F.floor(F.col("_m") / shift)).withColumn("_o", F.col("_m") % shift).drop("_m")
+    parts = kept(parts)
     sizes = parts.groupBy("_p").count()
     before = sizes.withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     return parts.join(before, "_p").withColumn("id", F.col("_b") + F.col("_o") + start).drop("_p", "_o", "_b")

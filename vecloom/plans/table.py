@@ -214,6 +214,13 @@ class VectorTable:
         q = queries.withColumn("q", V.CASTS[self.config.dtype](V.nan_to_num("q", self.config.dtype)))
         return knn(q, self.rows(), k, self.config.metric, where)
 
+    def insert_qi8(self, rows: DataFrame) -> None:
+        """Upserts rows whose vectors are 8-bit structs; they are kept as the table's type."""
+        self.insert(rows.withColumn("vector", V.qi8_dequantize("vector")))
+
+    def query_qi8(self, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+        return self.query(queries.withColumn("q", V.qi8_dequantize("q")), k, where)
+
     def compressor(self):
         """The compression that the settings name: trained and stored on first use if it is product quantization."""
         if self.config.compression_mode == "trunc":

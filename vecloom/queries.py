@@ -15,8 +15,9 @@ from .functions import vectors as V
 from .operators import graph, mutate
 from .operators.clusters import IvfIndex, assign_cells, cell_members, lloyd_step
 from .operators.compress import ProductQuantizer, Truncation, compressed_search
-from .operators.knn import ground_truth, knn, knn_expr, recall, sample, within
+from .operators.knn import best, ground_truth, knn, recall, sample, within
 from .plans.table import VectorTable
+from .sources.scratch import kept
 
 K = 10
 
@@ -126,8 +127,11 @@ def qi8_quantize(spark, sf_dir):
 def _qi8(metric: str):
     def run(spark, sf_dir):
         d = _quantized(spark, sf_dir)
-        q = d.where("key % 100 = 0").select(F.col("key").alias("qid"), F.col("vector").alias("q"))
-        return _rounded(knn_expr(q, d, K, V.QI8_METRICS[metric], limit=1 << 20))
+        wide = d.select("key", V.qi8_dequantize("vector").alias("vector"))
+        near = knn(_queries(wide), wide, K, metric).select("qid", "key")
+        # distances from the integer sums
+        pairs = near.join(d, "key").join(d.select(F.col("key").alias("qid"), F.col("vector").alias("q")), "qid")
+        return _rounded(best(pairs.select("qid", "key", V.QI8_METRICS[metric](F.col("q"), F.col("vector")).alias("distance")), K))
 
     return run
 
@@ -250,10 +254,8 @@ def pq_train_search(spark, sf_dir):
 
 
 def _linked(b):
-    every = b.select(F.col("key").alias("qid"), F.col("vector").alias("q"))
-    e = knn(every, b, 17, "l2").select(F.col("qid").alias("src"), F.col("key").alias("dst"))
     nodes = b.select(F.col("key").alias("id"), "vector")
-    return graph.link(e, nodes, 1.1, 24), nodes
+    return graph.link(graph.candidates(nodes, 16), nodes, 1.1, 24), nodes
 
 
 def prune_graph(spark, sf_dir):
@@ -266,12 +268,15 @@ def graph_integrity(spark, sf_dir):
 
 
 def beam_search(spark, sf_dir):
-    from .sources.scratch import checkpoint_folder
-
-    checkpoint_folder(spark)
     b = _base(spark, sf_dir)
     edges, nodes = _linked(b)
-    return _rounded(graph.beam_search(_queries(b), edges.select("src", "dst").checkpoint(), nodes, K, width=64))
+    return _rounded(graph.beam_search(kept(_queries(b)), kept(edges.select("src", "dst")), nodes, K, width=64))
+
+
+def layered_search(spark, sf_dir):
+    b = _base(spark, sf_dir)
+    nodes, edges = graph.build_layers(b.select(F.col("key").alias("id"), "vector"))
+    return _rounded(graph.layered_search(kept(_queries(b)), kept(edges), kept(nodes), K))
 
 
 def half_rounding(spark, sf_dir):
@@ -303,7 +308,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {"knn_l2": _knn("l2"), "knn_cosine": _knn("cosine"), "knn_ip": _knn("ip"), "knn_euclid": _knn("euclidean"), "qi8_l2": _qi8("l2_sq"), "qi8_cosine": _qi8("cosine"), "qi8_ip": _qi8("inner_product")}
     more = [knn_filtered, knn_tombstoned, radius_search, nan_to_num, normalize, norms, pairwise_dist, centroid_dist, kmeans_one_lloyd_step, cluster_members, qi8_quantize, trunc_knn, trunc_rerank]
     more += [pq_encode_fixed_codebook, pq_sdc_l2, recall_at_k, upsert_latest, set_outcome, delete_apply, live_counts, merged_neighbors, reverse_edges, two_hop, compaction_candidates, hnsw_level]
-    more += [ivf_knn, ivf_recall, pq_train_search, prune_graph, graph_integrity, beam_search, half_rounding, truth_arrays, random_sample, table_query]
+    more += [ivf_knn, ivf_recall, pq_train_search, prune_graph, graph_integrity, beam_search, layered_search, half_rounding, truth_arrays, random_sample, table_query]
     return found | {f.__name__: f for f in more}
 
 

@@ -1,10 +1,11 @@
-"""The folder that a cluster shares for checkpoints."""
+"""Tables that cut a plan's lineage, in the folder that a cluster shares for checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -14,3 +15,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="vecloom-"))
     return context._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back; gone when the application ends.
+
+    Loops use this and not checkpoint(), whose result keeps the size estimate of the plan it came from: after some rounds of
+    joins that number is so large that planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/kept-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
