@@ -69,16 +69,30 @@ def assign_cells(base: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def lloyd_step(base: DataFrame, centroids: DataFrame) -> DataFrame:
-    """One step of Lloyd's on whole data: cell, n, centroid (means of the members), by column expressions.
+    """One step of Lloyd's on whole data: cell, n, centroid (means of the members); cells without members are left out.
 
-    centroids: (cell, centroid), a table of fixed size. Members are averaged element by element in partial aggregates.
+    centroids: (cell, centroid), a table of fixed size that is sent to all tasks. A task adds its rows up to one sum a
+    cell and element before the shuffle. Of equally near centroids the one of least cell wins.
     """
-    sent = centroids.agg(F.sort_array(F.collect_list(F.struct("cell", "centroid"))).alias("_c"))
-    d = base.select("vector", sent.scalar().alias("_c"))
-    near = F.array_min(F.transform("_c", lambda c: F.struct(V.l2_sq(F.col("vector"), c["centroid"]).alias("d"), c["cell"].alias("cell"))))["cell"]
-    parts = d.select(near.alias("cell"), F.posexplode("vector").alias("pos", "x")).groupBy("cell", "pos").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("x").cast("double")).alias("m"))
-    means = F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda r: r["m"])
-    return parts.groupBy("cell").agg(F.max("n").alias("n"), means.alias("centroid"))
+    rows = centroids.orderBy("cell").collect()
+    sent = base.sparkSession.sparkContext.broadcast((np.array([r.cell for r in rows], np.int32), np.array([r.centroid for r in rows], np.float64)))
+
+    def add(batches):
+        cells, c = sent.value
+        n, sums = np.zeros(len(c), np.int64), np.zeros_like(c)
+        for b in batches:
+            v = matrix(b.column(0), c.shape[1])
+            near = nearest(v, c)
+            n += np.bincount(near, minlength=len(c))
+            np.add.at(sums, near, v)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(cells[some]), pa.array(n[some]), pa.array(list(sums[some]), pa.list_(pa.float64()))], names=["cell", "n", "sums"])
+
+    v = base.select(F.col("vector").cast("array<double>").alias("vector")).where(F.col("vector").isNotNull())
+    parts = v.mapInArrow(add, "cell int, n long, sums array<double>").select("cell", "n", F.posexplode("sums").alias("pos", "x"))
+    means = parts.groupBy("cell", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    rows = F.sort_array(F.collect_list(F.struct("pos", (F.col("x") / F.col("n")).alias("m"))))
+    return means.groupBy("cell").agg(F.max("n").alias("n"), F.transform(rows, lambda r: r["m"]).alias("centroid"))
 
 
 def cell_members(cells: DataFrame) -> DataFrame:
