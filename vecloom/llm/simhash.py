@@ -174,7 +174,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: i
     """
     spark = fps.sparkSession
     total = fps.count()
-    some = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp")).limit(min(sample, max(1, total))).collect()], np.int64).view(np.uint64)
+    some = np.asarray(fps.select("fp").orderBy(F.xxhash64("fp")).limit(min(sample, max(1, total))).toArrow().column("fp")).astype(np.int64).view(np.uint64)
     depth = int(np.ceil(np.log2(max(1, total / leaf))))
     depth = max(0, min(depth, int(np.log2(max(1, len(some) / 16)))))
     sent = spark.sparkContext.broadcast(VantageTree(some, depth))
