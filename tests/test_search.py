@@ -271,6 +271,20 @@ def test_compaction_of_edges(spark):
     assert tuple(graph.check_graph(bad, nodes, 3).first()) == (1, 1, 1, 1)
 
 
+def test_relink(spark, data):
+    v, base, queries = data
+    nodes = base.select(F.col("key").alias("id"), "vector")
+    edges = kept(graph.link(graph.candidates(nodes, 16), nodes, 1.0, 16))
+    changed = spark.createDataFrame([(3,), (200,)], "id long")
+    moved = nodes.join(changed, "id", "left_anti").unionByName(spark.createDataFrame([(3, v[50].tolist()), (200, (v[80] + 0.01).tolist())], "id long, vector array<double>"))
+    moved = kept(moved)
+    got = kept(graph.relink(edges, moved, changed, max_edges=16, width=40))
+    assert tuple(graph.check_graph(got, moved, 16).first()) == (0, 0, 0, 0)
+    q = moved.where("id in (3, 200)").select(F.col("id").alias("qid"), F.col("vector").alias("q"))
+    hits = graph.beam_search(q, got, moved, 2, entry=7, width=40)
+    assert {(r.qid, r.key) for r in hits.collect()} == {(3, 3), (3, 50), (200, 200), (200, 80)}
+
+
 def test_levels(spark):
     u = spark.range(20_000).select(graph.random_level(graph.hashed_uniform(F.col("id")), 16).alias("l")).groupBy("l").count()
     n = {r.l: r["count"] for r in u.collect()}

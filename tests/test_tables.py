@@ -77,6 +77,10 @@ def test_compressed_table(spark, tmp_path):
     q = spark.createDataFrame([(n, v[n].tolist()) for n in range(5)], "qid long, q array<float>")
     for _ in range(2):  # trains, then reads what it stored
         assert [r.key for r in t.query_compressed(q, 1).orderBy("qid").collect()] == [f"k{n}" for n in range(5)]
+    assert [r.key for r in t.search(q, 1).orderBy("qid").collect()] == [f"k{n}" for n in range(5)]
+    t.config.compression_threshold = 100
+    assert t.compressed() and t.search(q, 1).count() == 5
+    t.config.compression_threshold = 1000
     t.config.compression_mode = "trunc"
     assert t.query_compressed(q, 2).count() == 10 and not t.compressed()
     assert [r.key for r in t.ivf(8).search(q, 1, 8).orderBy("qid").collect()] == [f"k{n}" for n in range(5)]

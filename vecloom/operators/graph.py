@@ -238,6 +238,30 @@ def neighbors(edges: DataFrame, node: int, level: int = 0) -> DataFrame:
     return edges.where((F.col("src") == node) & (F.col("level") == level)).select("pos", "dst").orderBy("pos")
 
 
+def relink(edges: DataFrame, nodes: DataFrame, changed: DataFrame, alpha: float = 1.0, max_edges: int = 64, metric: str = "l2_sq", width: int = 200) -> DataFrame:
+    """Edges (src, dst) after the vectors of some nodes (changed: id) have new values, which `nodes` holds already.
+
+    Every node next to a changed one, and that one itself, chooses its neighbours anew from those at most two steps from
+    the changed one; the changed ones also from what a search of `width` finds near their new place, with back edges.
+    """
+    c = changed.select("id").distinct()
+    one = edges.select("src", "dst").distinct()
+    near = one.join(c.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("src").alias("c"), F.col("dst").alias("v"))
+    far = near.select("c", F.col("v").alias("src")).join(one, "src").select("c", F.col("dst").alias("v"))
+    own = c.select(F.col("id").alias("c"), F.col("id").alias("v"))
+    pool = near.union(far).union(own).distinct()
+    around = near.union(own).select("c", F.col("v").alias("src"))
+    fresh = around.join(pool, "c").select("src", F.col("v").alias("dst"))
+    q = c.join(nodes, "id").select(F.col("id").alias("qid"), F.col("vector").alias("q"))
+    found = beam_search(q, one, nodes, max_edges, width=width, metric=metric).select(F.col("qid").alias("src"), F.col("key").alias("dst"))
+    fresh = fresh.union(found).union(reverse_edges(found)).where("src != dst").distinct()
+    touched = fresh.select("src").distinct()
+    # a node that only gets a back edge keeps its own as candidates
+    keep = one.join(reverse_edges(found).select("src").distinct().join(around.select("src").distinct(), "src", "left_anti"), "src", "left_semi")
+    pruned = prune_edges(fresh.union(keep), nodes, alpha, max_edges, metric).select("src", "dst")
+    return one.join(touched, "src", "left_anti").select("src", "dst").union(pruned)
+
+
 def compact_edges(edges: DataFrame, deleted: DataFrame, nodes: DataFrame, alpha: float = 1.1, max_edges: int = 64, metric: str = "l2_sq") -> DataFrame:
     """Edges after deleted nodes (id) are gone: a node linked to a deleted one is linked to that one's live neighbours
     instead, and pruned; all others keep their edges. src, dst."""

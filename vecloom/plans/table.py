@@ -239,5 +239,9 @@ class VectorTable:
         c = self.compressor()
         return compressed_search(c, queries, c.encode(self.rows()), k, self.config.metric, widen)
 
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """query, by compressed vectors once the table has over compression_threshold rows."""
+        return self.query_compressed(queries, k) if self.compressed() else self.query(queries, k)
+
     def ivf(self, n_cells: int = 64, path: str | None = None) -> IvfIndex:
         return IvfIndex.build(self.rows(), n_cells, self.config.metric, path=path)
