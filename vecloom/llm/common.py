@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -64,6 +65,24 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def released(run):
+    """run, a function for mapInArrow, after whose tasks the worker gives the memory that they have freed back to the
+    system: workers live on, idle ones too, and share their executor's memory with the JVM."""
+    def inner(batches):
+        yield from run(batches)
+        _trim()
+
+    return inner
+
+
 def words(text: Column) -> Column:
     """Array of the text's words, built in; null text has none."""
     return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), SPACE_CLASS), "")

@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, dropping_shuffles, scratch_path, text_bytes
+from .common import drop_path, dropping_shuffles, released, scratch_path, text_bytes
 
 WINDOW = 13
 #: Windows that a task gathers before it sends them, bytes of text a group should stand for, runs of a level that are compacted.
-FLUSH, GROUP_BYTES, FAN_IN = 1 << 20, 16 << 20, 8
+FLUSH, GROUP_BYTES, FAN_IN = 1 << 19, 16 << 20, 8
 _KEY_BITS, _CHECK_BITS = 40, 24
 _P = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _LEAST = -(1 << 63)
@@ -35,7 +35,7 @@ _LEAST = -(1 << 63)
 class WordHashes:
     """Two 64-bit hashes of each word, remembered up to `cache` words."""
 
-    def __init__(self, cache: int = 200_000):
+    def __init__(self, cache: int = 100_000):
         self.cache = cache
         self._clear()
 
@@ -236,7 +236,7 @@ class FingerprintIndex:
         self.next += 1
         window, bits, flush = self.window, self.group_bits, self.flush
         keyed = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("_d"), text_bytes().alias("_x"))
-        rows = keyed.select("_d", "_x").mapInArrow(lambda b: _sketched(b, window, bits, flush), "kind int, grp int, prints binary, docs binary")
+        rows = keyed.select("_d", "_x").mapInArrow(released(lambda b: _sketched(b, window, bits, flush)), "kind int, grp int, prints binary, docs binary")
         shape = "kind int, grp int, doc long, prints binary"
         if self.runs:
             def both(key, new, runs):
@@ -257,7 +257,7 @@ class FingerprintIndex:
 
         def clean(batches):
             hashes = WordHashes()
-            for b in batches:
+            for b in (x.slice(at, 512) for x in batches for at in range(0, x.num_rows, 512)):
                 total, removed, kept = [], [], []
                 for t, p in zip(b.column(1), b.column(2)):
                     words = t.as_py().split()
@@ -276,7 +276,7 @@ class FingerprintIndex:
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pc.cast(pa.array(kept, pa.binary()), pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-        found = joined.mapInArrow(clean, f"doc_id {kind}, n_words long, n_removed long, kept string")
+        found = joined.mapInArrow(released(clean), f"doc_id {kind}, n_words long, n_removed long, kept string")
         if sum(level == 0 for level in self.runs.values()) >= self.fan_in:
             self.compact(0)
         return found
@@ -330,8 +330,9 @@ def dedup_substrings(docs: DataFrame, batches: int = 4, window: int = WINDOW):
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     index = FingerprintIndex(docs.sparkSession, group_bits_for(total), window)
     edges = batch_edges(docs, batches)
-    n = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
+    n = F.col("doc_id")
     for low, high in zip([None, *edges], [*edges, None]):
+        # plain comparisons, which reach the scan; null ids are in the first batch
         part = docs if low is None else docs.where(n > low)
-        yield index.dedup(part if high is None else part.where(n <= high))
+        yield index.dedup(part if high is None else part.where(n <= high if low is not None else (n <= high) | n.isNull()))
         index.drop_hits()
