@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, batch, stored, text_bytes
+from .common import LOWER, batch, released, stored, text_bytes
 
 WINDOW, SHINGLE = 10, 5
 #: (window, item) rows that are broadcast at once: about 60 MB at most.
@@ -249,7 +249,7 @@ def _scanned(docs: DataFrame, carry: Column, benchmark: DataFrame, window: int,
 
     if blocks <= 1:
         sent = _block_of(spark, wins, carried.select("_x"), 0, 1) if total else None
-        return carried.mapInArrow(results(sent, "row"), f"row {kind}, {tail}")
+        return carried.mapInArrow(released(results(sent, "row")), f"row {kind}, {tail}")
     # several blocks: rows get a key that lasts, and each block's findings are merged by it
     keyed = stored(carried.withColumn("_key", F.monotonically_increasing_id()), "keyed")
     found = None

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored, text_bytes
+from .common import LOWER, released, stored, text_bytes
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -81,7 +81,7 @@ def fingerprint_table(docs: DataFrame, carry: Column | None = None) -> DataFrame
                 fp = fingerprints(part.column(1).to_pylist()).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["row", "fp"])
 
-    return d.mapInArrow(run, f"row {d.schema['row'].dataType.simpleString()}, fp long")
+    return d.mapInArrow(released(run), f"row {d.schema['row'].dataType.simpleString()}, fp long")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch_path, text_bytes
+from .common import released, scratch_path, text_bytes
 
 MAGIC, HEAD = b"VLTOKEN1", struct.Struct("<8s8I")
 #: Ids after which a segment closes, and one bits between select samples.
@@ -263,7 +263,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.j
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select("doc_id", text_bytes().alias("_x")).repartitionByRange(count, F.col("doc_id").asc_nulls_first())
     d = d.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_x")
-    d.mapInArrow(run, f"part int, seq long, n_ids long, doc_ids array<{kind}>, segment binary").write.parquet(path)
+    d.mapInArrow(released(run), f"part int, seq long, n_ids long, doc_ids array<{kind}>, segment binary").write.parquet(path)
 
 
 def read_token_ids(spark, path: str, kind: str = "bigint") -> DataFrame:
