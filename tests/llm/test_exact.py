@@ -1,6 +1,5 @@
 """Operators against brute force on odd rows."""
 
-import hashlib
 import math
 import re
 import zlib
