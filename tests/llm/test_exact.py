@@ -503,3 +503,14 @@ def test_scores_tell_language_apart(spark):
     bad = [got[k].score / got[k].n_tokens for k in held if k % 4 == 3]
     base = [got[k].base_score / got[k].n_tokens for k in held if k % 4 != 3]
     assert np.mean(good) > np.mean(base) + 0.5 and np.mean(good) > np.mean(bad) + 0.5
+
+
+def test_counts_beyond_the_dictionary_enter_scores(spark):
+    """A training word outside the dictionary costs about what its exact count says, not its spelling."""
+    train = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 != 2]
+    held = [k for k in range(400, 500) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
+    rows = [(k, "the " * 20 + "abcdefghij klmnopqrst " * 5 + f"once{k}x") for k in train]
+    rows += [(held[0], "abcdefghij " * 100), (held[1], "jihgfedcba " * 100), (held[2], "z" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.total_bits for r in score_documents(df, vocabulary=1).where(F.col("doc_id").isin(held)).collect()}
+    assert got[held[0]] < 400 and got[held[1]] > 1500 and math.isfinite(got[held[2]])
