@@ -454,6 +454,16 @@ def test_word_encoder(tokenizer):
         assert np.frombuffer(e.encode(t.encode()), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("text, want", [
+    (b"IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", [b"DE89 3704 0044 0532 0130 00"]), (b"iban DE89370400440532013000 12345 X", [b"DE89370400440532013000"]),
+    (b"IBAN GB82 WEST 1234 5698 7654 32 GB82 WEST 1234 5698 7654 32", [b"GB82 WEST 1234 5698 7654 32"] * 2), (b"REF AB12 DE89 3704 0044 0532 0130 00 EUR", [b"DE89 3704 0044 0532 0130 00"]),
+    (b"IBAN DE88 3704 0044 0532 0130 00 BIC COBADEFFXXX", []), (b"IBAN DE89 3704 0044 0532 0130 001", []),
+    (b"IBAN LC55 HEMM 0001 0001 0012 0012 0002 3015 BIC 7", [b"LC55 HEMM 0001 0001 0012 0012 0002 3015"]),
+])
+def test_iban_before_capitals_and_numbers(text, want):
+    assert [text[s:e] for k, s, e, _ in spans(text) if k == "iban"] == want
+
+
 # --- language model
 
 
