@@ -40,6 +40,26 @@ def test_best_container():
     assert best_container([]) is None
 
 
+LONG = "<p>" + "the body of the story goes on and on here " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("inside", ["<div class='entry-content'>%s</div>", "<blockquote>%s</blockquote>", "<table><tr><td>%s</td></tr></table>", "<section>%s</section>"])
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<main><div>%s</div></main>", "<div class=post>%s</div>"])
+def test_whole_article(inside, around):
+    """Heading, introduction and end outside the part with most of the text belong to the article."""
+    page = "<body><nav>Home</nav>" + around % ("<h1>Title</h1><p>intro</p>" + inside % LONG + "<p>The end.</p>") + "<div class=x><a href=/>More of it</a></div></body>"
+    text = text_of(page)
+    assert text.startswith("Title intro the body") and text.endswith("The end.")
+
+
+def test_whole_article_in_parts(spark):
+    """A part of some length in a container of its own is kept, also by the votes of a host."""
+    page = "<body><div class=post><div class=intro><p>An introduction of ten words stands in its own box.</p></div><div class=entry>" + LONG + "</div></div></body>"
+    rows = [(n, f"https://c.example/{n}", page) for n in range(3)]
+    got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text.startswith("An introduction of ten words") and r.text.endswith("on here") for r in got)
+
+
 def test_hosts_agree(spark):
     def page(n, teaser):
         return f"<body><div class='x{n}'><p>{teaser}</p></div><div class='story s{n}'><p>{'story words ' * 10}{n}</p></div></body>"

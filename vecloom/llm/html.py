@@ -1,7 +1,8 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Each page's containers are scored by the text in them that no menu, notice or the like claims; the page votes for the
-deepest container with most of it, named by its generalised path: tags with their first class, digits masked. Votes are
+deepest container with all of it but labels and lists of links, widened to the article around it, and named by its
+generalised path: tags with their first class, digits masked. Votes are
 summed by host in Spark; a host's winning paths are those that many of its pages chose. Pages are then extracted with
 their host's winning paths; a page that has none of them uses its own best container.
 """
@@ -21,6 +22,8 @@ from .common import stored
 
 #: Share of a page's text that its best container must hold, and share of a host's pages that makes a path win too.
 MOST, WINS = 0.7, 0.25
+#: Words from which on a block is no label.
+LABEL = 8
 
 _CONTAINERS = frozenset("html body main article section div td table tbody tr blockquote center".split())
 _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre figure figcaption header footer nav aside form fieldset address details summary th thead tfoot caption hr br option button legend".split())
@@ -203,21 +206,38 @@ def _within(path: str, container: str) -> bool:
 
 
 def best_container(found: list[tuple[str, str, int]], most: float = MOST) -> tuple[str, float] | None:
-    """(path, score) of the deepest container that holds `most` of the page's text; text in links counts little."""
+    """(path, score) of the page's main container; text in links counts little.
+
+    It is the deepest one that holds `most` of the page's text and all blocks that are neither labels (under LABEL words)
+    nor mostly links; then the outermost article or main around it; or else the highest container around it that has
+    text of its own, not only in containers beside it.
+    """
     mass: dict[str, float] = {}
-    total = 0.0
+    needed: dict[str, int] = {}
+    own: set[str] = set()
+    total, all_needed = 0.0, 0
     for path, text, links in found:
+        linked = 2 * links > len(text)
+        need = not linked and text.count(" ") + 1 >= LABEL
+        if not linked:
+            own.add(path)
         m = len(text) - 0.9 * min(links, len(text))
         total += m
+        all_needed += need
         while True:
             mass[path] = mass.get(path, 0.0) + m
+            needed[path] = needed.get(path, 0) + need
             if not path:
                 break
             path = path.rpartition("/")[0]
     if not mass:
         return None
-    good = [p for p, m in mass.items() if m >= most * total]
+    good = [p for p, m in mass.items() if m >= most * total and needed[p] == all_needed]
     path = max(good, key=lambda p: (p.count("/"), mass[p], p))
+    parts = path.split("/")
+    around = ["/".join(parts[: k + 1]) for k in range(len(parts))]
+    articles = [p for p in around if p.rpartition("/")[2].partition(".")[0] in ("article", "main")]
+    path = next((p for p in articles or around if articles or p in own), path)
     return path, mass[path]
 
 
