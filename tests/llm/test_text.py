@@ -47,11 +47,31 @@ LONG = "<p>" + "the body of the story goes on and on here " * 20 + "</p>"
 @pytest.mark.parametrize("around", ["<article>%s</article>", "<main><div>%s</div></main>", "<div class=post>%s</div>"])
 def test_whole_article(inside, around):
     """Heading, introduction and end outside the part with most of the text belong to the article."""
-    page = "<body><nav>Home</nav>" + around % ("<h1>Title</h1><p>intro</p>" + inside % LONG + "<p>The end.</p>") + "<div class=x><a href=/>More of it</a></div></body>"
+    page = "<body><nav>Home</nav>" + around % ("<h1>Title</h1><p>intro</p>" + inside % LONG + "<p>The end.</p>") + "<div class=x><a href='/more'>More of it</a></div></body>"
     text = text_of(page)
     assert text.startswith("Title intro the body") and text.endswith("The end.")
 
 
+@pytest.mark.parametrize("part", [
+    "<section id='discussion'><p>kept</p></section>", "<h2 id='side-effects'>kept</h2>", "<div class='related-work'><p>kept</p></div>", "<h2 id='search-results'>kept</h2>", "<div class='notice'>kept</div>",
+    "<div class='header'><h1>kept</h1></div>", "<section class='social-history alert-levels'>kept</section>", "<section id=tags-in-html>kept</section>", "<section id=cookies><p>kept" + LONG + "</section>", "<div class=related>kept" + LONG + "</div>",
+])
+def test_names_in_articles(part):
+    assert "kept" in text_of(f"<body><article><p>before</p>{part}<p>after</p></article></body>")
+
+
+@pytest.mark.parametrize("part", ["<section id='discussion-of-results'><p>kept</p></section>", "<h2 id='side-effects' class='search-title'>kept</h2>", "<div class='discussion'>kept" + LONG + "</div>", "<div class='has-sidebar'>kept</div>"])
+def test_names_outside_articles(part):
+    assert "kept" in text_of(f"<body><p>before</p>{part}<p>after</p></body>")
+
+
+@pytest.mark.parametrize("part", ["<div class=ad>gone</div>", "<div class='share-buttons'>gone</div>", "<div class=comments>gone" + LONG + "</div>", "<div id=disqus_thread>gone</div>", "<span class=share>gone</span>", "<div class=related>" + "<a href='/x'>gone is this and that</a> " * 40 + "</div>", "<div id=cookie-notice>gone" + LONG + "</div>"])
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<div>%s</div>"])
+def test_furniture_by_name(part, around):
+    text = text_of("<body>" + around % f"<p>before</p>{part}<p>after</p>" + "</body>")
+    assert "gone" not in text and text.startswith("before") and text.endswith("after")
+
+
 def test_whole_article_in_parts(spark):
     """A part of some length in a container of its own is kept, also by the votes of a host."""
     page = "<body><div class=post><div class=intro><p>An introduction of ten words stands in its own box.</p></div><div class=entry>" + LONG + "</div></div></body>"

@@ -34,12 +34,23 @@ _RAW = frozenset("script style textarea title noscript iframe xmp noembed nofram
 _OUT = frozenset("nav footer aside form menu button select option dialog head title script style noscript iframe svg math template textarea canvas audio video object label input".split())
 #: Roles, class and id words of page furniture.
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-_OUT_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|toast|"
-    r"sidebar|side|aside|widget|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|foot|header|masthead|topbar|toolbar|"
-    r"comments?|commentlist|respond|replies|disqus|discussion|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|search|skip|tags|toc)(?=$|[\s_-])",
-    re.I,
+_CLEAR = (
+    "ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|cookies?|consent|gdpr|popup|modal|overlay|toast|sidebar|nav|navbar|navigation|breadcrumbs?|pagination|pager|"
+    "footer|masthead|topbar|toolbar|comments?|commentlist|disqus|newsletter|subscribe|subscription|signup"
 )
+#: Words that articles use as well: their elements are furniture unless they hold much text and few links.
+_MAYBE = "promo(?:tion)?|banner|notices?|alert|side|aside|widget|menu|foot|header|respond|replies|discussion|share|sharing|social|related|recommend(?:ed|ations)?|login|search|skip|tags|toc"
+_CLEAR_PART, _MAYBE_PART = (re.compile(rf"(?:^|[_-])(?:{x})(?=$|[_-])", re.I) for x in (_CLEAR, _MAYBE))
+#: In an article, and of ids, only whole names count: a word of furniture, alone or with words of layout.
+_CLEAR_INSIDE = "ads?|adverts?|advertisement|advertising|adsense|sponsored|sidebar|navbar|breadcrumbs?|pagination|pager|footer|comments?|commentlist|disqus|newsletter"
+_BEFORE, _AFTER = "(?:(?:site|page|post|article|entry|blog|main)[_-])*", "(?:[_-](?:box|block|area|section|list|links?|buttons?|bar|wrap(?:per)?|container|posts?|articles?|notice|banner|thread|form|slot|unit|left|right|top|bottom|[0-9]+))"
+_NAME_INSIDE = re.compile(rf"{_BEFORE}(?:(?P<clear>{_CLEAR_INSIDE}){_AFTER}*|(?:cookies?|consent|gdpr|nav|navigation|menu|modal|overlay|popup|toast|banner|widget|login|signup|subscribe|share|sharing|social|related|recommended|recommendations|promo|tags|toc)(?P<more>{_AFTER}*))", re.I)
+_NAME_OUTSIDE = re.compile(rf"{_BEFORE}(?:(?P<clear>{_CLEAR}){_AFTER}*|(?:{_MAYBE})(?P<more>{_AFTER}*))", re.I)
+#: Names that only say what a container has, or that are the article's own heading block.
+_NO_NAME = re.compile(r"(?:has|with|without|no)[_-].*|[\w-]*(?:article|post|entry)[_-]?header", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters that make much text, and the share of them in links that is few.
+MUCH, FEW = 300, 0.2
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*")
 _DIGITS = re.compile(r"\d+")
@@ -49,10 +60,10 @@ _ENDS_P = _BLOCKS - {"br", "button", "legend", "option", "tr", "td", "th", "tbod
 
 
 class _Element:
-    __slots__ = ("tag", "path", "out", "parent", "link", "article")
+    __slots__ = ("tag", "path", "out", "parent", "link", "article", "doubt")
 
-    def __init__(self, tag: str, path: str, out: bool, parent, link: bool, article: bool):
-        self.tag, self.path, self.out, self.parent, self.link, self.article = tag, path, out, parent, link, article
+    def __init__(self, tag: str, path: str, out: bool, parent, link: bool, article: bool, doubt: tuple | None = None):
+        self.tag, self.path, self.out, self.parent, self.link, self.article, self.doubt = tag, path, out, parent, link, article, doubt
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -73,8 +84,25 @@ def _tag_end(page: str, at: int) -> int:
     return end
 
 
+def _furniture(classes: str, ids: str, inside: bool) -> int:
+    """What the names of an element, in an article or not, say: 2 page furniture, 1 furniture unless it has much text, 0 nothing."""
+    found = 0
+    for names, whole in ((classes, inside), (ids, True)):
+        for name in names.split():
+            if _NO_NAME.fullmatch(name):
+                continue
+            if whole:
+                if m := (_NAME_INSIDE if inside else _NAME_OUTSIDE).fullmatch(name):
+                    found = max(found, 2 if m["clear"] or m["more"] else 1)
+            elif _CLEAR_PART.search(name):
+                found = 2
+            elif _MAYBE_PART.search(name):
+                found = max(found, 1)
+    return found
+
+
 def _element(tag: str, attributes: str, parent: _Element | None) -> _Element:
-    kind, marks, role, hidden = "", "", "", False
+    kind, marks, ids, role, hidden = "", "", "", "", False
     if attributes:
         for m in _ATTR.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -82,7 +110,7 @@ def _element(tag: str, attributes: str, parent: _Element | None) -> _Element:
                 kind = kind or value
                 marks += " " + value
             elif name == "id":
-                marks += " " + value
+                ids += " " + value
             elif name == "role":
                 role = value.lower()
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -91,22 +119,43 @@ def _element(tag: str, attributes: str, parent: _Element | None) -> _Element:
     out = parent is not None and parent.out or tag in _OUT or hidden or role in _OUT_ROLES
     if tag == "header" and not inside:
         out = True
-    if not out and marks and tag not in ("html", "body", "article", "main") and _OUT_WORD.search(marks):
-        # a heading block of the article itself may be called header
-        out = not (inside and re.fullmatch(r"(?:\s*[\w-]*(?:article|post|entry)[_-]?header)+\s*", marks, re.I))
+    doubt = parent.doubt if parent is not None else None
+    if not out and (marks or ids) and tag not in ("html", "body", "article", "main") and tag not in _HEADINGS:
+        name = _furniture(marks, ids, inside)
+        out = name == 2
+        if name == 1:
+            doubt = (object(), doubt)
     path = parent.path if parent else ""
     if tag in _CONTAINERS:
         first = _DIGITS.sub("#", kind.split()[0].lower()) if kind.split() else ""
         path = f"{path}/{tag}{'.' + first if first else ''}"
-    return _Element(tag, path, out, parent, tag == "a" or parent is not None and parent.link, inside or tag in ("article", "main"))
+    return _Element(tag, path, out, parent, tag == "a" or parent is not None and parent.link, inside or tag in ("article", "main"), doubt)
 
 
 def blocks(page: str) -> Iterator[tuple[str, str, int]]:
     """(path of the container, text, characters of it in links) of each block that isn't page furniture, in order.
 
     Tags need not be closed; text after an unfinished tag's < is dropped as a browser would. Character references are
-    decoded and white space within a block becomes one space.
+    decoded and white space within a block becomes one space. Elements whose name alone doesn't tell are kept if they
+    hold MUCH text, FEW of it in links.
     """
+    found = list(_all_blocks(page))
+    held: dict[int, list[int]] = {}
+    for _, text, links, doubt in found:
+        while doubt:
+            size = held.setdefault(id(doubt), [0, 0])
+            size[0] += len(text)
+            size[1] += links
+            doubt = doubt[1]
+    for path, text, links, doubt in found:
+        while doubt and held[id(doubt)][0] >= MUCH and held[id(doubt)][1] <= FEW * held[id(doubt)][0]:
+            doubt = doubt[1]
+        if not doubt:
+            yield path, text, links
+
+
+def _all_blocks(page: str) -> Iterator[tuple[str, str, int, tuple | None]]:
+    """The blocks, also those of doubtful elements, with the chain of these around them."""
     low = page.lower()
     if len(low) != len(page):
         low = page.translate({c: c + 32 for c in range(65, 91)})
@@ -118,7 +167,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
     def flush():
         nonlocal parts, links
         text = " ".join("".join(parts).split()) if parts else ""
-        found = (where.path, text, links)
+        found = (where.path, text, links, where.doubt)
         parts, links = [], 0
         return found if text else None
 
@@ -171,7 +220,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
                 # an inline end tag doesn't close blocks
                 e = root if tag not in _BLOCKS and e.tag in _CONTAINERS else e.parent
             if e is not root:
-                if tag not in _BLOCKS and e.out != e.parent.out and (found := flush()):
+                if tag not in _BLOCKS and (e.out != e.parent.out or e.doubt is not e.parent.doubt) and (found := flush()):
                     yield found
                 here = e.parent
             continue
@@ -194,7 +243,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
         if tag in _VOID or page[end - 1] == "/" and tag not in _BLOCKS:
             continue
         new = _element(tag, page[m.end() : end], here)
-        if new.out and not here.out and (found := flush()):
+        if (new.out and not here.out or new.doubt is not here.doubt) and (found := flush()):
             yield found
         here = new
     if found := flush():
