@@ -153,6 +153,18 @@ def test_queries_run(spark, sf_dir, tmp_path):
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in Q.queries()} == set(range(1, 11))
 
 
+def test_revision_counts_like_the_whole_texts(spark, sf_dir):
+    """op9 against encoding every text before and after its three edits."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("t", F.coalesce("text", F.lit("")))
+    starts = [F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.char_length("t").cast("long") + 1).alias(f"s{k}") for k in (1, 2, 3)]
+    count, want = counter(), []
+    for r in docs.select("doc_id", "t", *starts).collect():
+        text = edited(r.t, [(r.s1, r.s1, " an added remark,"), (r.s2, r.s2 + 40, ""), (r.s3, r.s3 + 5, "word")])
+        want.append((r.doc_id, len(count.encode(r.t)), len(count.encode(text)), len(text), 3))
+    got = [(r.doc_id, r.n_before, r.n_tokens, r.n_chars, r.n_edits) for r in Q.op9_edit_aware_counts(spark, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as C
 

@@ -181,7 +181,7 @@ def build_trees(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", leaf:
 def apply_edits(trees: DataFrame, edits: str = "edits", tokenizer: str = "byte_bpe_50k.tiktoken", leaf: int = LEAF) -> DataFrame:
     """The trees after the edits in the array column `edits` (struct start, end, text; code points of the text as the
     edits before have left it), applied in order: the same columns, and n_edits, n_leaves, n_encoded (leaves encoded
-    again).
+    again), n_before (tokens before the edits).
 
     Null or empty arrays change nothing; null starts, ends and texts mean 0, start and "". Null structs are passed over.
     """
@@ -195,14 +195,15 @@ def apply_edits(trees: DataFrame, edits: str = "edits", tokenizer: str = "byte_b
                 out = []
                 for text, chars, tokens, todo in zip(*(part.column(k).to_pylist() for k in range(1, 5))):
                     tree, done = CountTree(text, count, leaf, (chars, tokens)), 0
+                    before = tree.total
                     for e in todo or ():
                         if e is not None:
                             start = e["start"] or 0
                             tree.edit(start, start if e["end"] is None else e["end"], e["text"] or "")
                             done += 1
-                    out.append((tree.text, tree.total, tree.chars, tree.tokens, done, sum(map(bool, tree.leaves)), tree.encoded))
-                kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
-                names = ["text", "n_tokens", "node_chars", "node_tokens", "n_edits", "n_leaves", "n_encoded"]
+                    out.append((tree.text, tree.total, tree.chars, tree.tokens, done, sum(map(bool, tree.leaves)), tree.encoded, before))
+                kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                names = ["text", "n_tokens", "node_chars", "node_tokens", "n_edits", "n_leaves", "n_encoded", "n_before"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc_id", *names])
 
-    return trees.select("doc_id", "text", "node_chars", "node_tokens", F.col(edits).cast(_EDIT).alias("_e")).mapInArrow(run, f"doc_id {kind}, {_STATE}, n_edits long, n_leaves long, n_encoded long")
+    return trees.select("doc_id", "text", "node_chars", "node_tokens", F.col(edits).cast(_EDIT).alias("_e")).mapInArrow(run, f"doc_id {kind}, {_STATE}, n_edits long, n_leaves long, n_encoded long, n_before long")

@@ -75,7 +75,7 @@ def revision(trees: DataFrame) -> DataFrame:
 def op9_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents before and after the revision, and how many leaves were encoded again."""
     before = build_trees(tables(spark, sf_dir, "documents"))
-    return apply_edits(revision(before)).select("doc_id", "n_tokens", F.char_length("text").cast("long").alias("n_chars"), "n_edits", "n_leaves", "n_encoded")
+    return apply_edits(revision(before)).select("doc_id", "n_before", "n_tokens", F.char_length("text").cast("long").alias("n_chars"), "n_edits", "n_leaves", "n_encoded")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
