@@ -1,14 +1,17 @@
 """HTML extraction, edit-aware counts, queries and the pipeline."""
 
+import os
 import random
 import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
 from vecloom.llm import queries as Q
 from vecloom.llm.editcount import CountTree, apply_edits, build_trees, counter
-from vecloom.llm.html import best_container, blocks, extract_main_text, main_text
+from vecloom.llm.html import Page, extract_main_text, host_paths
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site"><a href="/">Home</a></header><nav><ul><li><a href=/a>A</a></ul></nav><div id="cookie-notice">We use cookies</div>
@@ -19,7 +22,7 @@ PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>
 
 
 def text_of(page):
-    return main_text(list(blocks(page)), [])
+    return Page(page).text()
 
 
 def test_blocks():
@@ -35,9 +38,19 @@ def test_odd_pages(page, want):
 
 
 def test_best_container():
-    found = [("/body/nav", "x" * 10, 10), ("/body/div.main", "y" * 100, 0), ("/body/div.main/div", "z" * 50, 0)]
-    assert best_container(found)[0] == "/body/div.main"
-    assert best_container([]) is None
+    page = Page(f"<body><section><a href=x>{'x' * 10}</a></section><div class='main n1'>{'y' * 100}<div>{'z' * 50}</div></div></body>")
+    assert page.path_name(page.best()[0]) == "/body/div.main"
+    assert Page("").best() is None
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 20_000 + "<p>words of a block" * 20_000, "<div class=social>" * 20_000 + "<p>words of a block</p>" * 20_000, "".join(f"<div class=c{'x' * (n % 50)}><p>words {n}" for n in range(20_000)), "<b>" * 20_000 + "</i><p>x</p>" * 20_000,
+    "<ul>" + "<div>" * 20_000 + "<li>x</li></u>" * 20_000, "<p>" + "word " * 1_000_000, "<a href='" * 20_000, "<" * 200_000, "&#" * 200_000,
+])
+def test_deep_and_long_pages_take_linear_time(page):
+    start = time.time()
+    Page(page).text(["/div/div", "/body/div.main"])
+    assert time.time() - start < 5
 
 
 LONG = "<p>" + "the body of the story goes on and on here " * 20 + "</p>"
@@ -94,6 +107,74 @@ def test_hosts_agree(spark):
     assert extract_main_text(df).count() == 14 and extract_main_text(df.limit(0)).count() == 0
 
 
+class Article(HTMLParser):
+    """Brute force for pages whose text is all in article: its text, block by block."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.deep, self.skip, self.parts = 0, 0, []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.deep += tag == "article"
+        self.skip += tag in ("script", "style")
+        if tag in ("p", "h1", "br", "article"):
+            self.parts.append("\0")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "article"):
+            self.parts.append("\0")
+        self.deep -= tag == "article"
+        self.skip -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.deep and not self.skip:
+            self.parts.append(data)
+
+    def text(self):
+        return " ".join(x for x in (" ".join(p.split()) for p in "".join(self.parts).split("\0")) if x)
+
+
+def test_all_pages_like_a_parser(spark):
+    """Every row of the pages table, by the query, against the standard library's parser."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.exists(folder):
+        pytest.skip("no test data")
+    got = {r.page_id: (r.text, r.n_chars) for r in Q.op3_extract_html(spark, folder).collect()}
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for r in pages:
+        want = Article(r.html or "").text()
+        assert got[r.page_id] == (want, len(want))
+
+
+def test_hosts_judge_doubtful_names(spark):
+    """A short element of a doubtful name stays where its text differs from page to page, and goes where it repeats or links."""
+    def page(n):
+        return f"<body><article><p>story {n} {'words ' * 20}</p><div class=toc>part {n}</div><div class=share>tell others</div><div class=related><a href=/x>see {n}</a></div></article></body>"
+
+    rows = [(n, f"https://a.example/{n}", page(n)) for n in range(5)] + [(9, "https://few.example/", page(9))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    assert got[3].startswith("story 3 words") and got[3].endswith("words part 3") and got[9].endswith("words")
+    told = {r.host: r for r in host_paths(df).collect()}
+    assert {x.path: x.fine for x in told["a.example"].verdicts} == {"/body/article/div.toc": True, "/body/article/div.share": False, "/body/article/div.related": False}
+    assert told["few.example"].verdicts is None
+
+
+def test_winners_of_a_hot_host_meet_its_pages_in_parts(spark):
+    page = "<body><div class=story><p>%s words of a story here</p></div><div class=x><a href=/y>more</a></div></body>"
+    df = spark.range(400).selectExpr("id as page_id", "case when id % 3 > 0 then 'https://hot.example/' else concat('https://', id, '.example/') end as url").withColumn("html", F.format_string(page, F.col("page_id")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = extract_main_text(df).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.page_id, r.text) for r in got) == [(n, f"{n} words of a story here") for n in range(400)]
+
+
 # --- edit-aware counts
 
 
