@@ -16,7 +16,7 @@ from vecloom.llm.lmscore import score_documents
 from vecloom.llm.mixing import mix_sources, mixed_documents
 from vecloom.llm.pii import base_spans, find_pii, luhn, mod97, redacted, spans
 from vecloom.llm.quality import keep_quality, quality_rules
-from vecloom.llm.simhash import VantageTree, fingerprints, near_duplicates, near_links, one_of_each
+from vecloom.llm.simhash import VantageTree, distances, fingerprints, local_links, near_duplicates, near_links, one_of_each
 from vecloom.llm.substrings import FingerprintIndex, dedup_substrings, pack, unpack
 from vecloom.llm.tokenids import EliasFano, Segment, WordEncoder, token_ids, tokenizer_path, write_segment
 
@@ -141,8 +141,9 @@ def test_one_of_each(odd, empty):
     assert one_of_each(empty).count() == near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("leaf", [16, 64, 100_000])
-def test_tree_finds_all_pairs(spark, leaf):
+@pytest.mark.parametrize("leaf, sample, group", [(16, 1 << 17, 1 << 20), (64, 1 << 17, 1 << 20), (100_000, 1 << 17, 1 << 20), (8, 64, 1 << 20), (16, 64, 100), (100_000, 1 << 17, 50)])
+def test_tree_finds_all_pairs(spark, leaf, sample, group):
+    """Also where nodes are parted by further branches, and compared in chunks."""
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
     fps = list(base)
@@ -153,7 +154,7 @@ def test_tree_finds_all_pairs(spark, leaf):
         fps.append(f)
     fps = np.unique(np.array(fps, np.uint64))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    links = near_links(df, 3, leaf=leaf).collect()
+    links = near_links(df, 3, leaf=leaf, sample=sample, group=group).collect()
     where = {int(x): n for n, x in enumerate(fps.view(np.int64))}
     root = list(range(len(fps)))
 
@@ -169,6 +170,27 @@ def test_tree_finds_all_pairs(spark, leaf):
     assert len({*zip(got, want)}) == len(set(got)) == len(set(want))
 
 
+@pytest.mark.parametrize("limit", [4, 50, 1000])
+def test_local_branches_find_all_pairs(limit):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    fps = np.unique(np.concatenate((base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) for _ in range(4)))))
+    home, guest = fps[: len(fps) // 2], fps[len(fps) // 2 :]
+    linked = {frozenset(x) for a, b in local_links(home, guest, 3, limit) for x in zip(a.tolist(), b.tolist())}
+    root = {int(x): int(x) for x in fps.view(np.int64)}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in map(tuple, linked):
+        root[find(a)] = find(b)
+    for a in home:
+        for b in fps[distances(fps, a) <= 3]:
+            assert find(int(a.view(np.int64))) == find(int(b.view(np.int64)))
+
+
 def test_tree_prunes():
     rng = np.random.default_rng(2)
     fps = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)

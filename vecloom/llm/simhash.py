@@ -5,8 +5,9 @@ vantage-point tree: a node sends fingerprints within `mu` bits of its vantage po
 By the triangle inequality two fingerprints within `radius` bits can only be parted if the nearer one lies within
 `radius` of that border; it is sent to the far side as well, as a guest. So every near pair meets in some leaf, as two
 residents or as a resident and a guest, and no other leaf is looked at. The tree's upper part is built from a bounded
-sample of fingerprints; all fingerprints are dealt out by it. Leaves link what they find as stars, not as all pairs, and
-components are found over those links.
+sample of fingerprints; all fingerprints are dealt out by it, and again by branches built inside nodes that stay too large.
+A task deals its node out further, one branch at a time, before it compares. Leaves link what they find as stars, not as
+all pairs, and components are found over those links.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, released, stored, text_bytes
+from .common import LOWER, _trim, released, stored, text_bytes
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Residents that a leaf should have, and most fingerprints sampled (by smallest hash) to build the tree.
-LEAF, SAMPLE = 4096, 1 << 17
+#: Residents that a shuffled leaf should have at most, most fingerprints sampled (by smallest hash) to build the tree in the driver.
+LEAF, SAMPLE = 1 << 17, 1 << 17
+#: Residents that a task compares all with all; rows of a shuffled leaf beyond which it is compared in pairs of chunks.
+LOCAL, GROUP = 128, 1 << 22
+#: Residents sampled to part a node further, and levels of its branch.
+BRANCH, BRANCH_DEPTH = 4096, 6
 _HASHES_AT_ONCE = 1 << 16
 
 
@@ -109,9 +114,10 @@ class VantageTree:
             self.points[n], self.mu[n] = best, int(np.median(d))
             parts[2 * n + 1], parts[2 * n + 2] = part[d <= self.mu[n]], part[d > self.mu[n]]
 
-    def deal(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, is resident) for all leaves that each fingerprint has to be in."""
-        row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
+    def deal(self, fps: np.ndarray, radius: int, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, is resident) for all leaves that each fingerprint has to be in; home: those that are residents, all
+        by default."""
+        row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool) if home is None else home
         for _ in range(self.depth):
             d, mu = distances(fps[row], self.points[node]).astype(np.int16), self.mu[node]
             near, edge = d <= mu, d + radius > mu
@@ -128,7 +134,7 @@ class VantageTree:
         return row, node - ((1 << self.depth) - 1), home
 
 
-def leaf_links(residents: np.ndarray, guests: np.ndarray, radius: int, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def leaf_links(residents: np.ndarray, guests: np.ndarray, radius: int, cells: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Links (fp, least fp of its group in this leaf) from all pairs resident-resident and resident-guest."""
     points = np.concatenate((residents, guests))
     label = np.arange(len(points))
@@ -149,53 +155,102 @@ def leaf_links(residents: np.ndarray, guests: np.ndarray, radius: int, cells: in
     return values[linked], root[linked]
 
 
-def _local_links(fps: np.ndarray, radius: int, limit: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of one leaf, parted further by trees of its own while it has more than twice `limit` residents."""
-    stack = [(fps, np.zeros(0, np.uint64), 0)]
+def local_links(home: np.ndarray, guest: np.ndarray, radius: int, limit: int = LOCAL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of one leaf, whose residents and guests are dealt out further by nodes of its own, one branch at a time, until
+    at most `limit` residents are left. A branch that its best vantage point hardly parts is compared as it is."""
+    stack = [(home, guest, 0)]
     while stack:
         home, guest, level = stack.pop()
-        if len(home) <= 2 * limit or level > 24:
-            yield leaf_links(home, guest, radius)
-            continue
-        tree = VantageTree(home[:: max(1, len(home) // limit)], 1, seed=level)
-        row, leaf, own = tree.deal(home, radius)
-        d = distances(guest, tree.points[0]).astype(np.int16)
-        sides = [(home[row[own & (leaf == s)]], np.concatenate((home[row[~own & (leaf == s)]], guest[d <= tree.mu[0] + radius] if s == 0 else guest[d + radius > tree.mu[0]]))) for s in (0, 1)]
-        if min(len(sides[0][0]), len(sides[1][0])) == 0:
-            yield leaf_links(home, guest, radius)
-            continue
-        stack += [(h, g, level + 1) for h, g in sides if len(h)]
-
-
-def near_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
-    """Links (a, b) among distinct fingerprints `fp` that join exactly those that lie within radius bits of each other.
+        if len(home) > limit:
+            tree = VantageTree(home[:: max(1, len(home) // 2048)], 1, seed=level)
+            d, e, mu = distances(home, tree.points[0]).astype(np.int16), distances(guest, tree.points[0]).astype(np.int16), tree.mu[0]
+            near, edge = d <= mu, d + radius > mu
+            sides = (home[near], guest[e <= mu + radius]), (home[~near], np.concatenate((home[near & edge], guest[e + radius > mu])))
+            # worth it if it saves comparisons
+            if sum(len(h) * (len(h) + len(g)) for h, g in sides) < 0.9 * len(home) * (len(home) + len(guest)):
+                stack += [(h, g, level + 1) for h, g in sides if len(h)]
+                continue
+        yield leaf_links(home, guest, radius)
 
-    A link says that both are in one group of near ones, not that they are near themselves.
+
+def _dealt(rows: DataFrame, radius: int, leaf: int, sample: int) -> DataFrame:
+    """rows (node, fp, home), which are one node's, dealt out by a tree: a table (node long, fp, home).
+
+    The tree is built on the driver from a bounded sample, so one round has at most log2(sample / 16) levels. Nodes that
+    still have over 4 * leaf residents are dealt out again: samples of `BRANCH` residents meet in a task a node, which
+    builds that node's branch, and rows meet their branch in parts of bounded size. That goes on until no node is too
+    large or none gets smaller.
     """
-    spark = fps.sparkSession
-    total = fps.count()
-    some = np.asarray(fps.select("fp").orderBy(F.xxhash64("fp")).limit(min(sample, max(1, total))).toArrow().column("fp")).astype(np.int64).view(np.uint64)
-    depth = int(np.ceil(np.log2(max(1, total / leaf))))
-    depth = max(0, min(depth, int(np.log2(max(1, len(some) / 16)))))
+    spark = rows.sparkSession
+    total = rows.count()
+    # small tables are parted further, so that all cores have work
+    leaf = min(leaf, max(4096, total // (2 * spark.sparkContext.defaultParallelism)))
+    some = np.asarray(rows.select("fp").orderBy(F.xxhash64("fp")).limit(min(sample, max(1, total))).toArrow().column("fp")).astype(np.int64).view(np.uint64)
+    depth = max(0, min(int(np.ceil(np.log2(max(1, total / leaf)))), int(np.log2(max(1, len(some) / 16)))))
     sent = spark.sparkContext.broadcast(VantageTree(some, depth))
 
     def deal(batches):
         for b in batches:
             f = np.asarray(b.column(0)).astype(np.int64).view(np.uint64)
             row, to, home = sent.value.deal(f, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(f[row].view(np.int64)), pa.array(home)], names=["leaf", "fp", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(to + (1 << depth)), pa.array(f[row].view(np.int64)), pa.array(home)], names=["node", "fp", "home"])
+
+    def branch(key, table):
+        f = np.asarray(table.column("fp")).view(np.uint64)
+        tree = VantageTree(f, BRANCH_DEPTH)
+        return pa.table({"node": pa.array([key[0].as_py()]), "points": pa.array([tree.points.view(np.int64).tolist()], pa.list_(pa.int64())), "mu": pa.array([tree.mu.tolist()], pa.list_(pa.int16()))})
+
+    def further(key, table, trees):
+        tree = VantageTree.__new__(VantageTree)
+        tree.depth, tree.points, tree.mu = BRANCH_DEPTH, np.array(trees.column("points")[0].as_py(), np.int64).view(np.uint64), np.array(trees.column("mu")[0].as_py(), np.int16)
+        f, home = np.asarray(table.column("fp")).view(np.uint64), np.asarray(table.column("home"))
+        row, to, own = tree.deal(f, radius, home)
+        return pa.table({"node": pa.array((int(key[0].as_py()) << BRANCH_DEPTH) + to), "fp": pa.array(f[row].view(np.int64)), "home": pa.array(own)})
+
+    out = stored(rows.select("fp").mapInArrow(deal, "node long, fp long, home boolean"), "dealt")
+    done, before = None, None
+    while True:
+        sizes = stored(out.groupBy("node").agg(F.count(F.when(F.col("home"), 1)).alias("n"), F.count(F.lit(1)).alias("all")), "nodes")
+        # node numbers have 63 bits: a level a bit
+        large = sizes.where((F.col("n") > 4 * leaf) & (F.col("node") < F.lit(1 << (62 - BRANCH_DEPTH))))
+        now = large.agg(F.sum("n"), F.max("n")).first()
+        if now[0] is None or before is not None and now[1] > 0.9 * before:
+            break
+        before = now[1]
+        fine = out.join(large.select("node"), "node", "left_anti")
+        done = fine if done is None else done.unionByName(fine)
+        heavy = out.join(large, "node")
+        # a hash below BRANCH of n is one of about BRANCH residents
+        share = F.pmod(F.xxhash64(F.lit(9), "fp"), F.col("n")) < BRANCH
+        trees = heavy.where(F.col("home") & share).select("node", "fp").groupBy("node").applyInArrow(branch, "node long, points array<long>, mu array<short>")
+        parts = F.ceil(F.col("all") / F.lit(8.0 * leaf)).cast("int")
+        trees = stored(trees.join(large, "node").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("node", "part", "points", "mu"), "branches")
+        split = heavy.withColumn("part", F.pmod(F.xxhash64(F.lit(8), "fp"), parts).cast("int")).select("node", "part", "fp", "home")
+        out = stored(split.groupBy("node", "part").cogroup(trees.groupBy("node", "part")).applyInArrow(further, "node long, fp long, home boolean"), "dealt")
+    return out if done is None else done.unionByName(out)
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: int = SAMPLE, group: int = GROUP) -> DataFrame:
+    """Links (a, b) among distinct fingerprints `fp` that join exactly those that lie within radius bits of each other.
+
+    A link says that both are in one group of near ones, not that they are near themselves. A node with more than `group`
+    rows, guests included, is cut into chunks by a hash, and each pair of chunks is compared in a task of its own: no task
+    holds over about 2 * group rows, however many a node has.
+    """
+    dealt = _dealt(fps, radius, leaf, sample)
+    big = stored(dealt.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group).select("node", F.ceil(F.col("_n") / F.lit(float(group))).cast("int").alias("_k")), "bignodes")
+    chunk = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("_k")).cast("int")
+    rows = dealt.join(big, "node", "left").withColumn("_c", F.coalesce(chunk, F.lit(0)))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_k"), F.lit(1)) - 1)))
+    rows = rows.select("node", F.least("_c", "_o").alias("low"), F.greatest("_c", "_o").alias("high"), "fp", "home")
 
     def link(table: pa.Table) -> pa.Table:
         f, home = np.asarray(table.column("fp")).view(np.uint64), np.asarray(table.column("home"))
-        residents, guests = f[home], f[~home]
-        if not len(guests) and len(residents) > 2 * leaf:
-            parts = list(_local_links(residents, radius, leaf))
-            a, b = (np.concatenate(x) for x in zip(*parts))
-        else:
-            a, b = leaf_links(residents, guests, radius)
+        a, b = (np.concatenate(x) for x in zip(*local_links(f[home], f[~home], radius)))
+        _trim()
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return fps.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean").groupBy("leaf").applyInArrow(link, "a long, b long")
+    return rows.groupBy("node", "low", "high").applyInArrow(link, "a long, b long")
 
 
 def _rooted(groups: DataFrame, radius: int, leaf: int) -> tuple[DataFrame, DataFrame]:
