@@ -32,6 +32,8 @@ from .common import released, scratch_path, text_bytes
 MAGIC, HEAD = b"VLTOKEN1", struct.Struct("<8s8I")
 #: Ids after which a segment closes, and one bits between select samples.
 SEGMENT, SELECT = 1 << 20, 256
+#: Bytes of a text that part rows of equal ids.
+PREFIX = 64
 #: Words whose ids a worker remembers; a cache only, results don't depend on it.
 CACHE = 200_000
 #: crc32 of the normalizer and pre-tokenizer of vocabularies whose cuts WordEncoder knows.
@@ -97,14 +99,6 @@ class EliasFano:
             w &= w - 1
         return ((word * 64 + (w & -w).bit_length() - 1 - i) << self.bits) | (self._low(i) if self.bits else 0)
 
-    def all(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
-        v = (places - np.arange(self.n)).astype(np.int64) << self.bits
-        if self.bits:
-            flags = np.unpackbits(self.low.view(np.uint8), bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits)
-            v |= flags.astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
-        return v
-
 
 def write_segment(pieces: list[bytes], ends: list[int]) -> bytes:
     """A segment of documents given as little-endian uint32 ids, and where each ends in the joined ids."""
@@ -145,13 +139,13 @@ class _Known(dict):
 
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library, word by word.
+    """Ids of texts by the tokenizers library.
 
-    The vocabulary's rules drop white space and never join what stands on both its sides, so the ids of a text are those
-    of its words in a row, and words seen before need not be encoded again. A word of plain Latin letters, digits and
-    punctuation is cut where the vocabulary's rules cut it (runs of letters, single digits, runs of marks) and its
-    pieces go to the library's model; any other word, and any word for a vocabulary with other rules, goes through the
-    library's whole pipeline.
+    For a vocabulary with the rules that this class knows, texts are encoded word by word: those rules drop white space and
+    never join what stands on both its sides, so the ids of a text are those of its words in a row, and words seen before
+    need not be encoded again. A word of plain Latin letters, digits and punctuation is cut where the rules cut it (runs
+    of letters, single digits, runs of marks) and its pieces go to the library's model; any other word goes through the
+    library's whole pipeline. For any other vocabulary the library encodes the whole text at once.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -191,10 +185,7 @@ class WordEncoder:
                 self.known[w] = ids
             return ids
         s = w.decode("utf-8", "replace")
-        if self.plain and _LATIN.fullmatch(s):
-            ids = b"".join(map(self._piece, _CUT.findall(s.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = b"".join(map(self._piece, _CUT.findall(s.lower()))) if _LATIN.fullmatch(s) else self.whole(s)
         if len(self.young) >= self.cache // 2:
             self.young.clear()
         self.young[w] = ids
@@ -202,7 +193,10 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian uint32 ids."""
-        return b"".join(map(self.known.__getitem__, text.split()))
+        return b"".join(map(self.known.__getitem__, text.split())) if self.plain else self.whole(text.decode("utf-8", "replace"))
+
+    def whole(self, s: str) -> bytes:
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -226,7 +220,9 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.j
 
     tokenizer: a file name of public_tokenizers, looked up where it is used. end_id is put after each document; None
     puts none. Null texts are empty. Null ids come first; rows with equal ids follow each other in order of their text.
-    An empty table writes an empty folder. Extra columns aren't read. A document may have up to about 500 million ids.
+    An empty table writes an empty folder. Extra columns aren't read. A document may have up to about 500 million ids. Rows
+    are parted by id and the first characters of the text, so equal or null ids don't all meet in one task unless their
+    texts begin alike.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -261,7 +257,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.j
             yield close()
 
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select("doc_id", text_bytes().alias("_x")).repartitionByRange(count, F.col("doc_id").asc_nulls_first())
+    d = docs.select("doc_id", text_bytes().alias("_x")).repartitionByRange(count, F.col("doc_id").asc_nulls_first(), F.substring("_x", 1, PREFIX))
     d = d.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_x")
     d.mapInArrow(released(run), f"part int, seq long, n_ids long, doc_ids array<{kind}>, segment binary").write.parquet(path)
 
@@ -276,7 +272,7 @@ def read_token_ids(spark, path: str, kind: str = "bigint") -> DataFrame:
         for b in batches:
             for n in range(b.num_rows):
                 s = Segment(b.column(3)[n].as_py())
-                at = s.boundaries.all()
+                at = np.fromiter(map(s.boundaries.select, range(s.n + 1)), np.int64, s.n + 1)
                 crc = [zlib.crc32(s.ids[x:y].astype("<u4")) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 row = [b.column(0).slice(n, 1).take(pa.array(np.zeros(s.n, np.int64))), b.column(1).slice(n, 1).take(pa.array(np.zeros(s.n, np.int64))), b.column(2)[n].values, pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(row, names=["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
