@@ -1,13 +1,19 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
 Base kinds (email, ip, card, phone) follow fixed patterns and are always reported once they pass their checks. Added
-kinds (iban, national_id, local_phone) are reported when their score, raised by context words nearby, reaches a
-threshold. Patterns never look back over what they have rejected, so a text takes time in proportion to its length.
+kinds (secret, iban, national_id, local_phone) are reported when their score, raised by context words nearby, reaches a
+threshold. Secrets are values given to names like token or password, tokens of well-known forms and private keys; a value
+has to look drawn at random. National ids with check digits (Spain, France, Brazil, Italy) need no context, those without
+(United States, United Kingdom) do. Patterns never look back over what they have rejected, so a text takes time in
+proportion to its length.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import text_bytes
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "national_id", "local_phone")
+ADDED = ("secret", "iban", "national_id", "local_phone")
 KINDS = BASE + ADDED
 #: Least score of an added span.
 THRESHOLD = 0.6
@@ -31,6 +37,18 @@ _CARD = re.compile(rb"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(rb"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NATIONAL = re.compile(rb"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_NINO = re.compile(rb"(?<![A-Za-z0-9])[ABCEGHJ-PRSTW-Z][ABCEGHJ-NPRSTW-Z] ?[0-9]{2} ?[0-9]{2} ?[0-9]{2} ?[A-D](?![A-Za-z0-9])")
+_DNI = re.compile(rb"(?<![A-Za-z0-9])(?:[0-9]{8}|[XYZ][0-9]{7})-?[A-HJ-NP-TV-Z](?![A-Za-z0-9])")
+_NIR = re.compile(rb"(?<![A-Za-z0-9])[12] ?[0-9]{2} ?[0-9]{2} ?(?:[0-9]{2}|2[AB]) ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}(?![A-Za-z0-9])")
+_CPF = re.compile(rb"(?<![A-Za-z0-9.])[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}(?![A-Za-z0-9])")
+_FISCAL = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{6}[0-9]{2}[A-EHLMPRST][0-9]{2}[A-Z][0-9]{3}[A-Z](?![A-Za-z0-9])")
+#: A name of secrets, and the value that it is given.
+_NAMED = re.compile(rb"""(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|secret|(?:access|auth)[_-]?token|token|password|passwd|pwd|bearer)["']?[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4}["']?([A-Za-z0-9+/_.~!@#$%^&*-]{8,512})""")
+#: Secrets that show their form.
+_FORMED = re.compile(
+    rb"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,64}|eyJ[A-Za-z0-9_-]{8,2048}\.eyJ[A-Za-z0-9_-]{8,2048}\.[A-Za-z0-9_-]{8,2048})(?![A-Za-z0-9_])"
+    rb"|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}(?:-----END [A-Z ]{0,24}PRIVATE KEY-----)?"
+)
 _LOCAL_PHONE = re.compile(rb"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 #: Characters of an IBAN by country.
 _IBAN_LENGTH = {c: int(n) for x in (
@@ -45,12 +63,13 @@ _WORDS = {
     "ip": re.compile(rb"(?i)\b(?:ip|host|server|address)\b"),
     "card": re.compile(rb"(?i)\b(?:card|visa|mastercard|amex|credit|payment)\b"),
     "phone": re.compile(rb"(?i)\b(?:phone|tel|call|mobile|fax|cell)\b"),
+    "secret": re.compile(rb"(?i)(?:key|secret|token|password|passwd|pwd|bearer)"),
     "iban": re.compile(rb"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b"),
-    "national_id": re.compile(rb"(?i)\b(?:ssn|social security|national id|tax id)\b"),
+    "national_id": re.compile(rb"(?i)\b(?:ssn|social security|national (?:id|insurance)|tax id|dni|nie|nif|cpf|codice fiscale|securite sociale)\b"),
     "local_phone": re.compile(rb"(?i)\b(?:phone|tel|telephone|call|mobile|fax|cell)\b"),
 }
 #: Scores without and with a context word.
-_SCORES = {"email": (0.9, 1.0), "ip": (0.7, 0.95), "card": (0.8, 1.0), "phone": (0.7, 0.95), "iban": (0.8, 1.0), "national_id": (0.3, 0.8), "local_phone": (0.3, 0.7)}
+_SCORES = {"email": (0.9, 1.0), "ip": (0.7, 0.95), "card": (0.8, 1.0), "phone": (0.7, 0.95), "secret": (0.8, 0.95), "iban": (0.8, 1.0), "national_id": (0.3, 0.8), "local_phone": (0.3, 0.7)}
 
 
 def luhn(digits: bytes) -> bool:
@@ -87,6 +106,85 @@ def ibans(t: bytes) -> list[tuple[int, int]]:
     return found
 
 
+def dni(x: bytes) -> bool:
+    """The letter of a Spanish id: the number's remainder by 23; X, Y, Z stand for 0, 1, 2."""
+    x = x.replace(b"-", b"")
+    return b"TRWAGMYFPDXBNJZSQVHLCKE"[int(x[:-1].translate(bytes.maketrans(b"XYZ", b"012"))) % 23] == x[-1]
+
+
+def nir(x: bytes) -> bool:
+    """The key of a French number: 97 less the rest by 97; 2A and 2B count as 19 and 18."""
+    x = x.replace(b" ", b"")
+    return int(x[-2:]) == 97 - int(x[:-2].replace(b"2A", b"19").replace(b"2B", b"18")) % 97
+
+
+def cpf(x: bytes) -> bool:
+    """Two check digits by 11 of a Brazilian number; all digits alike don't count."""
+    d = [c - 48 for c in x.translate(None, b".-")]
+    return len(set(d)) > 1 and all(sum(v * (n + 1 - k) for k, v in enumerate(d[:n])) * 10 % 11 % 10 == d[n] for n in (9, 10))
+
+
+#: What a character counts at the odd places of an Italian code: 0 to 9, and A to Z, whose first ten count alike.
+_ODD = [1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23]
+
+
+def fiscal(x: bytes) -> bool:
+    """The last letter of an Italian code: the sum of what its places count, by 26."""
+    v = [c - 48 if c < 58 else c - 65 for c in x]
+    return (sum(_ODD[c] for c in v[:15:2]) + sum(v[1:15:2])) % 26 == v[15]
+
+
+#: National ids: pattern, check, and whether it needs a context word.
+_NATIONAL_IDS = [
+    (_NATIONAL, lambda x: x[:3] not in (b"000", b"666") and x[:1] != b"9" and x[4:6] != b"00" and x[7:] != b"0000", True), (_NINO, lambda x: x[:2] not in (b"BG", b"GB", b"KN", b"NK", b"NT", b"TN", b"ZZ"), True),
+    (_DNI, dni, False), (_NIR, nir, False), (_CPF, cpf, False), (_FISCAL, fiscal, False),
+]
+
+
+def random_like(v: bytes) -> bool:
+    """Whether a value may be a secret: letters with digits or marks, and 2.5 bits a character or more."""
+    n = len(v)
+    letters = sum(65 <= c <= 90 or 97 <= c <= 122 for c in v)
+    if not letters or letters == n:
+        return False
+    return -sum(k / n * math.log2(k / n) for k in Counter(v).values()) >= 2.5
+
+
+class _Taken:
+    """Disjoint stretches of a text."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def take(self, s: int, e: int) -> bool:
+        """Whether the stretch is free; then it is taken."""
+        k = bisect_right(self.starts, s)
+        if k and self.ends[k - 1] > s or k < len(self.starts) and self.starts[k] < e:
+            return False
+        self.starts.insert(k, s)
+        self.ends.insert(k, e)
+        return True
+
+
+def secrets(t: bytes) -> list[tuple[int, int]]:
+    """Spans of secrets: those that show their form, and values of names of secrets that look random, without a full stop
+    at their end."""
+    found = [m.span() for m in _FORMED.finditer(t)] if any(x in t for x in (b"AKIA", b"gh", b"xox", b"AIza", b"sk_", b"eyJ", b"-----BEGIN")) else []
+    if b"=" in t or b":" in t:
+        taken = _Taken(found)
+        for m in _NAMED.finditer(t):
+            v, s = m[1].rstrip(b".!"), m.start(1)
+            if len(v) >= 8 and random_like(v) and taken.take(s, s + len(v)):
+                found.append((s, s + len(v)))
+    return sorted(found)
+
+
 def emails(t: bytes) -> list[tuple[int, int]]:
     """Leftmost matches of [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+.
 
@@ -125,30 +223,25 @@ def base_spans(t: bytes) -> list[tuple[str, int, int]]:
     return found
 
 
-def added_spans(t: bytes, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Confirmed proposals of the added kinds that overlap no base span."""
-    found = []
-    if len(t.translate(None, _NOT_DIGIT)) < 9:
+def added_spans(t: bytes, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, bool]]:
+    """Confirmed proposals of the added kinds that overlap no base span or earlier one, and whether each needs a context word."""
+    taken = _Taken((s, e) for _, s, e in base)
+    found = [("secret", s, e, False) for s, e in secrets(t) if taken.take(s, e)]
+    if len(t.translate(None, _NOT_DIGIT)) < 7:
         return found
-    for s, e in ibans(t):
-        if all(y <= s or x >= e for _, x, y in [*taken, *found]):
-            found.append(("iban", s, e))
-    for kind, pattern in (("national_id", _NATIONAL), ("local_phone", _LOCAL_PHONE)):
-        for m in pattern.finditer(t):
-            if kind == "national_id" and (m[0][:3] in (b"000", b"666") or m[0][:1] == b"9" or m[0][4:6] == b"00" or m[0][7:] == b"0000"):
-                continue
-            if all(e <= m.start() or s >= m.end() for _, s, e in [*taken, *found]):
-                found.append((kind, *m.span()))
-    return found
+    found += [("iban", s, e, False) for s, e in ibans(t) if taken.take(s, e)]
+    for pattern, check, context in _NATIONAL_IDS:
+        found += [("national_id", *m.span(), context) for m in pattern.finditer(t) if check(m[0]) and taken.take(*m.span())]
+    return found + [("local_phone", *m.span(), True) for m in _LOCAL_PHONE.finditer(t) if taken.take(*m.span())]
 
 
 def spans(t: bytes, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     """All spans of a text, by start and then kind, in code points; base kinds whatever their score."""
     base = base_spans(t)
     out = []
-    for kind, s, e in [*base, *added_spans(t, base)]:
+    for kind, s, e, context in [*((*x, False) for x in base), *added_spans(t, base)]:
         near = _WORDS[kind].search(t, max(0, s - CONTEXT), s) or _WORDS[kind].search(t, e, e + CONTEXT)
-        score = _SCORES[kind][bool(near)]
+        score = _SCORES[kind][bool(near)] if context or kind != "national_id" else (0.7, 0.95)[bool(near)]
         if kind in BASE or score >= threshold:
             out.append((kind, s, e, score))
     if out and not t.isascii():

@@ -41,7 +41,10 @@ def op4_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = find_pii(tables(spark, sf_dir, "documents"))
     kinds = F.transform("spans", lambda x: x["kind"])
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return d.select("doc_id", *counts, F.sha2(joined(F.col("spans"), BASE), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return d.select(
+        "doc_id", *counts, F.sha2(joined(F.col("spans"), BASE), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", lambda x: x["score"].cast("string")), ",").alias("scores"),
+    )
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
