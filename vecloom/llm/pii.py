@@ -227,7 +227,7 @@ def added_spans(t: bytes, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     """Confirmed proposals of the added kinds that overlap no base span or earlier one, and whether each needs a context word."""
     taken = _Taken((s, e) for _, s, e in base)
     found = [("secret", s, e, False) for s, e in secrets(t) if taken.take(s, e)]
-    if len(t.translate(None, _NOT_DIGIT)) < 7:
+    if len(t.translate(None, _NOT_DIGIT)) < 6:
         return found
     found += [("iban", s, e, False) for s, e in ibans(t) if taken.take(s, e)]
     for pattern, check, context in _NATIONAL_IDS:
