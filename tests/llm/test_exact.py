@@ -17,7 +17,7 @@ from vecloom.llm.mixing import mix_sources, mixed_documents
 from vecloom.llm.pii import base_spans, find_pii, luhn, mod97, redacted, spans
 from vecloom.llm.quality import keep_quality, quality_rules
 from vecloom.llm.simhash import VantageTree, distances, fingerprints, local_links, near_duplicates, near_links, one_of_each
-from vecloom.llm.substrings import FingerprintIndex, dedup_substrings, pack, unpack
+from vecloom.llm.substrings import FingerprintIndex, _among as among, _sorted as by_print, dedup_substrings, pack, unpack
 from vecloom.llm.tokenids import EliasFano, Segment, WordEncoder, token_ids, tokenizer_path, write_segment
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -429,9 +429,46 @@ def test_index_compacts_and_remembers(spark):
     assert index.dedup(docs([])).count() == 0
 
 
+def test_index_opens_again(spark, tmp_path):
+    """A second session knows what the first has seen; hits and half-written runs leave nothing behind."""
+    text = [" ".join(f"u{k}x{j}" for j in range(30)) for k in range(6)]
+    path, seen = str(tmp_path / "index"), []
+    for k in range(6):
+        session = spark.newSession()
+        index = FingerprintIndex(session, group_bits=2, path=path, fan_in=3)
+        got = {r.doc_id: (r.n_removed, r.kept) for r in index.dedup(session.createDataFrame([(k, text[k]), (100, " ".join(text[: k + 1])), (101, "a b")], "doc_id long, text string")).collect()}
+        assert got[k] == (0, text[k]) and got[101] == (0, "a b")
+        assert got[100][0] == 30 * (k + 1)
+        index.close()
+        assert not list((tmp_path / "index").glob("run=*/kind=1")) and not [x for x in session.catalog.listTables() if x.name == index.name]
+        (tmp_path / "index" / "run=77" / "kind=0").mkdir(parents=True)  # as a crash would leave it
+        seen.append(len(index.runs))
+    assert max(seen) < 4 and len(list((tmp_path / "index").glob("run=*/kind=0"))) == seen[-1] + 1
+
+
+def test_the_default_batches_compact(spark, monkeypatch):
+    levels = []
+    compact = FingerprintIndex.compact
+    monkeypatch.setattr(FingerprintIndex, "compact", lambda self, level: (compact(self, level), levels.append(dict(self.runs)))[0])
+    docs = spark.createDataFrame([(n, " ".join(f"v{n // 2}y{j}" for j in range(20))) for n in range(40)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for part in dedup_substrings(docs) for r in part.collect()}
+    assert got == {n: 20 * (n % 2) for n in range(40)}
+    assert levels == [{4: 1}]
+
+
 def test_packed_prints():
-    p = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64))
-    assert (unpack(pack(p)) == p).all() and len(unpack(pack(p[:0]))) == 0
+    rng = np.random.default_rng(0)
+    p = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
+    q = rng.integers(0, 1 << 32, len(p), dtype=np.uint32)
+    assert all((a == b).all() for a, b in zip(unpack(pack(p, q)), (p, q))) and len(unpack(pack(p[:0], q[:0]))[0]) == 0
+
+
+def test_proofs_tell_equal_prints_apart():
+    p, q = np.array([1, 5, 5, 9], np.uint64), np.array([1, 2, 3, 4], np.uint32)
+    assert among(np.array([5, 5, 5, 9, 0, 11], np.uint64), np.array([3, 2, 4, 4, 1, 1], np.uint32), (p, q)).tolist() == [True, True, False, True, False, False]
+    mixed = np.array([5, 1, 5, 5], np.uint64), np.array([3, 1, 2, 3], np.uint32)
+    order = by_print(*mixed)
+    assert mixed[1][order].tolist() == [1, 2, 3, 3]
 
 
 # --- token ids
