@@ -1,6 +1,7 @@
 """Operators against brute force on odd rows."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm import queries as Q
 from vecloom.llm.decontaminate import contamination, without_benchmark
-from vecloom.llm.lmscore import score_documents
+from vecloom.llm.lmscore import NOVELTY, repeats, score_documents
 from vecloom.llm.mixing import mix_sources, mixed_documents
 from vecloom.llm.pii import base_spans, find_pii, luhn, mod97, redacted, spans
 from vecloom.llm.quality import keep_quality, quality_rules
@@ -598,12 +599,46 @@ def test_scores_tell_language_apart(spark):
     assert np.mean(good) > np.mean(base) + 0.5 and np.mean(good) > np.mean(bad) + 0.5
 
 
+def test_held_out_and_known_to_the_query(spark, sf_dir):
+    rows = {r.doc_id: r for r in Q.op1_lm_score(spark, sf_dir).collect()}
+    assert all(r.held_out == (zlib.crc32(str(d if d is not None else "").encode()) % 7 == 2) for d, r in rows.items())
+
+
+def test_repeats_of_new_words():
+    """The cost of which words are new, step by step and for any order, and averaged over how likely new ones are."""
+    for counts in ([1], [3], [1, 2, 1], [5, 1, 1, 2], [1] * 30):
+        p = 0.0
+        for x in NOVELTY:
+            q, total = 1.0, 0
+            for k in counts:
+                for j in range(k):
+                    q *= (j or x) / (x + total)
+                    total += 1
+            p += q / len(NOVELTY)
+        assert repeats(counts) == pytest.approx(-math.log2(p))
+    assert repeats([]) == 0 and repeats([10**6]) < 60 and repeats([1] * 100_000) < 200_000
+
+
+def test_scores_beat_add_one(spark):
+    """Held-out prose of a made-up language: the model's sum is above the base's, and it learns from a text's own new words."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(folder):
+        pytest.skip("no test data")
+    got = Q.op1_lm_score(spark, folder).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+    made = prose(60, 9)
+    rows = [(n, prose(60, n)) for n in range(300)] + [(d, t) for d, t in ((next(x for x in range(1000, 2000) if zlib.crc32(str(x).encode()) % 7 == 2), "qqzzqqx " * 60), (next(x for x in range(3000, 4000) if zlib.crc32(str(x).encode()) % 7 == 2), made.replace("a", "q")))]
+    got = {r.doc_id: r for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    one, other = (got[d] for d, _ in rows[300:])
+    assert one.total_bits / one.n_tokens < 8 < other.total_bits / other.n_tokens
+
+
 def test_counts_beyond_the_dictionary_enter_scores(spark):
-    """A training word outside the dictionary costs about what its exact count says, not its spelling."""
+    """A training word outside the dictionary costs about what its exact count says, not its spelling; new words are spelt."""
     train = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 != 2]
     held = [k for k in range(400, 500) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
     rows = [(k, "the " * 20 + "abcdefghij klmnopqrst " * 5 + f"once{k}x") for k in train]
-    rows += [(held[0], "abcdefghij " * 100), (held[1], "jihgfedcba " * 100), (held[2], "z" * 100_000)]
+    rows += [(held[0], "abcdefghij " * 100), (held[1], " ".join(f"jihg{n}fedcba" for n in range(100))), (held[2], "z" * 100_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.total_bits for r in score_documents(df, vocabulary=1).where(F.col("doc_id").isin(held)).collect()}
     assert got[held[0]] < 400 and got[held[1]] > 1500 and math.isfinite(got[held[2]])
