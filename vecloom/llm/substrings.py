@@ -26,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, dropping_shuffles, file_names, move_path, read_text, released, scratch_path, text_bytes, write_text
+from .common import _trim, drop_path, dropping_shuffles, file_names, move_path, read_text, released, scratch_path, text_bytes, write_text
 
 WINDOW = 13
 #: Windows that a task gathers before it sends them, bytes of text a group should stand for, runs of a level that are compacted.
 FLUSH, GROUP_BYTES, FAN_IN = 1 << 19, 16 << 20, 4
+#: Fingerprints in a row of a run.
+PART = 1 << 15
 #: Least number of batches, one more than are compacted, and most bytes of text in one.
 BATCHES, BATCH_BYTES = 5, 2 << 40
 _KEY_BITS, _CHECK_BITS = 40, 24
@@ -98,21 +100,26 @@ def fingerprints(words: list[bytes], hashes: WordHashes, window: int, group_bits
 
 
 def pack(prints: np.ndarray, proofs: np.ndarray) -> bytes:
-    """Sorted fingerprints: differences of keys in 4 bytes (8 where one needs them), checks in 3, proofs in 4."""
+    """Sorted fingerprints: the first key in 8 bytes, differences of keys in 4 (8 where one needs them), checks in 3, proofs in 4."""
     key = prints >> np.uint64(_CHECK_BITS)
-    step = np.diff(key, prepend=np.uint64(0))
+    step = np.diff(key, prepend=key[:1])
     width = 4 if not len(step) or int(step.max()) < 1 << 32 else 8
     check = (prints & np.uint64((1 << _CHECK_BITS) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-    return bytes([width]) + step.astype(f"<u{width}").tobytes() + check.tobytes() + proofs.astype("<u4").tobytes()
+    return bytes([width]) + (key[:1].astype("<u8").tobytes() or bytes(8)) + step.astype(f"<u{width}").tobytes() + check.tobytes() + proofs.astype("<u4").tobytes()
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    width = blob[0]
-    n = (len(blob) - 1) // (width + 7)
-    key = np.cumsum(np.frombuffer(blob, f"<u{width}", n, 1), dtype=np.uint64)
+    width, at = blob[0], 9
+    n = (len(blob) - at) // (width + 7)
+    key = np.cumsum(np.frombuffer(blob, f"<u{width}", n, at), dtype=np.uint64) + np.frombuffer(blob, "<u8", 1, 1)
     check = np.zeros((n, 4), np.uint8)
-    check[:, :3] = np.frombuffer(blob, np.uint8, 3 * n, 1 + width * n).reshape(-1, 3)
-    return (key << np.uint64(_CHECK_BITS)) | check.view("<u4").ravel(), np.frombuffer(blob, "<u4", n, 1 + (width + 3) * n)
+    check[:, :3] = np.frombuffer(blob, np.uint8, 3 * n, at + width * n).reshape(-1, 3)
+    return (key << np.uint64(_CHECK_BITS)) | check.view("<u4").ravel(), np.frombuffer(blob, "<u4", n, at + (width + 3) * n)
+
+
+def _rows(group: int, prints: np.ndarray, proofs: np.ndarray) -> list[tuple]:
+    """A group's run as rows of _OUT, PART fingerprints in each."""
+    return [(_ENTRY, group, None, pack(prints[at : at + PART], proofs[at : at + PART])) for at in range(0, len(prints), PART)]
 
 
 def _sorted(prints: np.ndarray, proofs: np.ndarray) -> np.ndarray:
@@ -146,7 +153,7 @@ def _among(prints: np.ndarray, proofs: np.ndarray, run: tuple[np.ndarray, np.nda
 
 
 _ENTRY, _HIT = 0, 1
-#: Rows of a batch on its way: kind, group; of entries packed prints and, at the same places, documents; of hits packed prints and one document.
+#: Rows of a batch on its way: kind, group; of entries packed prints and, at the same places, documents; of hits prints and one document.
 _ROW = pa.schema([("kind", pa.int32()), ("grp", pa.int32()), ("prints", pa.binary()), ("docs", pa.binary())])
 _OUT = pa.schema([("kind", pa.int32()), ("grp", pa.int32()), ("doc", pa.int64()), ("prints", pa.binary())])
 
@@ -175,7 +182,7 @@ def _sketched(batches, window: int, group_bits: int, flush: int):
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             rows.append((_ENTRY, int(group_1[a]), pack(prints_1[a:b], proofs_1[a:b]), _pack_docs(least[a:b])))
         # the others have a smaller document in this very task
-        rows += [(_HIT, int(np.uint64(d & (1 << 64) - 1) % np.uint64(1 << group_bits)), p, np.array([d], "<i8").tobytes()) for d, p in _by_doc(doc[other], prints[other], proofs[other])]
+        rows += [(_HIT, int(np.uint64(d & (1 << 64) - 1) % np.uint64(1 << group_bits)), p, np.array([d], "<i8").tobytes()) for d, p in _by_doc(doc[other], prints[other])]
         for at in range(0, len(rows), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows[at : at + 4096]), _ROW)], schema=_ROW)
 
@@ -206,18 +213,15 @@ def _unpack_docs(blob: bytes) -> np.ndarray:
     return table[np.frombuffer(blob, "<u2" if n <= 1 << 16 else "<u4", offset=8 + 8 * n)]
 
 
-def _by_doc(doc: np.ndarray, prints: np.ndarray, proofs: np.ndarray):
-    """(document, its packed fingerprints) of hits whose fingerprints are sorted."""
+def _by_doc(doc: np.ndarray, prints: np.ndarray):
+    """(document, keys and checks) of hits. Proofs aren't needed any more: a document's own windows are looked for."""
     if not len(doc):
         return
     order = np.argsort(doc, kind="stable")
-    doc, prints, proofs = doc[order], prints[order], proofs[order]
+    doc, prints = doc[order], prints[order]
     cut = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        # a task's are sorted by group first
-        p, q = prints[a:b], proofs[a:b]
-        order = np.argsort(p, kind="stable")
-        yield int(doc[a]), pack(p[order], q[order])
+        yield int(doc[a]), prints[a:b].tobytes()
 
 
 def _merged(group: int, new: pa.Table, runs: pa.Table | None) -> pa.Table:
@@ -234,15 +238,22 @@ def _merged(group: int, new: pa.Table, runs: pa.Table | None) -> pa.Table:
         least = np.minimum.reduceat(d, first)
         unique, proof, n = p[first], q[first], np.diff(np.append(first, len(p)))
         old = np.zeros(len(unique), bool)
-        for blob in runs.column("prints").to_pylist() if runs is not None else ():
-            old |= _among(unique, proof, unpack(blob))
+        for blob in runs.column("prints") if runs is not None else ():
+            run = unpack(blob.as_py())
+            a, b = np.searchsorted(unique, run[0][:1])[0], np.searchsorted(unique, run[0][-1:], "right")[0]
+            old[a:b] |= _among(unique[a:b], proof[a:b], run)
         hit = np.repeat(old, n) | (d != np.repeat(least, n))
-        out += [(_HIT, group, doc, x) for doc, x in _by_doc(d[hit], p[hit], q[hit])]
+        out += [(_HIT, group, doc, x) for doc, x in _by_doc(d[hit], p[hit])]
         if not old.all():
-            out.append((_ENTRY, group, None, pack(unique[~old], proof[~old])))
+            out += _rows(group, unique[~old], proof[~old])
     return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), _OUT)] if out else [pa.array([], t.type) for t in _OUT], schema=_OUT)
 
 
+def _freed(table: pa.Table) -> pa.Table:
+    _trim()
+    return table
+
+
 class FingerprintIndex:
     """An index of window fingerprints that batches are deduplicated against and then added to.
 
@@ -299,13 +310,13 @@ class FingerprintIndex:
         shape = "kind int, grp int, doc long, prints binary"
         if self.runs:
             def both(key, new, runs):
-                return _merged(key[0].as_py(), new, runs)
+                return _freed(_merged(key[0].as_py(), new, runs))
 
             old = self.spark.table(self.name).where(F.col("run").isin(*self.runs) & (F.col("kind") == _ENTRY)).select("grp", "prints")
             out = rows.groupBy("grp").cogroup(old.groupBy("grp")).applyInArrow(both, shape)
         else:
             def alone(key, new):
-                return _merged(key[0].as_py(), new, None)
+                return _freed(_merged(key[0].as_py(), new, None))
 
             out = rows.groupBy("grp").applyInArrow(alone, shape)
         self._append(out, number)
@@ -323,9 +334,8 @@ class FingerprintIndex:
                     words = t.as_py().split()
                     total.append(len(words))
                     if p.is_valid:
-                        bad, proof = (np.concatenate(x) for x in zip(*map(unpack, p.as_py())))
-                        order = _sorted(bad, proof)
-                        hit = _among(*fingerprints(words, hashes, window, bits)[1:], (bad[order], proof[order]))
+                        bad = np.frombuffer(b"".join(p.as_py()), "<u8")
+                        hit = np.isin(fingerprints(words, hashes, window, bits)[1], bad)
                         edge = np.zeros(len(words) + 1, np.int32)
                         edge[: len(hit)] += hit
                         edge[window : window + len(hit)] -= hit
@@ -359,7 +369,8 @@ class FingerprintIndex:
             order = _sorted(prints, proofs)
             prints, proofs = prints[order], proofs[order]
             first = _firsts(prints, proofs)
-            return pa.Table.from_arrays([pa.array([x], t.type) for x, t in zip((_ENTRY, key[0].as_py(), None, pack(prints[first], proofs[first])), _OUT)], schema=_OUT)
+            out = _rows(key[0].as_py(), prints[first], proofs[first])
+            return _freed(pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), _OUT)], schema=_OUT))
 
         runs = self.spark.table(self.name).where(F.col("run").isin(*old) & (F.col("kind") == _ENTRY)).select("grp", "prints")
         self._append(runs.groupBy("grp").applyInArrow(merge, "kind int, grp int, doc long, prints binary"), number)
