@@ -55,6 +55,44 @@ def test_quality_rules(spark, odd, sf_dir):
     assert kept.count() == got.where("kept").count() > 0
 
 
+def quality_score(docs, labels, buckets=1 << 16, alpha=4.0):
+    """The log ratio of a text by its n-grams, counted one by one."""
+    def grams(text):
+        w = [x.encode() for x in words(text)]
+
+        def h(x, seed=42):
+            return xxhash.xxh64_intdigest(x, seed)
+
+        return [h(x) % buckets if h(x) < 1 << 63 else (h(x) - (1 << 64)) % buckets for x in w] + [(h(b, h(a)) - (h(b, h(a)) >> 63 << 64)) % buckets for a, b in zip(w, w[1:])]
+
+    trusted = {r.doc_id for r in labels if r.quality == 1 and r.doc_id is not None}
+    raw, good = Counter(), Counter()
+    for r in docs:
+        raw.update(grams(r.text))
+        if r.doc_id in trusted:
+            good.update(grams(r.text))
+    n, g, prior = sum(raw.values()), sum(good.values()), alpha * buckets
+
+    def score(text):
+        total, found = 0.0, grams(text)
+        for b in found:
+            p = (raw[b] + alpha) / (n + prior)
+            total += math.log((good[b] + prior * p) / (g + prior) / p)
+        return total / len(found) if found else 0.0
+
+    return score
+
+
+def test_quality_scores(spark, odd, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = odd.collect()
+    score = quality_score(rows, labels.collect())
+    got = sorted((repr(r.doc_id), r.n_words, r.score, r.kept) for r in quality_rules(odd, labels).collect())
+    want = sorted((repr(r.doc_id), rules(r.text)[0], score(r.text), not rules(r.text)[-1] and score(r.text) >= -0.15) for r in rows)
+    for a, b in zip(got, want):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-5) and a[3] == b[3]
+
+
 def test_quality_repeats_of_long_texts(spark, sf_dir):
     import vecloom.llm.quality as m
 

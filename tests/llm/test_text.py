@@ -259,6 +259,67 @@ def test_pipeline(spark, sf_dir):
     assert sorted(r.doc_id for r in last) == sorted(r.doc_id for r in docs.collect())
 
 
+def test_pipeline_like_brute_force(spark, sf_dir, tmp_path):
+    """Every stage against brute force, and the files of a run that is kept; a second run reads them."""
+    import corpus_pipeline as C
+    from tokenizers import Tokenizer
+
+    from test_exact import contaminated, expected_components, quality_score, rules
+    from vecloom.llm.tokenids import tokenizer_path
+
+    out = f"{tmp_path}/out"
+    last = C.run(spark, sf_dir, out).collect()
+    tables = [spark.read.parquet(f"{out}/{n}-{name}").collect() for n, (name, _) in enumerate(C.STAGES[:-1])]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
+
+    def keys(rows):
+        return sorted(((r.doc_id, r.text, r.source) for r in rows), key=repr)
+
+    score = quality_score(docs, labels)
+    want = [r for r in docs if not rules(r.text)[-1] and score(r.text) >= -0.15]
+    assert keys(want) == keys(tables[0]) and 0 < len(want) < len(docs)
+    _, comp, _ = expected_components(want)
+    first = {}
+    for r, c in zip(want, comp):
+        first[c] = min(first.get(c, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in tables[1]) == sorted(first.values()) and len(tables[1]) < len(want)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    want = [r for r in tables[1] if not contaminated([r], bench)[0][2]]
+    assert keys(want) == keys(tables[2]) and len(want) < len(tables[1])
+    # the mix: whole rows, none over three times, sources in proportion as far as whole documents allow
+    times = {k: keys(tables[3]).count(k) for k in keys(tables[2])}
+    assert set(keys(tables[3])) <= set(keys(tables[2])) and max(times.values()) <= 3
+    sizes = {}
+    for r in tables[2]:
+        sizes.setdefault(r.source, []).append(len(r.text.split()))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (1, 2, 3)[n % 3] for n, s in enumerate(order)}
+    target, rest, free = {}, sum(map(sum, sizes.values())), list(order)
+    while free:
+        level = rest / sum(weight[s] for s in free)
+        full = [s for s in free if level * weight[s] > 3 * sum(sizes[s])]
+        for s in full or free:
+            target[s] = 3 * sum(sizes[s]) if full else level * weight[s]
+        rest -= sum(target[s] for s in full)
+        free = [s for s in free if s not in full] if full else []
+    for s in order:
+        taken = sum(len(r.text.split()) for r in tables[3] if r.source == s)
+        assert abs(taken - target[s]) <= max(sizes[s])
+    # tokens: the library's, in order of ids
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want, at = [], 0
+    for r in sorted(tables[3], key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text.encode())):
+        n = len(library.encode(r.text, add_special_tokens=False).ids) + 1
+        want.append((r.doc_id, at, n))
+        at += n
+    assert sorted(((r.doc_id, r.start, r.n_tokens) for r in last), key=lambda x: x[1]) == want
+    made = {p: os.path.getmtime(f"{out}/{p}") for p in os.listdir(out)}
+    os.remove(f"{out}/4-tokenize/_SUCCESS")
+    again = C.run(spark, sf_dir, out).collect()
+    assert sorted(again) == sorted(last) and all(os.path.getmtime(f"{out}/{p}") == x for p, x in made.items() if not p.startswith("4"))
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     import corpus_pipeline as C
 
