@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vecloom.errors import DimensionMismatch, EmptyIndex, InvalidConfig
+from vecloom.errors import DimensionMismatch, EmptyIndex, InvalidConfig, SearchUnfinished
 from vecloom.functions import vectors as V
 from vecloom.operators import clusters, compress, graph, knn
 from vecloom.sources.scratch import kept
@@ -289,3 +289,70 @@ def test_levels(spark):
     u = spark.range(20_000).select(graph.random_level(graph.hashed_uniform(F.col("id")), 16).alias("l")).groupBy("l").count()
     n = {r.l: r["count"] for r in u.collect()}
     assert min(n) == 0 and n[0] > 15 * n[1] * 0.8 and max(n) >= 2
+
+
+@pytest.mark.parametrize("metric", ["l2_sq", "euclidean", "cosine", "inner_product"])
+@pytest.mark.parametrize("shift, scale", [(1e5, 1.0), (1e10, 1.0), (0.0, 1e150), (1e7, 1e-3)])
+def test_exact_for_large_norms(spark, metric, shift, scale):
+    """Cancellation in large coordinates loses no neighbour; distances beyond what numbers hold come last."""
+    rng = np.random.default_rng(5)
+    v = shift + scale * rng.standard_normal((300, 6))
+    base = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(v)], "key long, vector array<double>")
+    got = knn.knn(base.where("key < 12").selectExpr("key as qid", "vector as q"), base, 7, metric).collect()
+    for q in range(12):
+        d = knn.exact(np.broadcast_to(v[q], v.shape), v, metric)
+        want = [int(x) for x in np.lexsort((np.arange(300), d))[:7]]
+        assert [r.key for r in sorted(got, key=lambda r: r.rank) if r.qid == q] == want
+
+
+def test_all_rows_have_a_place(spark):
+    rows = [(1, [0.0, 1.0]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [1e200, 0.0]), (5, [3.0, 1.0])]
+    base = spark.createDataFrame(rows, "key long, vector array<double>")
+    q = spark.createDataFrame([(0, [0.0, 0.0])], "qid long, q array<double>")
+    assert [r.key for r in knn.knn(q, base, 9, "l2").orderBy("rank").collect()] == [1, 5, 3, 4, 2]
+    assert [r.key for r in knn.knn(q, base, 2, "l2").orderBy("rank").collect()] == [1, 5]
+    assert sorted(r.key for r in knn.within(q, base, 11.0, "l2").collect()) == [1, 5]
+
+
+@pytest.mark.parametrize("n", [3000, 12000])
+def test_candidates_find_neighbours_at_every_size(spark, n):
+    """Recall of the 8 nearest doesn't fall with the number of nodes, and cells stay small."""
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((n, 8))
+    nodes = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, vector array<double>").repartition(4).cache()
+    some = nodes.where("id % 40 = 0")
+    truth = knn.knn(some.selectExpr("id as qid", "vector as q"), nodes.selectExpr("id as key", "vector"), 9).where("qid != key")
+    found = graph.candidates(nodes, 8, cell_rows=500).where("src % 40 = 0").selectExpr("src as qid", "dst as key")
+    assert knn.recall(truth, found).first().recall > 80
+
+
+def test_candidates_of_equal_vectors(spark):
+    nodes = spark.range(3000).selectExpr("id", "array(1.0D, 2.0D) as vector")
+    degree = graph.candidates(nodes, 4, cell_rows=200).groupBy("src").count().agg({"count": "min"}).first()[0]
+    assert degree >= 4
+
+
+def test_searches_respect_filters(spark):
+    """Only allowed nodes are found, and all of them where there are few."""
+    rng = np.random.default_rng(8)
+    nodes = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.standard_normal((400, 4)))], "id long, vector array<double>").cache()
+    edges = graph.link(graph.candidates(nodes, 12), nodes, 1.1, 16).select("src", "dst").cache()
+    q = nodes.where("id % 100 = 0").selectExpr("id as qid", "vector as q")
+    allowed = nodes.where("id % 2 = 1").select("id")
+    truth = knn.knn(q, nodes.selectExpr("id as key", "vector"), 5, where=F.col("key") % 2 == 1)
+    got = graph.beam_search(q, edges, nodes, 5, width=64, allowed=allowed)
+    assert {r.key % 2 for r in got.collect()} == {1} and knn.recall(truth, got).first().recall > 90
+    layers, linked = graph.build_layers(nodes, m=6)
+    got = graph.layered_search(q, linked.cache(), layers.cache(), 5, allowed=allowed)
+    assert {r.key % 2 for r in got.collect()} == {1} and knn.recall(truth, got).first().recall > 60
+    with pytest.raises(SearchUnfinished):
+        graph.beam_search(q, edges, nodes, 5, width=64, rounds=2)
+
+
+def test_few_candidates_all_stay(spark):
+    nodes = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [1.1]), (3, [1.2]), (4, [9.0])], "id long, vector array<double>")
+    edges = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (4, 1)], "src long, dst long")
+    count = {r.src: r["count"] for r in graph.prune_edges(edges, nodes, 1.0, 8).groupBy("src").count().collect()}
+    assert count == {0: 1, 4: 1}
+    count = {r.src: r["count"] for r in graph.prune_edges(edges, nodes, 1.0, 8, few=4).groupBy("src").count().collect()}
+    assert count == {0: 3, 4: 1}

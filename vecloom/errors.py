@@ -22,6 +22,14 @@ class EmptyIndex(VecloomError):
     pass
 
 
+class IndexFull(VecloomError):
+    pass
+
+
+class SearchUnfinished(VecloomError):
+    pass
+
+
 class TableExists(VecloomError):
     pass
 

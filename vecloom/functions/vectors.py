@@ -179,10 +179,21 @@ def round_bf16(values: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(values), np.float32(np.nan), up.view(np.float32))
 
 
+def _flat(v: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All elements of a column of arrays in a row, where each array ends, and which rows are null."""
+    none = v.isna().to_numpy()
+    full = [x for x, gone in zip(v, none) if not gone]
+    sizes = np.zeros(len(v), np.int64)
+    sizes[~none] = list(map(len, full))
+    return np.concatenate(full) if full else np.zeros(0), np.cumsum(sizes), none
+
+
 def _rounder(fn: Callable[[np.ndarray], np.ndarray]):
     @F.pandas_udf("array<float>")
     def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else fn(np.asarray(x, np.float32)))
+        values, ends, none = _flat(v)
+        out = np.split(fn(values.astype(np.float32)), ends[:-1]) if len(v) else []
+        return pd.Series([None if gone else x for x, gone in zip(out, none)], dtype=object)
 
     return run
 
@@ -207,10 +218,11 @@ def raw_bytes(v, dtype: str = "f32") -> Column:
     kinds = {"f32": "<f4", "f16": "<f2", "i8": "i1"}
 
     @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        if dtype == "bf16":
-            return s.map(lambda x: None if x is None else (round_bf16(np.asarray(x, np.float32)).view(np.uint32) >> 16).astype("<u2").tobytes())
-        return s.map(lambda x: None if x is None else np.asarray(x).astype(kinds[dtype]).tobytes())
+    def run(v: pd.Series) -> pd.Series:
+        values, ends, none = _flat(v)
+        flat = (round_bf16(values.astype(np.float32)).view(np.uint32) >> 16).astype("<u2") if dtype == "bf16" else values.astype(kinds[dtype])
+        whole, size = flat.tobytes(), flat.itemsize
+        return pd.Series([None if gone else whole[a * size : b * size] for a, b, gone in zip([0, *ends[:-1].tolist()], ends.tolist(), none)], dtype=object)
 
     return run(_c(v))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidConfig
 from ..functions import vectors as V
 from .clusters import kmeans, nearest, sampled
-from .knn import best, key_array, keys_of, knn, matrix, query_blocks
+from .knn import TopK, best, key_array, keys_of, knn, matrix, query_blocks
 
 #: Squared norm below which a quantized vector counts as zero.
 TINY = 1e-12
@@ -124,14 +124,17 @@ class ProductQuantizer(Compressor):
 
             def scan(batches, sent=sent):
                 pq, qids, q = sent.value
+                top, kinds = TopK(q, k, metric), None
                 for b in batches:
+                    kinds = b.schema.field(0).type
                     keys = keys_of(b.column(0))
                     codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
                     order = np.argsort(keys, kind="stable")
                     d = pq.distances(q, codes[order], metric)
                     near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    row = np.repeat(np.arange(len(q)), near.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array([qids[r] for r in row]), key_array(keys[order[near.ravel()]], b.schema.field(0).type), pa.array(np.take_along_axis(d, near, axis=1).ravel())], names=["qid", "key", "distance"])
+                    top.merge(np.repeat(np.arange(len(q)), near.shape[1]), keys[order[near.ravel()]], np.take_along_axis(d, near, axis=1).ravel())
+                if top.keys is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([qids[r] for r in top.row]), key_array(top.keys, kinds), pa.array(top.dist)], names=["qid", "key", "distance"])
 
             part = encoded.select("key", "code").mapInArrow(scan, f"qid {qkind}, key {kind}, distance double")
             found = part if found is None else found.unionByName(part)

@@ -11,23 +11,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import EmptyIndex
+from ..errors import EmptyIndex, SearchUnfinished
 from ..functions import vectors as V
 from ..sources.scratch import kept
-from .clusters import kmeans, sampled
+from .clusters import kmeans
 from .knn import TopK, exact, keys_of, knn, matrix
 
 
-#: Rows that are compared with each other at once when candidates are looked for.
-CELL_ROWS = 4000
+#: Rows that are compared with each other at once when candidates are looked for, most parts of a cell in one round, and
+#: rows of a cell sampled for each part.
+CELL_ROWS, PARTS, PART_SAMPLE = 4000, 64, 64
 
 
-def candidates(nodes: DataFrame, k: int, metric: str = "l2_sq", spill: int = 2, cell_rows: int = CELL_ROWS, sample: int = 50_000) -> DataFrame:
-    """About the k nearest nodes of each node, as edges (src, dst): nearest within cells that each hold some thousand rows.
+def _parted(cells: DataFrame, spill: int, cell_rows: int) -> DataFrame:
+    """cells (cell, id, vector) with cells of over 2 * cell_rows parted around centroids of their own.
 
-    Every node goes to its `spill` nearest cells, so neighbours across a border are found from one side or the other. A
-    cell that is larger than twice cell_rows, as one of many equal vectors may be, is cut by a hash of the id. Up to
-    cell_rows nodes the result is exact.
+    Rounds part all large cells at once, into PARTS at most: samples of a cell meet in one task, which finds its centroids;
+    its rows meet them in tasks of some thousand rows. In the first two rounds a row goes to its `spill` nearest parts,
+    then to the nearest. A cell that doesn't get smaller, as one of equal vectors, is cut by a hash of the id.
+    """
+    done, level = None, 0
+    while True:
+        cells = kept(cells)
+        sizes = kept(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+        large = sizes.where((F.col("n") > 2 * cell_rows) & (F.length("cell") < 4 * 12))
+        fine = cells.join(large.select("cell"), "cell", "left_anti").select(F.concat("cell", F.lit("/0")).alias("cell"), "id", "vector")
+        done = fine if done is None else done.unionByName(fine)
+        if not large.limit(1).count():
+            break
+        heavy = cells.join(large, "cell")
+        share = F.least(F.col("n"), F.ceil(F.col("n") / F.lit(float(cell_rows))) * PART_SAMPLE, F.lit(PARTS * PART_SAMPLE))
+
+        def centroids(key, table):
+            rows = matrix(table.column("vector"))
+            c = kmeans(rows, max(2, min(PARTS, -(-int(table.column("n")[0].as_py()) // cell_rows))), rounds=10)
+            return pa.table({"cell": [key[0].as_py()] * len(c), "part": np.arange(len(c)), "centroid": list(c)})
+
+        some = heavy.where(F.pmod(F.xxhash64(F.lit(level), "id"), F.col("n")) < share)
+        found = some.select("cell", "vector", "n").groupBy("cell").applyInArrow(centroids, "cell string, part long, centroid array<double>")
+        blocks = large.select("cell", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / F.lit(4.0 * cell_rows)).cast("int"))).alias("block"))
+        found = kept(found).join(blocks, "cell")
+        copies = spill if level < 2 else 1
+
+        def part(key, rows, centres):
+            v, c = matrix(rows.column("vector")), matrix(centres.column("centroid"))
+            if not len(v):
+                return pa.table({"cell": pa.array([], pa.string()), "id": pa.array([], pa.int64()), "vector": pa.array([], pa.list_(pa.float64()))})
+            ids = np.asarray(rows.column("id"))
+            if len(c) < 2:  # equal vectors: any of them are as near as any others
+                names = [f"{key[0].as_py()}h{x}/0" for x in key[1:2]] * len(v)
+                return pa.table({"cell": names, "id": ids, "vector": rows.column("vector")})
+            near = np.argsort((c**2).sum(axis=1)[None, :] - 2 * v @ c.T, axis=1, kind="stable")[:, :copies]
+            number = np.asarray(centres.column("part"))[near]
+            at = np.repeat(np.arange(len(v)), near.shape[1])
+            return pa.table({"cell": [f"{key[0].as_py()}.{x:x}" for x in number.ravel().tolist()], "id": ids[at], "vector": rows.column("vector").take(pa.array(at))})
+
+        block = F.pmod(F.xxhash64(F.lit(11), "id"), F.floor(F.col("n") / F.lit(4.0 * cell_rows)) + 1).cast("int")
+        split = heavy.withColumn("block", block).select("cell", "block", "id", "vector")
+        out = kept(split.groupBy("cell", "block").cogroup(found.groupBy("cell", "block")).applyInArrow(part, "cell string, id long, vector array<double>"))
+        whole = F.col("cell").endswith("/0")
+        done = done.unionByName(out.where(whole))
+        cells, level = out.where(~whole), level + 1
+    # what is still large is cut
+    sizes = done.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * cell_rows)).alias("_n"))
+    return done.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_n"))).drop("_n")
+
+
+def candidates(nodes: DataFrame, k: int, metric: str = "l2_sq", spill: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """About the k nearest nodes of each node, as edges (src, dst): nearest within cells of some thousand rows.
+
+    Cells come from parting all nodes around centroids again and again, so their number grows with the nodes and their size
+    doesn't. Every node goes to its `spill` nearest parts in the first two rounds, so neighbours across a border are
+    found from one side or the other. Up to cell_rows nodes the result is exact.
     """
     metric = V.metric_name(metric)
     n = nodes.select("id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("vector").isNotNull())
@@ -35,20 +90,9 @@ def candidates(nodes: DataFrame, k: int, metric: str = "l2_sq", spill: int = 2,
     if total <= cell_rows:
         found = knn(n.select(F.col("id").alias("qid"), F.col("vector").alias("q")), n.select(F.col("id").alias("key"), "vector"), k + 1, metric)
         return found.select(F.col("qid").alias("src"), F.col("key").alias("dst")).where("src != dst")
-    centres = kmeans(sampled(n, sample), min(4096, -(-total * spill // cell_rows)), rounds=10)
-    sent = n.sparkSession.sparkContext.broadcast(centres)
-
-    def assign(batches):
-        for b in batches:
-            v = matrix(b.column(1), sent.value.shape[1])
-            d = (sent.value**2).sum(axis=1)[None, :] - 2 * v @ sent.value.T
-            cells = np.argsort(d, axis=1, kind="stable")[:, :spill]
-            at = np.repeat(np.arange(len(v)), cells.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(cells.ravel().astype(np.int32))], names=["id", "vector", "cell"])
-
-    cells = n.mapInArrow(assign, "id long, vector array<double>, cell int")
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * cell_rows)).alias("_n"))
-    cells = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("_n")))
+    if metric == "cosine":  # cells by direction
+        n = n.withColumn("vector", V.normalize("vector"))
+    cells = _parted(n.select(F.lit("c").alias("cell"), F.col("id").cast("long").alias("id"), "vector"), spill, cell_rows)
 
     def near(rows: pa.Table) -> pa.Table:
         ids, v = keys_of(rows.column("id").combine_chunks()), matrix(rows.column("vector"))
@@ -91,8 +135,8 @@ def prune_expr(candidates, alpha: float, max_edges: int, metric: str = "l2_sq")
     return F.aggregate(c, none, step)
 
 
-def prune_edges(edges: DataFrame, nodes: DataFrame, alpha: float = 1.1, max_edges: int = 64, metric: str = "l2_sq") -> DataFrame:
-    """Prunes each node's candidate edges (src, dst): src, pos (order), dst.
+def prune_edges(edges: DataFrame, nodes: DataFrame, alpha: float = 1.1, max_edges: int = 64, metric: str = "l2_sq", few: int = 0) -> DataFrame:
+    """Prunes each node's candidate edges (src, dst): src, pos (order), dst. A node with under `few` candidates keeps all.
 
     Candidates are sorted by node and distance and read as a stream that holds only what the current node has kept, so
     a node that very many others point to needs no more memory than any other.
@@ -101,18 +145,19 @@ def prune_edges(edges: DataFrame, nodes: DataFrame, alpha: float = 1.1, max_edge
     n = nodes.select("id", F.col("vector").cast("array<double>").alias("vector"))
     e = edges.select("src", "dst").where("src != dst").distinct()
     e = e.join(n.select(F.col("id").alias("dst"), F.col("vector").alias("dv")), "dst").join(n.select(F.col("id").alias("src"), F.col("vector").alias("sv")), "src")
-    e = e.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), V.distance("sv", "dv", metric).alias("d"), "dv")
+    free = F.count(F.lit(1)).over(Window.partitionBy("src")) < few if few else F.lit(False)
+    e = e.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), V.distance("sv", "dv", metric).alias("d"), "dv").withColumn("free", free)
 
     def run(batches):
         node, kept, count = None, None, 0
         for b in batches:
             out: list[tuple[int, int, int]] = []
             vectors = matrix(b.column(3))
-            for i, (src, dst, d) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
+            for i, (src, dst, d, free) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)))):
                 if src != node:
                     node, kept, count = src, np.empty((max_edges, vectors.shape[1])), 0
                 v = vectors[i]
-                if count < max_edges and (not count or (d <= alpha * exact(kept[:count], np.broadcast_to(v, (count, len(v))), metric)).all()):
+                if count < max_edges and (not count or free or (d <= alpha * exact(kept[:count], np.broadcast_to(v, (count, len(v))), metric)).all()):
                     kept[count] = v
                     out.append((src, count, dst))
                     count += 1
@@ -125,10 +170,10 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def link(edges: DataFrame, nodes: DataFrame, alpha: float = 1.1, max_edges: int = 64, metric: str = "l2_sq") -> DataFrame:
-    """A graph from candidate edges: pruned, with back edges, pruned again where that made too many."""
-    first = prune_edges(edges, nodes, alpha, max_edges, metric).select("src", "dst")
-    return prune_edges(first.union(reverse_edges(first)), nodes, alpha, max_edges, metric)
+def link(edges: DataFrame, nodes: DataFrame, alpha: float = 1.1, max_edges: int = 64, metric: str = "l2_sq", few: int = 0) -> DataFrame:
+    """A graph from candidate edges: pruned, with back edges, pruned again where that made too many. few: see prune_edges."""
+    first = prune_edges(edges, nodes, alpha, max_edges, metric, few).select("src", "dst")
+    return prune_edges(first.union(reverse_edges(first)), nodes, alpha, max_edges, metric, few)
 
 
 def two_hop(edges: DataFrame) -> DataFrame:
@@ -175,13 +220,14 @@ def medoid(nodes: DataFrame, metric: str = "l2_sq") -> int:
     return got.id
 
 
-def beam_search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, k: int, entry: int | DataFrame | None = None, width: int = 128, beam: int = 4, metric: str = "l2_sq", rounds: int = 1000) -> DataFrame:
+def beam_search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, k: int, entry: int | DataFrame | None = None, width: int = 128, beam: int = 4, metric: str = "l2_sq", rounds: int = 1000, allowed: DataFrame | None = None) -> DataFrame:
     """Best-first search over the edge table, all queries at once: qid, rank, key, distance.
 
     Each round expands each query's `beam` nearest nodes that aren't expanded yet among its `width` best, by a join with
     the edges, and scores neighbours that it hasn't seen; it ends when all of the best are expanded. Rounds are
     written to the shared folder. Queries hold `width` rows and what they have seen, whatever the size of the graph. entry: the node to
-    start from (the medoid by default), or a table (qid, id) of nodes.
+    start from (the medoid by default), or a table (qid, id) of nodes. allowed (id): nodes that may be results; the search
+    still goes through the others. A search that isn't over after `rounds` is an error.
     """
     width = max(width, k)
     entry = medoid(nodes, metric) if entry is None else entry
@@ -192,19 +238,35 @@ def beam_search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, k: int,
         return rows.join(n, "id").join(q, "qid").select("qid", "id", V.distance("q", "vector", metric).alias("d"))
 
     first = entry.select("qid", "id") if isinstance(entry, DataFrame) else q.select("qid", F.lit(entry).cast("long").alias("id"))
+    w = Window.partitionBy("qid").orderBy("d", "id")
+
+    def top(rows: DataFrame, n: int) -> DataFrame:
+        return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+    def fit(rows: DataFrame) -> DataFrame:
+        return rows if allowed is None else rows.join(allowed.select("id").distinct(), "id", "left_semi")
+
     best = kept(scored(first).withColumn("open", F.lit(True)))
     seen = best.select("qid", "id")
-    w = Window.partitionBy("qid").orderBy("d", "id")
-    for _ in range(rounds):
-        front = best.where("open").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= beam).select("qid", "id")
+    hits = best
+    if allowed is not None:
+        hits = kept(fit(best).select("qid", "id", "d"))
+    for turn in range(rounds):
+        front = top(best.where("open"), beam).select("qid", "id")
         new = front.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("qid", F.col("dst").alias("id")).distinct()
         new = kept(scored(new.join(seen, ["qid", "id"], "left_anti")).withColumn("open", F.lit(True)))
         closed = best.join(front.withColumn("_f", F.lit(True)), ["qid", "id"], "left").withColumn("open", F.col("open") & F.col("_f").isNull()).drop("_f")
-        best = kept(closed.unionByName(new).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= width).drop("_r"))
+        best = kept(top(closed.unionByName(new), width))
         seen = seen.union(new.select("qid", "id"))
+        if turn % 16 == 15:  # one table again, not a union of many
+            seen = kept(seen)
+        if allowed is not None:
+            hits = kept(top(hits.unionByName(fit(new).select("qid", "id", "d")), k))
         if not best.where("open").limit(1).count():
             break
-    ranked = best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    else:
+        raise SearchUnfinished(f"the search isn't over after {rounds} rounds")
+    ranked = (best if allowed is None else hits).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", F.col("id").alias("key"), F.col("d").alias("distance"))
 
 
@@ -216,21 +278,21 @@ def build_layers(nodes: DataFrame, m: int = 16, metric: str = "l2_sq") -> tuple[
     found = None
     for level in range((highest or 0) + 1):
         some, most = nodes.where(F.col("level") >= level), 2 * m if level == 0 else m
-        part = link(candidates(some, 2 * m, metric), some, 1.0, most, metric).select(F.lit(level).alias("level"), "src", "pos", "dst")
+        part = link(candidates(some, 2 * m, metric), some, 1.0, most, metric, few=m).select(F.lit(level).alias("level"), "src", "pos", "dst")
         found = part if found is None else found.unionByName(part)
     return nodes, found
 
 
-def layered_search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, k: int, ef: int = 50, metric: str = "l2_sq") -> DataFrame:
+def layered_search(queries: DataFrame, edges: DataFrame, nodes: DataFrame, k: int, ef: int = 50, metric: str = "l2_sq", allowed: DataFrame | None = None) -> DataFrame:
     """Greedy descent from the least node of the highest level down to level 1, then a search of width max(k + 1, ef) on
-    level 0: qid, rank, key, distance."""
+    level 0: qid, rank, key, distance. allowed (id): nodes that may be results, as filters and deletions leave them."""
     top = nodes.orderBy(F.desc("level"), "id").select("id", "level").first()
     if top is None:
         raise EmptyIndex("no nodes")
     at: int | DataFrame = top.id
     for level in range(top.level, 0, -1):
         at = beam_search(queries, edges.where(F.col("level") == level), nodes, 1, at, width=1, beam=1, metric=metric).select("qid", F.col("key").alias("id"))
-    return beam_search(queries, edges.where("level = 0"), nodes, k, at, width=max(k + 1, ef), metric=metric)
+    return beam_search(queries, edges.where("level = 0"), nodes, k, at, width=max(k + 1, ef), metric=metric, allowed=allowed)
 
 
 def neighbors(edges: DataFrame, node: int, level: int = 0) -> DataFrame:

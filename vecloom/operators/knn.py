@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 from ..errors import DimensionMismatch
 from ..functions import vectors as V
 
-#: Bytes of query vectors that are broadcast at once, and of distances held at once.
-QUERY_BYTES, CELL_BYTES = 16 << 20, 32 << 20
+#: Bytes of query vectors that are broadcast at once, of distances held at once, and of vectors compared exactly at once.
+QUERY_BYTES, CELL_BYTES, PAIR_BYTES = 16 << 20, 32 << 20, 64 << 20
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dims: int | None = None) -> np.ndarray:
@@ -45,8 +45,29 @@ def _fast(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.maximum(nq + nb - 2 * d, 0)
 
 
+def _error(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """What `_fast` may be off by at most, for each pair (a bound of rounding and of cancellation)."""
+    unit = 4 * np.finfo(np.float64).eps * (q.shape[1] + 8)
+    if metric == "cosine":
+        return np.full((1, 1), unit)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return unit * ((q * q).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] + 1)
+
+
+def _pairs(q: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray, metric: str) -> np.ndarray:
+    """Exact distances of pairs, some at a time."""
+    step = max(1, PAIR_BYTES // (8 * max(1, q.shape[1])))
+    parts = [exact(q[row[at : at + step]], b[col[at : at + step]], metric) for at in range(0, len(row), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def exact(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of paired rows, element by element: equal vectors get equal distances."""
+    """Distances of paired rows, element by element: equal vectors get equal distances. Not a number where an element isn't."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _exact(q, b, metric)
+
+
+def _exact(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric in ("l2_sq", "euclidean"):
         d = ((q - b) ** 2).cumsum(axis=1)[:, -1] if q.shape[1] else np.zeros(len(q))
         return np.sqrt(d) if metric == "euclidean" else d
@@ -59,7 +80,8 @@ def exact(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 class TopK:
-    """The best k of each query over the rows seen so far."""
+    """The best k of each query over the rows seen so far. Infinite distances come after all others, then those that aren't
+    numbers; ties are broken by key."""
 
     def __init__(self, queries: np.ndarray, k: int, metric: str):
         self.q, self.k, self.metric = queries, k, metric
@@ -74,19 +96,27 @@ class TopK:
     def _add(self, keys, base, allowed) -> None:
         if not len(base) or not self.k or not len(self.q):
             return
-        d = _fast(self.q, base, self.metric)
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = _fast(self.q, base, self.metric)
+            off = _error(self.q, base, self.metric)
+        # a pair that can't be told quickly is looked at exactly
+        low, high = d - off, d + off
+        low[~np.isfinite(low)], high[~np.isfinite(high)] = -np.inf, np.inf
         if allowed is not None:
-            d = np.where(allowed, d, np.inf)
+            low, high = np.where(allowed, low, np.inf), np.where(allowed, high, np.inf)
         if d.shape[1] > self.k:
-            bound = np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-            with np.errstate(invalid="ignore"):
-                slack = 1e-9 * (1 + np.abs(bound))
-            near = (d <= bound + slack) & np.isfinite(d)
+            near = low <= np.partition(high, self.k - 1, axis=1)[:, self.k - 1 : self.k]
         else:
-            near = np.isfinite(d)
+            near = np.ones(d.shape, bool)
+        if allowed is not None:
+            near &= allowed
         row, col = np.nonzero(near)
-        dist = exact(self.q[row], base[col], self.metric)
-        self.keys = keys[col] if self.keys is None else np.concatenate((self.keys, keys[col]))
+        dist = _pairs(self.q, base, row, col, self.metric)
+        self.merge(row, keys[col], dist)
+
+    def merge(self, row: np.ndarray, keys: np.ndarray, dist: np.ndarray) -> None:
+        """Takes in pairs whose distances are known."""
+        self.keys = keys if self.keys is None else np.concatenate((self.keys, keys))
         self.row, self.dist = np.concatenate((self.row, row)), np.concatenate((self.dist, dist))
         self.cut()
 
@@ -134,7 +164,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2_sq", wher
     """The k nearest rows of base (key, vector) for each row of queries (qid, q).
 
     where filters base rows before the search and tombstones (key) are left out, so neither costs results. Null vectors
-    are passed over. k over the number of rows gives all; an empty base gives none. Metrics registered by the user are
+    are passed over. k over the number of rows gives all, those at infinite distances and those whose distance isn't a number
+    last; an empty base gives none. Metrics registered by the user are
     evaluated as column expressions.
     """
     metric = V.metric_name(metric)
@@ -190,8 +221,10 @@ def within(queries: DataFrame, base: DataFrame, radius: float, metric: str = "l2
                 v, keys = matrix(b.column(1), q.shape[1]), keys_of(b.column(0))
                 for at in range(0, len(v), step := max(1, CELL_BYTES // (8 * len(q)))):
                     part = v[at : at + step]
-                    row, col = np.nonzero(np.isfinite(_fast(q, part, metric)))
-                    d = exact(q[row], part[col], metric)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        low = _fast(q, part, metric) - _error(q, part, "l2_sq" if metric == "euclidean" else metric)
+                    row, col = np.nonzero(~(low > (radius * radius if metric == "euclidean" else radius)))
+                    d = _pairs(q, part, row, col, metric)
                     near = d <= radius
                     yield pa.RecordBatch.from_arrays([pa.array([qids[r] for r in row[near]], pa.int64() if not near.any() else None), key_array(keys[at + col[near]], b.schema.field(0).type), pa.array(d[near])], names=["qid", "key", "distance"])
 
