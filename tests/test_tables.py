@@ -13,8 +13,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vecloom import cli
-from vecloom.errors import InvalidConfig, InvalidFile, KeyAlreadyExists, TableExists, TableMissing
-from vecloom.operators import mutate
+from vecloom.errors import IndexFull, InvalidConfig, InvalidFile, KeyAlreadyExists, TableExists, TableMissing
+from vecloom.functions import vectors as V
+from vecloom.operators import graph, mutate
+from vecloom.operators.clusters import kmeans_all
+from vecloom.operators.knn import recall
 from vecloom.plans.table import Config, VectorTable
 from vecloom.sources import files
 from vecloom.streaming.mutations import follow
@@ -62,6 +65,94 @@ def test_table_life(spark, tmp_path):
         VectorTable.from_df(rows(spark, [("x", [1.0])]), {"dim": 2}).count()
 
 
+def test_compaction_loses_nothing(spark, tmp_path, monkeypatch):
+    """What another handle writes while a compaction runs stays, a second compaction at once gives up, queries on the old
+    generation still have their files, and a batch that isn't whole doesn't count."""
+    path = str(tmp_path / "t")
+    a = VectorTable.create(spark, path, {"dim": 1})
+    b = VectorTable.open(spark, path)
+    a.insert(rows(spark, [(k, [1.0]) for k in "abc"]))
+    held = b.rows()
+    publish = type(a._files).publish
+
+    def slow(self, text, *parts):
+        if parts == ("current", "1"):
+            monkeypatch.setattr(type(a._files), "publish", publish)
+            b.insert(rows(spark, [("d", [2.0]), ("a", [3.0])]))
+            b.delete(spark.createDataFrame([("b",)], "key string"))
+        return publish(self, text, *parts)
+
+    monkeypatch.setattr(type(a._files), "publish", slow)
+    assert a.compact() == {"rows": 3, "deleted": 0, "changed": 3, "touched": 0}
+    want = {"a": [3.0], "c": [1.0], "d": [2.0]}
+    assert state(a) == state(VectorTable.open(spark, path)) == want and held.count() == 3 and a.is_deleted("b") and not a.is_deleted("a")
+    os.makedirs(f"{path}/log/b000000000099-x")
+    assert state(a) == want
+
+    def late(self, text, *parts):
+        if parts == ("current", "2"):
+            monkeypatch.setattr(type(a._files), "publish", publish)
+            assert b.compact()["deleted"] == 1
+        return publish(self, text, *parts)
+
+    monkeypatch.setattr(type(a._files), "publish", late)
+    assert a.compact() is None and a.generation == 2 and state(a) == want
+    assert len(os.listdir(f"{path}/base")) == 2
+    a.insert(rows(spark, [("e", [5.0])]))
+    a.compact()
+    assert state(a) == want | {"e": [5.0]} and sorted(x for x in os.listdir(f"{path}/current") if x.isdigit()) == ["2", "3"]
+
+
+@pytest.mark.parametrize("kind", ["graph", "cells"])
+def test_table_with_an_index(spark, tmp_path, kind):
+    """Searches by an index through inserts, updates, deletes and compactions: recall against a scan, and no dead rows."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(500, 6))
+    path = str(tmp_path / "t")
+    t = VectorTable.create(spark, path, {"dim": 6, "max_edges": 12, "max_add_edges": 4, "query_search_list_cap": 48})
+    t.insert(rows(spark, [(f"k{n}", x.tolist()) for n, x in enumerate(v[:400])]))
+    t.build_index(kind, cells=8)
+    q = spark.createDataFrame([(n, v[n].tolist()) for n in range(0, 500, 25)], "qid long, q array<float>")
+
+    def check(least):
+        t = VectorTable.open(spark, path)
+        truth, got = t.query(q, 5, exact=True), t.query(q, 5, nprobe=4).persist()
+        assert got.join(t.keys(), "key", "left_anti").count() == 0 and got.groupBy("qid").count().where("count != 5").count() == 0
+        assert recall(truth, got).first().recall >= least
+        got.unpersist()
+
+    check(90)
+    t.insert(rows(spark, [(f"k{n}", x.tolist()) for n, x in enumerate(v) if n >= 380]))
+    t.delete(spark.createDataFrame([(f"k{n}",) for n in range(0, 400, 7)], "key string"))
+    check(90)
+    done = t.compact()
+    assert done["deleted"] == 58 and done["rows"] == 442 and (done["touched"] > 50) == (kind == "graph")
+    check(90)
+    odd = t.query(q, 5, where=F.col("key").endswith("1"))
+    assert {r.key[-1] for r in odd.collect()} == {"1"} and odd.count() == 100
+    if kind == "graph":
+        index = t._current()["index"]
+        nodes, edges = t._read("index", index["name"], "nodes"), t._read("index", index["name"], "edges")
+        assert tuple(graph.check_graph(edges, nodes, 16).first()) == (0, 0, 0, 0) and t.entry_key() in {r.key for r in t.keys().collect()}
+    t.delete(t.keys())
+    assert t.query(q, 3).count() == 0
+    t.compact()
+    assert t.query(q, 3).count() == 0 and t.count() == 0
+
+
+def test_stored_codes(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(300, 8))
+    t = VectorTable.create(spark, str(tmp_path / "t"), {"dim": 8, "pq_subspaces": 4, "compression_threshold": 250})
+    t.insert(rows(spark, [(f"k{n}", x.tolist()) for n, x in enumerate(v[:200])]))
+    assert not t.compressed() and t.compact()["rows"] == 200 and not t.compressed()
+    t.insert(rows(spark, [(f"k{n}", x.tolist()) for n, x in enumerate(v) if n >= 200]))
+    assert t.compressed() and t.compact()["rows"] == 300 and len(os.listdir(tmp_path / "t" / "codes")) == 1
+    t.insert(rows(spark, [("k3", (v[3] + 50).tolist()), ("new", v[3].tolist())]))
+    q = spark.createDataFrame([(n, v[n].tolist()) for n in range(5)], "qid long, q array<float>")
+    assert [r.key for r in t.search(q, 1).orderBy("qid").collect()] == ["k0", "k1", "k2", "new", "k4"]
+
+
 def test_deletes_compact(spark, tmp_path):
     t = VectorTable.create(spark, str(tmp_path / "t"), {"dim": 1, "compaction_threshold_deletes": 2})
     t.insert(rows(spark, [(k, [1.0]) for k in "abc"]))
@@ -181,6 +272,55 @@ def test_graph_file(spark, graph_file, tmp_path):
     assert flat.count() == 31 and linked.count() == 32
 
 
+def test_stored_graphs_and_vectors_are_checked(spark, tmp_path):
+    nodes = spark.createDataFrame([(n, f"k{n}", 1 if n == 4 else 0, [float(n), 0.0]) for n in range(6)], "id long, key string, level int, vector array<float>")
+    edges = spark.createDataFrame([(0, n, 0, (n + 1) % 6) for n in range(6)], "level int, src long, pos int, dst long")
+    path = str(tmp_path / "g")
+    files.save_graph_tables(nodes, edges, path, m=2)
+    assert files.graph_meta(spark, path) == {"kind": "graph", "version": 1, "dtype": "f32", "count": 6, "dim": 2, "m": 2, "entry": 4, "max_level": 1}
+    assert files.load_graph_tables(spark, path, m=2, dtype="f32")[0].count() == 6
+    for wrong in ({"m": 3}, {"dtype": "f16"}, {"max_edges": 0}):
+        with pytest.raises(InvalidFile):
+            files.load_graph_tables(spark, path, **wrong)
+    with pytest.raises(InvalidFile):
+        files.load_graph_tables(spark, str(tmp_path / "none"))
+    nodes.where("id < 5").write.mode("overwrite").parquet(f"{path}/nodes")
+    with pytest.raises(InvalidFile):
+        files.load_graph_tables(spark, path)
+    meta = next(p for p in (tmp_path / "g" / "meta").iterdir() if p.name.startswith("part"))
+    meta.write_text(meta.read_text().replace('"version": 1', '"version": 9'))
+    (tmp_path / "g" / "meta" / f".{meta.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(InvalidFile, match="version 9"):
+        files.graph_meta(spark, path)
+    base = nodes.select("key", "vector")
+    for dtype in ("f32", "f16", "bf16", "qi8"):
+        files.save_vectors(base, str(tmp_path / dtype), dtype)
+        got = files.load_vectors(spark, str(tmp_path / dtype), dtype, 2)
+        value = V.qi8_dequantize("vector") if dtype == "qi8" else F.col("vector")
+        assert {r.key: round(r.v[0], 1) for r in got.select("key", value.alias("v")).collect()} == {f"k{n}": float(n) for n in range(6)}
+        with pytest.raises(InvalidFile):
+            files.load_vectors(spark, str(tmp_path / dtype), dtype, 3)
+    with pytest.raises(InvalidFile):
+        files.save_vectors(base.union(base), str(tmp_path / "twice"))
+
+
+def test_kmeans_on_whole_data(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(40, 3)) + c for c in (0, 20, 40)])
+    base = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(v)], "key long, vector array<double>")
+    cells, c, steps = kmeans_all(base, v[[0, 1, 80]])
+    near = np.array([[((a - b) ** 2).sum() for b in c] for a in v]).argmin(axis=1)
+    assert {r.key: r.cell for r in cells.collect()} == dict(enumerate(near.tolist())) and 0 < steps < 50
+    for k in set(near.tolist()):
+        assert np.allclose(c[k], v[near == k].mean(axis=0))
+
+
+def test_full_index(spark):
+    base = spark.createDataFrame([(1, [0.0])], "key long, vector array<double>")
+    with pytest.raises(IndexFull):
+        mutate.insert_new(base, base.selectExpr("key + 1 as key", "vector"), capacity=1)
+
+
 def test_damaged_graph_files(graph_file):
     path, *_ = graph_file
     raw = open(path, "rb").read()

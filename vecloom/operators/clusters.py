@@ -95,6 +95,22 @@ def lloyd_step(base: DataFrame, centroids: DataFrame) -> DataFrame:
     return means.groupBy("cell").agg(F.max("n").alias("n"), F.transform(rows, lambda r: r["m"]).alias("centroid"))
 
 
+def kmeans_all(base: DataFrame, centroids: np.ndarray, rounds: int = 50) -> tuple[DataFrame, np.ndarray, int]:
+    """Lloyd's on whole data until no centroid moves, or `rounds` steps: (members (key, vector, cell), centroids, steps).
+
+    A step is one pass over base and sends a sum a cell and task; cells without members keep their centroid.
+    """
+    spark, c = base.sparkSession, np.asarray(centroids, np.float64)
+    for n in range(rounds):
+        new = c.copy()
+        for r in lloyd_step(base, centroid_table(spark, c)).collect():  # a row a cell
+            new[r.cell] = r.centroid
+        if np.array_equal(new, c):
+            return assign_cells(base, c), c, n
+        c = new
+    return assign_cells(base, c), c, rounds
+
+
 def cell_members(cells: DataFrame) -> DataFrame:
     """cell, n, and the least and greatest key of each cell."""
     return cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
@@ -115,7 +131,10 @@ class IvfIndex:
         else:
             rows = sampled(base, sample, seed=seed)
         if not len(rows):
-            return cls(base.select("key", "vector").limit(0).withColumn("cell", F.lit(0)), np.zeros((0, 0)), metric)
+            none = base.select("key", "vector").limit(0).withColumn("cell", F.lit(0))
+            if path:
+                none.write.mode("overwrite").parquet(path)
+            return cls(none, np.zeros((0, 0)), metric)
         centroids = kmeans(rows, n_cells, seed=seed)
         cells = assign_cells(base, centroids)
         if path:
@@ -124,6 +143,16 @@ class IvfIndex:
             cells = base.sparkSession.read.parquet(path).select("key", "vector", F.col("cell").cast("int"))
         return cls(cells, centroids, metric)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the centroids; the rows are where `build` was told to put them."""
+        centroid_table(spark, self.centroids).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, rows: str, centroids: str, metric: str) -> IvfIndex:
+        c = spark.read.parquet(centroids).orderBy("cell").collect()  # of fixed number
+        cells = spark.read.parquet(rows).select("key", "vector", F.col("cell").cast("int"))
+        return cls(cells, np.array([r.centroid for r in c], np.float64).reshape(len(c), len(c[0].centroid) if c else 0), V.metric_name(metric))
+
     def search(self, queries: DataFrame, k: int, nprobe: int = 8, where: Column | None = None) -> DataFrame:
         """The k nearest among the rows of each query's nprobe nearest cells. Cells that no query of a block probes are
         pruned from the scan; a partition compares a query only with rows of its cells."""

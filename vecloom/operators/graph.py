@@ -324,6 +324,27 @@ def relink(edges: DataFrame, nodes: DataFrame, changed: DataFrame, alpha: float
     return one.join(touched, "src", "left_anti").select("src", "dst").union(pruned)
 
 
+def extend(edges: DataFrame, nodes: DataFrame, new: DataFrame, alpha: float = 1.1, max_edges: int = 64, more: int = 64, metric: str = "l2_sq", width: int = 128, beam: int = 4) -> DataFrame:
+    """Edges (src, dst) after nodes (new: id, vector), which `nodes` holds already, are linked in.
+
+    A new node chooses among what a search of `width` finds in the graph so far and its nearest among the new ones. Back
+    edges are added to its choices; a node is pruned to max_edges only once it has over max_edges + more.
+    """
+    if not new.limit(1).count():
+        return edges.select("src", "dst")
+    old = nodes.join(new.select("id"), "id", "left_anti")
+    near = candidates(new, max_edges, metric)
+    if old.limit(1).count():
+        q = kept(new.select(F.col("id").alias("qid"), F.col("vector").alias("q")))
+        found = beam_search(q, edges, old, width, width=width, beam=beam, metric=metric)
+        near = near.unionByName(found.select(F.col("qid").alias("src"), F.col("key").alias("dst")))
+    first = kept(prune_edges(near, nodes, alpha, max_edges, metric).select("src", "dst"))
+    whole = kept(edges.select("src", "dst").union(first).union(reverse_edges(first)).where("src != dst").distinct())
+    full = kept(whole.groupBy("src").count().where(F.col("count") > max_edges + more).select("src"))
+    pruned = prune_edges(whole.join(full, "src", "left_semi"), nodes, alpha, max_edges, metric).select("src", "dst")
+    return whole.join(full, "src", "left_anti").select("src", "dst").union(pruned)
+
+
 def compact_edges(edges: DataFrame, deleted: DataFrame, nodes: DataFrame, alpha: float = 1.1, max_edges: int = 64, metric: str = "l2_sq") -> DataFrame:
     """Edges after deleted nodes (id) are gone: a node linked to a deleted one is linked to that one's live neighbours
     instead, and pruned; all others keep their edges. src, dst."""

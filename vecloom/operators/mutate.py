@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import KeyAlreadyExists
+from ..errors import IndexFull, KeyAlreadyExists
 from ..sources.scratch import kept
 
 
@@ -27,8 +27,11 @@ def upsert(base: DataFrame, log: DataFrame) -> DataFrame:
     return base.select("key", "vector").join(last.select("key"), "key", "left_anti").unionByName(last.where("op != 'delete'").select("key", "vector"))
 
 
-def insert_new(base: DataFrame, rows: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
-    """base with rows added; refused if a key is there already, deleted or not, or comes twice."""
+def insert_new(base: DataFrame, rows: DataFrame, tombstones: DataFrame | None = None, capacity: int | None = None) -> DataFrame:
+    """base with rows added; refused if a key is there already, deleted or not, or comes twice, or if there would be more
+    than `capacity` rows."""
+    if capacity is not None and base.count() + rows.count() > capacity:
+        raise IndexFull(f"at most {capacity} rows")
     known = base.select("key") if tombstones is None else base.select("key").union(tombstones.select("key"))
     twice = rows.groupBy("key").count().where("count > 1").select("key")
     clash = rows.select("key").join(known, "key", "left_semi").union(twice).limit(1).collect()

@@ -7,6 +7,7 @@ their own; the row's number is its id. Files are opened by path, which all execu
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import InvalidFile
+from ..functions import vectors as V
 
 DTYPES = {"f32": "<f4", "f16": "<f2", "u32": "<u4", "i32": "<i4", "u8": "u1"}
 _INTEGER = ("u32", "i32", "u8")
@@ -269,24 +271,99 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return raw.mapInArrow(nodes, "id long, key long, level int, deleted boolean, vector array<float>"), raw.mapInArrow(edges, "level int, src long, pos long, dst long")
 
 
-def save_graph_tables(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.parquet(f"{path}/nodes")
-    edges.write.parquet(f"{path}/edges")
+def _write_meta(spark: SparkSession, path: str, meta: dict) -> None:
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
+
+
+def _read_meta(spark: SparkSession, path: str, kind: str) -> dict:
+    try:
+        meta = json.loads(spark.read.text(f"{path}/meta").first().value)
+    except Exception as e:
+        raise InvalidFile(f"{path} isn't a stored {kind}") from e
+    if meta.get("kind") != kind or meta.get("version") != VERSION:
+        raise InvalidFile(f"{path}: {meta.get('kind')} of version {meta.get('version')}, not {kind} of version {VERSION}")
+    return meta
+
 
+#: Version of the stored forms below.
+VERSION = 1
 
-def load_graph_tables(spark: SparkSession, path: str, max_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges, checked: no self-edges, no missing ends, no repeats within a level."""
+
+def save_graph_tables(nodes: DataFrame, edges: DataFrame, path: str, m: int = 16, entry: int | None = None, dtype: str = "f32") -> None:
+    """Writes nodes (id, vector, and what else they have) and edges (level, src, pos, dst), and last what they are: version,
+    element type, dimension, m, entry node and highest level."""
+    nodes.write.parquet(f"{path}/nodes")
+    edges.write.parquet(f"{path}/edges")
+    spark = nodes.sparkSession
+    nodes = spark.read.parquet(f"{path}/nodes")
+    level = F.max("level") if "level" in nodes.columns else F.lit(None).cast("int")
+    found = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim"), level.alias("top")).first()
+    if entry is None and found.n:
+        order = [F.desc("level")] if "level" in nodes.columns else []
+        entry = nodes.orderBy(*order, "id").first().id
+    _write_meta(spark, path, {"kind": "graph", "version": VERSION, "dtype": dtype, "count": found.n, "dim": found.dim, "m": m, "entry": entry, "max_level": found.top})
+
+
+def graph_meta(spark: SparkSession, path: str) -> dict:
+    return _read_meta(spark, path, "graph")
+
+
+def load_graph_tables(spark: SparkSession, path: str, max_edges: int | None = None, m: int | None = None, dtype: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges, checked: version, element type and m as expected, all vectors of the stored dimension, the stored number
+    of nodes, the entry on the highest level, no self-edges, no missing ends, no repeats within a level, none over a level's
+    bound (max_edges, or m and at level 0 twice that)."""
+    meta = graph_meta(spark, path)
+    for name, want in (("m", m), ("dtype", dtype)):
+        if want is not None and meta[name] != want:
+            raise InvalidFile(f"{path}: {name} is {meta[name]}, not {want}")
     nodes, edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    bad = nodes.count() != meta["count"] or nodes.where(F.size("vector") != F.lit(meta["dim"])).limit(1).count()
+    bad = bad or nodes.count() != nodes.select("id").distinct().count()
+    if meta["entry"] is not None:
+        on = nodes.where(F.col("id") == meta["entry"])
+        bad = bad or not (on.where(F.col("level") == meta["max_level"]) if meta["max_level"] is not None else on).limit(1).count()
+    if meta["max_level"] is not None:
+        bad = bad or nodes.agg(F.max("level")).first()[0] != meta["max_level"] or edges.where(F.col("level") > meta["max_level"]).limit(1).count()
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
-    bad = edges.where("src = dst").limit(1).count() or ends.join(nodes, "id", "left_anti").limit(1).count()
+    bad = bad or edges.where("src = dst").limit(1).count() or ends.join(nodes, "id", "left_anti").limit(1).count()
     bad = bad or edges.groupBy("level", "src", "dst").count().where("count > 1").limit(1).count()
-    if max_edges is not None:
-        bad = bad or edges.groupBy("level", "src").count().where(F.col("count") > max_edges).limit(1).count()
+    most = F.lit(max_edges) if max_edges is not None else F.when(F.col("level") == 0, 2 * meta["m"]).otherwise(meta["m"])
+    bad = bad or edges.groupBy("level", "src").count().where(F.col("count") > most).limit(1).count()
     if bad:
         raise InvalidFile(f"{path}: the graph is damaged")
     return nodes, edges
 
 
+def save_vectors(rows: DataFrame, path: str, dtype: str = "f32") -> None:
+    """Writes rows (key, vector) as they are stored: f32, f16 and bf16 as arrays of rounded floats, qi8 as 8-bit structs, which
+    vectors may be already. All have one dimension. Repeated keys are refused."""
+    kind = rows.schema["vector"].dataType.simpleString()
+    v = F.col("vector")
+    if dtype == "qi8":
+        v = v if kind.startswith("struct") else V.qi8_quantize(v)
+    else:
+        v = V.CASTS[dtype](v)
+    rows.select("key", v.alias("vector")).write.parquet(f"{path}/rows")
+    d = rows.sparkSession.read.parquet(f"{path}/rows")
+    size = F.size("vector.data") if dtype == "qi8" else F.size("vector")
+    found = d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.min(size).alias("low"), F.max(size).alias("high")).first()
+    if found.n and (found.low != found.high or found.n != found.keys):
+        raise InvalidFile("vectors of one dimension and different keys are expected")
+    _write_meta(rows.sparkSession, path, {"kind": "vectors", "version": VERSION, "dtype": dtype, "dim": found.high, "count": found.n})
+
+
+def load_vectors(spark: SparkSession, path: str, dtype: str | None = None, dim: int | None = None) -> DataFrame:
+    """Rows (key, vector) of a stored vector table; its element type and dimension are checked where given."""
+    meta = _read_meta(spark, path, "vectors")
+    for name, want in (("dtype", dtype), ("dim", dim)):
+        if want is not None and meta[name] != want:
+            raise InvalidFile(f"{path}: {name} is {meta[name]}, not {want}")
+    rows = spark.read.parquet(f"{path}/rows")
+    if rows.count() != meta["count"]:
+        raise InvalidFile(f"{path}: {meta['count']} rows are expected")
+    return rows
+
+
 def migrate_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A layered graph as a flat one: live rows (key string, vector), and edges (src, neighbors) over all levels by key."""
     names = nodes.select("id", F.col("key").cast("string").alias("key"))
