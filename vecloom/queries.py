@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from .functions import vectors as V
 from .operators import graph, mutate
-from .operators.clusters import IvfIndex, assign_cells, cell_members, lloyd_step
+from .operators.clusters import IvfIndex, assign_cells, cell_members, centroid_table, kmeans_all, lloyd_step
 from .operators.compress import ProductQuantizer, Truncation, compressed_search
 from .operators.knn import best, ground_truth, knn, recall, sample, within
 from .plans.table import VectorTable
-from .sources.scratch import kept
+from .sources import files
+from .sources.scratch import kept, scratch
+from .streaming.mutations import follow
 
 K = 10
 
@@ -237,20 +239,30 @@ def hnsw_level(spark, sf_dir):
     return _base(spark, sf_dir).select("key", graph.random_level(u, 16).alias("level"))
 
 
+#: Wide enough for a search to reach every node that it can: then it has to equal the exact one.
+WIDE = 1 << 20
+
+
 def ivf_knn(spark, sf_dir):
+    """All cells probed: the same as a scan, by way of a stored index."""
     b = _base(spark, sf_dir)
-    return _rounded(IvfIndex.build(b, 32).search(_queries(b), K, nprobe=16))
+    return _rounded(IvfIndex.build(b, 32, path=scratch(spark)).search(_queries(b), K, nprobe=32))
 
 
 def ivf_recall(spark, sf_dir):
+    """A quarter of the cells probed: how many of the true neighbours are found, and whether that is enough."""
     b = _base(spark, sf_dir)
-    return recall(knn(_queries(b), b, K, "l2"), IvfIndex.build(b, 32).search(_queries(b), K, nprobe=16))
+    return _enough(b, IvfIndex.build(b, 32, path=scratch(spark)).search(_queries(b), K, nprobe=8))
+
+
+def _enough(b, got, least: float = 90.0):
+    return recall(knn(_queries(b), b, K, "l2"), got).select("total", (F.col("recall") >= least).alias("enough"))
 
 
 def pq_train_search(spark, sf_dir):
     b = _base(spark, sf_dir)
     pq = ProductQuantizer.train(b, 16, codes=64, rounds=10)
-    return _rounded(compressed_search(pq, _queries(b), pq.encode(b), K, "l2"))
+    return _enough(b, compressed_search(pq, _queries(b), pq.encode(b), K, "l2"), 75.0)
 
 
 def _linked(b):
@@ -259,7 +271,10 @@ def _linked(b):
 
 
 def prune_graph(spark, sf_dir):
-    return _linked(_base(spark, sf_dir))[0]
+    """The pruning rule over each search query's 16 nearest."""
+    b = _base(spark, sf_dir)
+    near = knn(_queries(b), b, 17, "l2").select(F.col("qid").alias("src"), F.col("key").alias("dst"))
+    return graph.prune_edges(near, b.select(F.col("key").alias("id"), "vector"), 2.0, 6)
 
 
 def graph_integrity(spark, sf_dir):
@@ -270,13 +285,27 @@ def graph_integrity(spark, sf_dir):
 def beam_search(spark, sf_dir):
     b = _base(spark, sf_dir)
     edges, nodes = _linked(b)
-    return _rounded(graph.beam_search(kept(_queries(b)), kept(edges.select("src", "dst")), nodes, K, width=64))
+    return _rounded(graph.beam_search(kept(_queries(b)), kept(edges.select("src", "dst")), nodes, K, width=WIDE, beam=64))
+
+
+def beam_recall(spark, sf_dir):
+    """The same graph searched by usual settings."""
+    b = _base(spark, sf_dir)
+    edges, nodes = _linked(b)
+    return _enough(b, graph.beam_search(kept(_queries(b)), kept(edges.select("src", "dst")), nodes, K, width=64, beam=4))
 
 
 def layered_search(spark, sf_dir):
     b = _base(spark, sf_dir)
     nodes, edges = graph.build_layers(b.select(F.col("key").alias("id"), "vector"))
-    return _rounded(graph.layered_search(kept(_queries(b)), kept(edges), kept(nodes), K))
+    return _enough(b, graph.layered_search(kept(_queries(b)), kept(edges), kept(nodes), K, ef=100))
+
+
+def beam_filtered(spark, sf_dir):
+    """Results of even labels only, reached through all nodes."""
+    b = _base(spark, sf_dir)
+    edges, nodes = _linked(b)
+    return _rounded(graph.beam_search(kept(_queries(b)), kept(edges.select("src", "dst")), nodes, K, width=WIDE, beam=64, allowed=b.where("label % 2 = 0").select(F.col("key").alias("id"))))
 
 
 def half_rounding(spark, sf_dir):
@@ -291,7 +320,11 @@ def truth_arrays(spark, sf_dir):
 
 
 def random_sample(spark, sf_dir):
-    return sample(_read(spark, sf_dir, "embeddings").select("vec_id"), 50, 3)
+    """Whether a sample has the rows asked for, all different and of the table, and is the same when drawn again."""
+    d = _read(spark, sf_dir, "embeddings").select("vec_id")
+    got, again = sample(d, 50, 3), sample(d.repartition(7), 50, 3)
+    one = got.join(d, "vec_id", "left_semi").join(again, "vec_id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("different"))
+    return one
 
 
 def table_query(spark, sf_dir):
@@ -304,11 +337,109 @@ def table_query(spark, sf_dir):
     return d.select("qid", "rank", F.col("key").cast("long").alias("key"), F.round("distance", 4).alias("distance"))
 
 
+def _changed(spark, sf_dir, config=None):
+    """A table on disk after inserts, an update, deletes, compactions and changes since."""
+    b = _base(spark, sf_dir)
+    t = VectorTable.create(spark, scratch(spark), {"dim": 64, "metric": "cosine"} | (config or {}))
+    t.insert(b.where("key % 2 = 0"))
+    t.insert(b.where("key % 5 = 0").withColumn("vector", F.transform("vector", lambda x: -x)))
+    return b, t
+
+
+def table_on_disk(spark, sf_dir):
+    b, t = _changed(spark, sf_dir)
+    t.compact()
+    t.insert(b.where("key % 2 = 1 or key % 5 = 0"))
+    t.delete(b.where("key % 7 = 0").select("key"))
+    d = VectorTable.open(spark, t.path).query(_queries(b), K)
+    return d.select("qid", "rank", F.col("key").cast("long").alias("key"), F.round("distance", 4).alias("distance"))
+
+
+def table_by_graph(spark, sf_dir):
+    """The same by the table's graph, mended by a compaction, with a search wide enough to be exact."""
+    b, t = _changed(spark, sf_dir, {"query_search_list_cap": WIDE, "beam_width": 64, "max_edges": 24})
+    t.build_index("graph")
+    t.insert(b.where("key % 2 = 1 and key % 3 = 0 or key % 5 = 0"))
+    t.delete(b.where("key % 7 = 0").select("key"))
+    t.compact()
+    t.insert(b.where("key % 2 = 1 and key % 7 <> 0"))
+    d = VectorTable.open(spark, t.path).query(_queries(b), K)
+    return d.select("qid", "rank", F.col("key").cast("long").alias("key"), F.round("distance", 4).alias("distance"))
+
+
+def table_compacted(spark, sf_dir):
+    """Rows of a table after a compaction, and what the compaction counted."""
+    b, t = _changed(spark, sf_dir)
+    t.delete(b.where("key % 7 = 0").select("key"))
+    done = t.compact()
+    counts = [F.lit(done[n]).cast("long").alias(n) for n in ("rows", "deleted", "changed")]
+    return t.rows().select(F.col("key").cast("long").alias("key"), F.round(F.element_at("vector", 1).cast("double"), 4).alias("first"), *counts)
+
+
+def table_codes(spark, sf_dir):
+    """A table that its size has compressed: recall by stored codes."""
+    b = _base(spark, sf_dir)
+    t = VectorTable.create(spark, scratch(spark), {"dim": 64, "compression_threshold": 100, "pq_subspaces": 16})
+    t.insert(b)
+    t.compact()
+    return _enough(b, t.search(_queries(b), K).withColumn("key", F.col("key").cast("long"))).withColumn("compressed", F.lit(t.compressed()))
+
+
+def table_qi8(spark, sf_dir):
+    b = _base(spark, sf_dir)
+    t = VectorTable.from_df(b.limit(0), {"dim": 64})
+    t.insert_qi8(b.withColumn("vector", V.qi8_quantize("vector")))
+    d = t.query_qi8(_queries(b).withColumn("q", V.qi8_quantize("q")), K)
+    return d.select("qid", "rank", F.col("key").cast("long").alias("key"), F.round("distance", 3).alias("distance"))
+
+
+def table_stream(spark, sf_dir):
+    """A stream of changes followed into a table on disk."""
+    t = VectorTable.create(spark, scratch(spark), {"dim": 1})
+    t.insert(_base(spark, sf_dir).select("key", F.slice("vector", 1, 1).alias("vector")))
+    events = _read(spark, sf_dir, "events")
+    op = F.when(F.col("event_id") % 5 == 0, "delete").otherwise("insert")
+    changes = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("key"), F.array(F.col("value").cast("float")).alias("vector"))
+    follow(t, changes, scratch(spark)).awaitTermination()
+    return t.rows().select(F.col("key").cast("long").alias("key"), F.round(F.element_at("vector", 1).cast("double"), 3).alias("first"))
+
+
+def stored_vectors(spark, sf_dir):
+    """Vectors written as 8-bit structs with what they are, and read back."""
+    path = scratch(spark)
+    files.save_vectors(_base(spark, sf_dir).select("key", "vector"), path, "qi8")
+    d = files.load_vectors(spark, path, "qi8", 64)
+    return d.select("key", F.round(F.col("vector.scale").cast("double"), 6).alias("scale"), F.col("vector.zero_point").cast("long").alias("zero_point"), F.aggregate("vector.data", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+def kmeans_converged(spark, sf_dir):
+    """Lloyd's to its end: whether every row is in the cell of its nearest centroid, and centroids are their members' means."""
+    import numpy as np
+
+    b = _base(spark, sf_dir)
+    start = np.array([r.vector for r in b.where("key < 8").orderBy("key").collect()])
+    cells, c, steps = kmeans_all(b.select("key", "vector"), start, 100)
+    again = {r.cell: r.centroid for r in lloyd_step(b, centroid_table(spark, c)).collect()}
+    still = all(np.array_equal(c[k], v) for k, v in again.items())
+    return cells.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(bool(still and steps < 100)).alias("settled"))
+
+
+def pq_sdc(metric: str):
+    def run(spark, sf_dir):
+        b = _base(spark, sf_dir)
+        pq = _codebook(b)
+        return _rounded(pq.search(_queries(b), pq.encode(b), K, metric))
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {"knn_l2": _knn("l2"), "knn_cosine": _knn("cosine"), "knn_ip": _knn("ip"), "knn_euclid": _knn("euclidean"), "qi8_l2": _qi8("l2_sq"), "qi8_cosine": _qi8("cosine"), "qi8_ip": _qi8("inner_product")}
+    found |= {"pq_sdc_ip": pq_sdc("ip"), "pq_sdc_cosine": pq_sdc("cosine")}
     more = [knn_filtered, knn_tombstoned, radius_search, nan_to_num, normalize, norms, pairwise_dist, centroid_dist, kmeans_one_lloyd_step, cluster_members, qi8_quantize, trunc_knn, trunc_rerank]
     more += [pq_encode_fixed_codebook, pq_sdc_l2, recall_at_k, upsert_latest, set_outcome, delete_apply, live_counts, merged_neighbors, reverse_edges, two_hop, compaction_candidates, hnsw_level]
-    more += [ivf_knn, ivf_recall, pq_train_search, prune_graph, graph_integrity, beam_search, layered_search, half_rounding, truth_arrays, random_sample, table_query]
+    more += [ivf_knn, ivf_recall, pq_train_search, prune_graph, graph_integrity, beam_search, beam_recall, beam_filtered, layered_search, half_rounding, truth_arrays, random_sample, table_query]
+    more += [table_on_disk, table_by_graph, table_compacted, table_codes, table_qi8, table_stream, stored_vectors, kmeans_converged]
     return found | {f.__name__: f for f in more}
 
 
@@ -367,7 +498,43 @@ def oracle_sql() -> dict[str, str]:
     near = f"SELECT b.key, c.key AS cell, b.v, row_number() OVER (PARTITION BY b.key ORDER BY {_l2('b.v', 'c.v')}, c.key) AS r FROM e b, e c WHERE c.key < 8"
     straight = "SELECT src, dst FROM edges WHERE src NOT IN (SELECT key FROM dead) AND dst NOT IN (SELECT key FROM dead)"
     through = "SELECT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src NOT IN (SELECT key FROM dead) AND a.dst IN (SELECT key FROM dead) AND b.dst NOT IN (SELECT key FROM dead) AND a.src <> b.dst"
+    enough = "SELECT {} * count(*) AS total, true AS enough FROM embeddings WHERE vec_id % 100 = 0".format(K)
+    on_disk = _top(_metric("cosine", "q.v", "b.v"), where="b.key % 7 <> 0").replace("round(distance, 6)", "round(distance, 4)")
+    pairs = f"SELECT a.src, a.pos AS i, b.pos AS j, {_l2('a.v', 'b.v')} AS d FROM c a JOIN c b ON a.src = b.src"
+
+    def half(bits: int, least: int) -> str:
+        step = f"pow(2.0, greatest(floor(log2(abs(x))), {least}) - {bits})"
+        return f"list_transform(v, lambda x: CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / {step}, 0) * {step} END)"
+
     return {
+        "ivf_knn": _EXACT,
+        "beam_search": _EXACT,
+        "beam_filtered": _top(_metric("l2", "q.v", "b.v"), where="b.label % 2 = 0"),
+        "ivf_recall": enough,
+        "beam_recall": enough,
+        "layered_search": enough,
+        "pq_train_search": enough,
+        "table_codes": enough.replace("true AS enough", "true AS enough, true AS compressed"),
+        "graph_integrity": "SELECT CAST(0 AS BIGINT) AS self_edges, CAST(0 AS BIGINT) AS missing_ends, CAST(0 AS BIGINT) AS repeats, CAST(0 AS BIGINT) AS over_degree",
+        "random_sample": "SELECT least(50, count(*)) AS n, least(50, count(*)) AS different FROM embeddings",
+        "prune_graph": f"WITH RECURSIVE {_E}, n AS (SELECT q.key AS src, b.key AS dst, b.v, {_l2('q.v', 'b.v')} AS d FROM e q, e b WHERE q.key % 100 = 0), "
+        f"r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS place FROM n), c AS (SELECT src, dst, v, d, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS pos FROM r WHERE place <= 17 AND src <> dst), "
+        f"p AS ({pairs}), m AS (SELECT src, i, list(d ORDER BY j) AS row FROM p GROUP BY src, i), x AS (SELECT c.src, c.pos, c.d, m.row FROM c JOIN m ON c.src = m.src AND c.pos = m.i), "
+        "w AS (SELECT src, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT src FROM c) UNION ALL "
+        "SELECT w.src, x.pos, CASE WHEN len(w.kept) < 6 AND len(list_filter(w.kept, lambda k: x.d > 2.0 * x.row[k])) = 0 THEN list_append(w.kept, x.pos) ELSE w.kept END FROM w JOIN x ON x.src = w.src AND x.pos = w.pos + 1), "
+        "z AS (SELECT src, kept FROM w QUALIFY row_number() OVER (PARTITION BY src ORDER BY pos DESC) = 1), y AS (SELECT src, unnest(kept) AS place, unnest(range(0, len(kept))) AS pos FROM z) "
+        "SELECT y.src, y.pos, c.dst FROM y JOIN c ON c.src = y.src AND c.pos = y.place",
+        "half_rounding": f"WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), h AS (SELECT vec_id, {half(10, -14)} AS a, {half(7, -126)} AS b FROM d) SELECT vec_id, round({_dot('a', 'a')}, 9) AS f16, round({_dot('b', 'b')}, 9) AS bf16 FROM h",
+        "table_on_disk": on_disk,
+        "table_by_graph": on_disk,
+        "table_compacted": f"WITH {_E}, r AS (SELECT key, CASE WHEN key % 5 = 0 THEN -v[1] ELSE v[1] END AS x FROM e WHERE (key % 2 = 0 OR key % 5 = 0) AND key % 7 <> 0) "
+        "SELECT key, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 4) AS first, (SELECT count(*) FROM r) AS rows, (SELECT count(*) FROM e WHERE key % 7 = 0) AS deleted, (SELECT count(*) FROM r) AS changed FROM r",
+        "table_qi8": _top(_metric("l2", "q.v", "b.v"), "u", ctes=_QI8).replace("round(distance, 6)", "round(distance, 3)"),
+        "table_stream": f"WITH {_E}, log AS ({_LOG}), last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1), a AS (SELECT key, v[1] AS x FROM e WHERE key NOT IN (SELECT key FROM last) UNION ALL SELECT key, value AS x FROM last WHERE op <> 'delete') SELECT key, round(CAST(CAST(x AS FLOAT) AS DOUBLE), 3) AS first FROM a",
+        "stored_vectors": f"WITH {_QI8} SELECT key, round(s, 6) AS scale, CAST(z AS BIGINT) AS zero_point, CAST(list_sum(data) AS BIGINT) AS total FROM t",
+        "kmeans_converged": "SELECT count(*) AS n, true AS settled FROM embeddings",
+        "pq_sdc_ip": _top(_metric("ip", "q.v", "b.v"), "p", ctes=_CODES + ", p AS (SELECT key, flatten(list(c ORDER BY s)) AS v FROM near WHERE r = 1 GROUP BY key)"),
+        "pq_sdc_cosine": _top(_metric("cosine", "q.v", "b.v"), "p", ctes=_CODES + ", p AS (SELECT key, flatten(list(c ORDER BY s)) AS v FROM near WHERE r = 1 GROUP BY key)"),
         "knn_l2": _EXACT,
         "knn_cosine": _top(_metric("cosine", "q.v", "b.v")),
         "knn_ip": _top(_metric("ip", "q.v", "b.v")),
