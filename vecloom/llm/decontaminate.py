@@ -7,7 +7,8 @@ documents are then scanned for prefix shingles only. A match gives the window's
 which has to lie inside the document (length bound), and all its words are compared there.
 
 Benchmark windows are joined in blocks of at most BLOCK (window, item) rows, so what is broadcast has a fixed bound; a
-benchmark of one block needs no shuffle of documents at all, a larger one one scan of documents per block.
+benchmark of one block needs no shuffle of documents at all. Each block takes two scans of documents, one that counts its
+shingles and one that looks for its windows; with several blocks documents get a key and are written once for that.
 """
 
 from __future__ import annotations
@@ -174,7 +175,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[
 
 def _block_of(spark, wins: DataFrame, texts: DataFrame, k: int, blocks: int):
     part = wins if blocks == 1 else wins.where(F.pmod(F.xxhash64("item_id", "win"), F.lit(blocks)) == k)
-    rows = [(r.item_id, r.win) for r in part.collect()]  # at most about BLOCK rows
+    table = part.select("item_id", "win").toArrow()  # at most about BLOCK rows
+    rows = list(zip(table.column("item_id").to_pylist(), table.column("win").to_pylist()))
     if not rows:
         return None
     block = _Block(rows)
@@ -193,8 +195,10 @@ def _block_of(spark, wins: DataFrame, texts: DataFrame, k: int, blocks: int):
 
     seen = texts.mapInArrow(count, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
     counts = {n: np.zeros(len(s), np.int64) for n, s in block.shingles.items()}
-    for r in seen.collect():  # one row a shingle of the block
-        counts[r.k][r.at] = r.n
+    table = seen.toArrow()  # one row of numbers for each shingle of the block
+    k, at, n = (np.asarray(table.column(c)) for c in ("k", "at", "n"))
+    for size, c in counts.items():
+        c[at[k == size]] = n[k == size]
     block.order(counts)
     sent.unpersist()
     return spark.sparkContext.broadcast(block)
@@ -279,5 +283,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_rows: int = BLOCK) -> DataFrame:
-    """The rows of docs that no benchmark window occurs in, with all their columns."""
+    """The rows of docs that no benchmark window occurs in, with all their columns, whatever their names.
+
+    Null and empty texts have no windows and stay; rows with equal or null ids are judged one by one, repeated rows alike; an
+    empty table gives none, an empty benchmark all rows."""
     return _scanned(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), benchmark, window, block_rows).where(F.size("hit_spans") == 0).select("row.*")

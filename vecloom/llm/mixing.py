@@ -91,7 +91,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
-    """The mix itself: each row of docs as many times as mix_sources takes it, with all its columns."""
+    """The mix itself: each row of docs as many times as mix_sources takes it, with all its columns, whatever their names.
+
+    Null texts have size 0 and share their source's threshold like others; null sources are one source, the last; rows with
+    equal id and text have one hash and so one fate; an empty table gives none."""
     limits = mix_plan(stored(_measured(docs, seed), "mix"), weights, cap)
     d = docs.select(F.struct("*").alias("_row"), F.col("source").cast("string").alias("_source"), _hash(seed).alias("_h"))
     d = d.join(limits, d._source.eqNullSafe(limits._s)).withColumn("_n", _times().cast("int"))

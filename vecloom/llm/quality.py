@@ -144,5 +144,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns, whatever their names."""
+    """The rows of docs that quality_rules keeps, with all their columns, whatever their names.
+
+    Null and empty texts go; repeated rows and rows of equal or null ids are judged one by one; a score equal to the
+    threshold stays; an empty table gives none."""
     return _judged(docs, labels, threshold, buckets, trusted_docs).where("q.kept").select("_row.*")
