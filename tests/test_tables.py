@@ -382,7 +382,7 @@ def test_queries_match_their_sql(spark, duck):
         assert sorted(got.columns) == sorted(want.columns), name
         a, b = (sorted(map(repr, x[sorted(x.columns)].itertuples(index=False, name=None))) for x in (got, want))
         assert [x.replace("-0.0", "0.0") for x in a] == [x.replace("-0.0", "0.0") for x in b], name
-    assert found["ivf_recall"](spark, SF).first().recall >= 90
+    assert found["ivf_recall"](spark, SF).first().enough  # 90 or more
 
 
 def test_entry_without_corpus_operators(tmp_path):
