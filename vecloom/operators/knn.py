@@ -98,16 +98,24 @@ class TopK:
             return
         with np.errstate(over="ignore", invalid="ignore"):
             d = _fast(self.q, base, self.metric)
-            off = _error(self.q, base, self.metric)
-        # a pair that can't be told quickly is looked at exactly
-        low, high = d - off, d + off
-        low[~np.isfinite(low)], high[~np.isfinite(high)] = -np.inf, np.inf
-        if allowed is not None:
-            low, high = np.where(allowed, low, np.inf), np.where(allowed, high, np.inf)
-        if d.shape[1] > self.k:
-            near = low <= np.partition(high, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-        else:
+            top = (base * base).sum(axis=1).max()
+            plain = np.isfinite(top + (self.q * self.q).sum(axis=1).max()) and top < 1e300
+        if d.shape[1] <= self.k:
             near = np.ones(d.shape, bool)
+        elif plain:
+            # what may be off by rounding is looked at exactly
+            off = _error(self.q, np.sqrt([[top]]) * np.eye(1, base.shape[1]), self.metric)
+            if allowed is not None:
+                d[~allowed] = np.inf
+            near = d <= np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] + 2 * off
+        else:
+            with np.errstate(over="ignore", invalid="ignore"):
+                off = _error(self.q, base, self.metric)
+                low, high = d - off, d + off
+            low[~np.isfinite(low)], high[~np.isfinite(high)] = -np.inf, np.inf
+            if allowed is not None:
+                low[~allowed] = high[~allowed] = np.inf
+            near = low <= np.partition(high, self.k - 1, axis=1)[:, self.k - 1 : self.k]
         if allowed is not None:
             near &= allowed
         row, col = np.nonzero(near)
