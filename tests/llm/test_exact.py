@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -93,18 +94,18 @@ def test_quality_scores(spark, odd, sf_dir):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-5) and a[3] == b[3]
 
 
-def test_quality_repeats_of_long_texts(spark, sf_dir):
+@pytest.mark.parametrize("clashing", [False, True])
+def test_quality_repeats(spark, odd, sf_dir, monkeypatch, clashing):
     import vecloom.llm.quality as m
 
-    text = "p q r s\np q r t\n\np q r s " * 9
-    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    before, m._POS_BITS = m._POS_BITS, 4  # as if the text were over a million words
-    try:
-        got = quality_rules(df, labels).first()
-    finally:
-        m._POS_BITS = before
-    assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words, got.base_failed) == rules(text)
+    if clashing:  # windows of equal hash lie between each other
+        monkeypatch.setattr(m, "_window_hash", lambda a, b, c: (F.length(a) % 2).cast("long"))
+    rng = random.Random(5)
+    texts = ["p q r s\np q r t\n\np q r s " * 9, "a b a c a b a c a a a a", "a b c", "a a a", "a a a a", *(" ".join(rng.choices("ab cd e fgh i jk".split(), k=n)) for n in (5, 30, 300, 3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(odd.select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    got = quality_rules(df, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    assert pairs(got.select(cols)) == sorted(((r.doc_id, *rules(r.text)) for r in df.collect()), key=repr)
 
 
 def test_quality_learns_the_target(spark):

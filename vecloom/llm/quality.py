@@ -21,8 +21,6 @@ BUCKETS = 1 << 16
 TRUSTED_DOCS = 50_000
 #: Mean log ratio (nats an n-gram) below which a document is dropped.
 THRESHOLD = -0.15
-#: Positions that fit in a packed 64-bit sort key.
-_POS_BITS = 20
 _MARKS = "[#*$%&|<>]"
 
 
@@ -61,15 +59,20 @@ def ngram_model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trus
     return full.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "v"))), lambda r: r["v"]).alias("llr"))
 
 
+def _window_hash(a: Column, b: Column, c: Column) -> Column:
+    return F.xxhash64(a, b, c)
+
+
 def _repeat_words(w: Column) -> Column:
     """Words inside 3-word windows that occur at least twice in the array w.
 
-    Window hashes are packed with their positions into one long, sorted, and neighbours of equal hash are compared word
-    by word; texts of 2^20 words or more sort (hash, position) pairs instead.
+    Window hashes are packed with their positions into one long, as many bits each as the text's length leaves, and sorted;
+    neighbours of equal hash are compared word by word. Where some of them differ, a window could stand between two equal
+    ones of another: that text's windows are sorted by their words instead. The result is exact for texts of any length.
     """
-    mask = (1 << _POS_BITS) - 1
     n = F.size(w)
     at = F.sequence(F.lit(0), n - 3)
+    one = F.lit(1).cast("long")
 
     def same(i: Column, j: Column) -> Column:
         return (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
@@ -80,32 +83,42 @@ def _repeat_words(w: Column) -> Column:
             return F.aggregate(F.transform(p, lambda x, i: F.when(i + 1 < F.size(p), F.least(F.lit(3), F.get(p, i + 1) - x)).otherwise(F.lit(3))), F.lit(0).cast("long"), lambda a, x: a + x)
         return let(pos, body)
 
-    def hashed(i: Column) -> Column:
-        return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    def by_words() -> Column:
+        def order(i: Column, j: Column) -> Column:
+            found = F.when(F.get(w, i) < F.get(w, j), -1).when(F.get(w, i) > F.get(w, j), 1)
+            for k in (1, 2):
+                found = found.when(F.get(w, i + k) < F.get(w, j + k), -1).when(F.get(w, i + k) > F.get(w, j + k), 1)
+            return found.otherwise(0)
+
+        def hits(s: Column) -> Column:
+            return F.sort_array(F.filter(s, lambda x, i: F.coalesce((i > 0) & same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False))))
+
+        return covered(let(F.array_sort(at, order), hits))
+
+    def packed(bits: Column) -> Column:
+        def body(s: Column) -> Column:
+            def pos(x: Column) -> Column:
+                return x.bitwiseAND(F.call_function("shiftleft", one, bits) - 1).cast("int")
+
+            def alike(x: Column, y: Column) -> Column:
+                return F.call_function("shiftright", x, bits) == F.call_function("shiftright", y, bits)
 
-    def packed(s: Column) -> Column:
-        def pos(x: Column) -> Column:
-            return x.bitwiseAND(F.lit(mask).cast("long")).cast("int")
+            def twin(x: Column, j: Column) -> Column:
+                other = F.get(s, j)
+                return F.coalesce(alike(x, other) & same(pos(x), pos(other)), F.lit(False))
 
-        def twin(x: Column, j: Column) -> Column:
-            other = F.get(s, j)
-            return F.coalesce((F.shiftright(x, _POS_BITS) == F.shiftright(other, _POS_BITS)) & same(pos(x), pos(other)), F.lit(False))
+            def clash(x: Column, i: Column) -> Column:
+                return F.when(i > 0, alike(x, F.get(s, i - 1)) & ~same(pos(x), pos(F.get(s, i - 1)))).otherwise(F.lit(False))
 
-        hits = F.filter(s, lambda x, i: ((i > 0) & twin(x, i - 1)) | twin(x, i + 1))
-        return F.sort_array(F.transform(hits, pos))
+            hits = F.filter(s, lambda x, i: ((i > 0) & twin(x, i - 1)) | twin(x, i + 1))
+            return F.when(F.size(F.filter(s, clash)) > 0, by_words()).otherwise(covered(F.sort_array(F.transform(hits, pos))))
 
-    def paired(s: Column) -> Column:
-        def twin(x: Column, j: Column) -> Column:
-            other = F.get(s, j)
-            return F.coalesce((x["h"] == other["h"]) & same(x["i"], other["i"]), F.lit(False))
+        def row(i: Column) -> Column:
+            return F.call_function("shiftleft", _window_hash(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long"))
 
-        hits = F.filter(s, lambda x, i: ((i > 0) & twin(x, i - 1)) | twin(x, i + 1))
-        return F.sort_array(F.transform(hits, lambda x: x["i"]))
+        return let(F.sort_array(F.transform(at, row)), body)
 
-    short = let(F.sort_array(F.transform(at, lambda i: F.shiftleft(hashed(i), _POS_BITS).bitwiseOR(i.cast("long")))), packed)
-    long = let(F.sort_array(F.transform(at, lambda i: F.struct(hashed(i).alias("h"), i.alias("i")))), paired)
-    none = F.lit(0).cast("long")
-    return F.when(n < 4, none).when(n <= mask, covered(short)).otherwise(covered(long))
+    return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(F.length(F.bin(n.cast("long"))), packed))
 
 
 def _judged(docs: DataFrame, labels: DataFrame, threshold: float, buckets: int, trusted_docs: int) -> DataFrame:
