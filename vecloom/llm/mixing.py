@@ -49,7 +49,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
 
 def _hash(seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))), 64 - _HASH_BITS)
+    """The first 60 bits of MD5 of seed, id and text, which SQL engines have too."""
+    whole = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, _HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _measured(docs: DataFrame, seed: int) -> DataFrame:
