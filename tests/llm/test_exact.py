@@ -1,9 +1,11 @@
 """Operators against brute force on odd rows."""
 
+import gc
 import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -19,7 +21,7 @@ from vecloom.llm.mixing import mix_sources, mixed_documents
 from vecloom.llm.pii import base_spans, find_pii, luhn, mod97, redacted, spans
 from vecloom.llm.quality import keep_quality, quality_rules
 from vecloom.llm.simhash import VantageTree, distances, fingerprints, local_links, near_duplicates, near_links, one_of_each
-from vecloom.llm.substrings import FingerprintIndex, _among as among, _sorted as by_print, dedup_substrings, pack, unpack
+from vecloom.llm.substrings import FingerprintIndex, WordHashes, _among as among, _sorted as by_print, dedup_substrings, pack, unpack
 from vecloom.llm.tokenids import EliasFano, Segment, WordEncoder, token_ids, tokenizer_path, write_segment
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -496,6 +498,27 @@ def test_the_default_batches_compact(spark, monkeypatch):
     assert levels == [{4: 1}]
 
 
+def test_word_hashes_keep_only_their_cache():
+    """Words dropped from the cache are freed at once, without a garbage collection; hashes stay those of each word."""
+    hashes = WordHashes(cache=1000)
+    first = hashes([b"a", b"b", b"a"])
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for k in range(40):
+            hashes([b"word %d of %d" % (j, k) for j in range(2000)])
+        held = tracemalloc.get_traced_memory()[0]
+        again = hashes([b"a", b"b", b"a"])
+        del hashes
+        left = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert held < 1_000_000 and left < 50_000
+    assert all((x == y).all() for x, y in zip(first, again))
+
+
 def test_packed_prints():
     rng = np.random.default_rng(0)
     p = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))

@@ -15,6 +15,7 @@ passage that a third of all documents share sends one fingerprint a task, not on
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 from collections import defaultdict
@@ -48,8 +49,9 @@ class WordHashes:
         self._clear()
 
     def _clear(self) -> None:
-        self.ids: defaultdict = defaultdict()
-        self.ids.default_factory = self.ids.__len__
+        # numbers come from a counter: a method of the table itself would be a cycle, by which old tables, words and all, stay
+        # until a full garbage collection, which rarely comes where nearly all is arrays
+        self.ids: defaultdict = defaultdict(itertools.count().__next__)
         self.values = np.zeros((0, 2), np.uint64)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +185,7 @@ def _sketched(batches, window: int, group_bits: int, flush: int):
             rows.append((_ENTRY, int(group_1[a]), pack(prints_1[a:b], proofs_1[a:b]), _pack_docs(least[a:b])))
         # the others have a smaller document in this very task
         rows += [(_HIT, int(np.uint64(d & (1 << 64) - 1) % np.uint64(1 << group_bits)), p, np.array([d], "<i8").tobytes()) for d, p in _by_doc(doc[other], prints[other])]
+        del group, prints, proofs, doc, order, new_group, first, least, other, prints_1, proofs_1, group_1  # not needed while rows are sent
         for at in range(0, len(rows), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows[at : at + 4096]), _ROW)], schema=_ROW)
 
