@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from vecloom.llm import lmscore
 from vecloom.llm import queries as Q
 from vecloom.llm.decontaminate import contamination, without_benchmark
 from vecloom.llm.lmscore import NOVELTY, repeats, score_documents
@@ -704,3 +705,49 @@ def test_counts_beyond_the_dictionary_enter_scores(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.total_bits for r in score_documents(df, vocabulary=1).where(F.col("doc_id").isin(held)).collect()}
     assert got[held[0]] < 400 and got[held[1]] > 1500 and math.isfinite(got[held[2]])
+
+
+def test_all_training_data_is_learnt_from(spark, monkeypatch):
+    """No training text and no training word is kept out of the tables or of what the weights are fitted to."""
+    seen = []
+    for name in ("counted_tables", "learnt_weights"):
+        f = getattr(lmscore, name)
+        monkeypatch.setattr(lmscore, name, lambda rows, *a, f=f, name=name: (seen.append((name, rows.count())), f(rows, *a))[1])
+    docs = [(k, f"some words of text{k} text{k} and once{k}x") for k in range(300)]
+    train = [t for k, t in docs if zlib.crc32(str(k).encode()) % 7 != 2]
+    rest = len({w for t in train for w in t.split()}) - 4
+    df = spark.createDataFrame(docs + [(None, None)], "doc_id long, text string")
+    assert score_documents(df, vocabulary=4).count() == 301
+    n = len(train) + 1
+    assert seen == [("counted_tables", rest), ("learnt_weights", rest), ("counted_tables", n), ("learnt_weights", n)]
+
+
+def test_fitted_weights():
+    """Tallied weights cost least; gates without decisions keep the first weights; classes stand for their codes."""
+    rng = np.random.default_rng(1)
+    cells = np.unique(rng.integers(0, lmscore.CLASSES**2 * lmscore._STEPS, 30_000))
+    cells = cells[lmscore._CLASS_CONF[cells // lmscore._STEPS // lmscore.CLASSES] != 3]
+    n = rng.integers(1, 50, len(cells)).astype(float)
+    first, step = divmod(cells, lmscore._STEPS)
+    first, second = divmod(first, lmscore.CLASSES)
+    gate = lmscore._CLASS_CONF[first] * 7 + lmscore._CLASS_CONF[second]
+    x = np.stack(((step // 2 - 24) / 2, lmscore._CLASS_ODDS[first], lmscore._CLASS_ODDS[second]), axis=1) * (2 * (step % 2) - 1)[:, None]
+    start, w = lmscore.first_weights(), lmscore.fitted_weights(cells, n)
+
+    def cost(w):
+        return (n * np.logaddexp(0, -(x * w[gate]).sum(axis=1))).sum() + ((w - start) ** 2).sum() / 2
+
+    least = cost(w.astype(float))
+    assert least < 0.99 * cost(start)
+    for k in range(3):
+        for by in (-0.02, 0.02):
+            other = w.astype(float)
+            other[:, k] += by
+            assert cost(other) > least
+    assert (w[21:28] == start[21:28]).all()
+    assert (lmscore.fitted_weights(np.zeros(0, np.int64), np.zeros(0)) == start).all()
+    counts = np.array([(a, b) for a in range(40) for b in range(40)])
+    codes = lmscore._quantised(counts[:, 0], counts[:, 1])
+    away = np.abs(lmscore._CLASS_ODDS[lmscore._CLASS[codes]] - lmscore._ODDS[codes])
+    assert away.max() < 0.3 and (away[counts.sum(axis=1) < 5] == 0).all()
+    assert (lmscore._CLASS_CONF[lmscore._CLASS[codes]] == codes >> 9).all()

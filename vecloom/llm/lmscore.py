@@ -6,9 +6,13 @@ Every decision has three predictors: its node's own odds in training (order 0),
 hashes of the node with the last very frequent word before it, which tells the kind of text, and with the two preceding
 words (of bytes: with two and with four preceding bytes of the word).
 The tables are counted over all training documents; their size is fixed. Predictions are mixed in the logistic domain by
-weights chosen by a gate, the confidence of the two hashed predictors. Weights start from those learnt on a small part of
-the training data that is kept out of the tables, and are refined by gradient steps as each document is read, block by
-block. The sum of the decisions' costs is the text's total in bits.
+weights chosen by a gate, the confidence of the two hashed predictors. Weights start from those that fit all training data
+best, and are refined by gradient steps as each document is read, block by block. The sum of the decisions' costs is the
+text's total in bits.
+
+Counts that a document is part of would seem better than they are for others, so training data is dealt to two folds, each
+counted apart. A fold's decisions are predicted by the other fold's counts and tallied by what the predictors say; weights
+are fitted to the tally, whose size is fixed. Texts are scored by the sum of both folds' counts.
 
 How a word is spelt depends on the word alone, so that cost is worked out once a distinct word, on the table of word
 counts, and reaches documents by the join that also brings counts of words outside the dictionary. After an escape a word
@@ -38,16 +42,12 @@ from .common import LOWER, stored, text_bytes
 
 #: Words of the dictionary at most; bits of slot numbers in the tables of words and of bytes; slots in a row of a partial table.
 VOCABULARY, TABLE_BITS, BYTE_BITS, CHUNK = 1 << 17, 22, 20, 1 << 16
-#: Tokens read between two refinements of the weights, and the step size. Steps add up over a block's decisions: spelt words,
-#: which have several times as many as tokens, take shorter blocks and smaller steps.
+#: Tokens read between two refinements of the weights, and the step size.
 BLOCK, RATE = 32, 0.004
-SPELT_BLOCK, SPELT_RATE = 32, 0.001
 #: Words of the dictionary, from the most frequent on, that serve as contexts of what follows them.
 FREQUENT = 128
 #: Weights of a new word against one that a document had before, after an escape.
 NOVELTY = (2.0, 8.0, 32.0, 128.0, 512.0, 1e6)
-#: Documents, and spelt words, that start the weights (about).
-CALIBRATION, CALIBRATION_WORDS = 1000, 20_000
 #: Partial tables that one task adds up.
 FAN_IN = 64
 _INPUTS, _CONF, _LIMIT = 3, 7, 8.0
@@ -105,9 +105,10 @@ class Huffman:
         ones[parent[kids] - n] = mass[kids]
         whole = np.maximum(mass[n : n + self.nodes], 1e-9) if n > 1 else np.ones(1)
         p = np.clip(ones / whole, 1e-6, 1 - 1e-6)
-        # at each decision: what its node adds to hashes, and the node's own odds
+        # at each decision: what its node adds to hashes, the node's own odds, and these as a step of a tally with the bit
         self.hashed = self.node.astype(np.uint32) * np.uint32(0x94D049BB)
         self.stretch = np.clip(np.log(p / (1 - p)), -12, 12).astype(np.float32)[self.node]
+        self.step = (np.rint(self.stretch * 2).astype(np.int32) + 24) * 2 + self.bit
 
     def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the symbol, decision) for all decisions of a series of symbols."""
@@ -148,23 +149,33 @@ def _slots(context: np.ndarray, who: np.ndarray, node: np.ndarray, bits: int) ->
 
 
 class Decisions:
-    """A series of decisions, sorted by step: order-0 odds, slots, lane (text), bit; and where each step begins."""
+    """A series of decisions, sorted by step: their places in the code, slots, lane (text); and where each step begins."""
 
     def __init__(self, code: Huffman, symbols, c1, c2, lane, step, steps: int, bits: int, lanes: int):
-        self.who, at = code.decisions(symbols)
-        node = code.hashed.take(at)
-        self.odds, self.bit = code.stretch.take(at), code.bit.take(at)
+        self.code = code
+        self.who, self.at = code.decisions(symbols)
+        node = code.hashed.take(self.at)
         self.slots = _slots(c1, self.who, node, bits), _slots(c2, self.who, node, bits)
         self.lane, self.steps, self.lanes = None if lane is None else lane.take(self.who), steps, lanes
         if step is None:
-            self.edge = [0, len(self.bit)]
+            self.edge = [0, len(self.at)]
         else:
             first = np.searchsorted(step, np.arange(steps + 1))
             self.edge = np.concatenate(([0], np.cumsum(code.length.take(symbols))))[first].tolist()
 
     def count(self, tables: list[np.ndarray]) -> None:
+        bit = self.code.bit.take(self.at)
         for t, slot in zip(tables, self.slots):
-            np.add.at(t, slot.astype(np.intp) * 2 + self.bit, np.int32(1))
+            np.add.at(t, slot.astype(np.intp) * 2 + bit, np.int32(1))
+
+    def tally(self, cells: np.ndarray, classes: tuple[np.ndarray, np.ndarray]) -> None:
+        """Adds each decision to its cell: classes of both slots, step of the odds, bit."""
+        cell = classes[0].take(self.slots[0]).astype(np.intp)
+        cell *= CLASSES
+        cell += classes[1].take(self.slots[1])
+        cell *= _STEPS
+        cell += self.code.step.take(self.at)
+        np.add.at(cells, cell, 1)
 
 
 def to_symbols(text: bytes, codes: Codes) -> tuple[list[int], Counter]:
@@ -216,7 +227,7 @@ class Texts:
         self.decisions = Decisions(codes.words, symbols, _mix(kind, 77), _mix(_mix(one, 1), two), lane, step, steps, bits, len(texts))
 
 
-def spelling(words: list[bytes], code: Huffman, bits: int, block: int = SPELT_BLOCK) -> tuple[Decisions, np.ndarray]:
+def spelling(words: list[bytes], code: Huffman, bits: int) -> tuple[Decisions, np.ndarray]:
     """Decisions of spelt words, and the word of each."""
     n = np.array([len(w) + 1 for w in words], np.int64)
     b = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.uint32)
@@ -228,8 +239,7 @@ def spelling(words: list[bytes], code: Huffman, bits: int, block: int = SPELT_BL
     past = [np.where(inside >= k, np.concatenate((np.full(k, none), b[:-k]))[: len(b)], none) for k in (1, 2, 3, 4)]
     c1 = _mix(past[0] * np.uint32(512) + past[1], 11)
     c2 = _mix(c1, past[2] * np.uint32(512) + past[3])
-    step = owner // block
-    d = Decisions(code, b, c1, c2, None, step, int(step[-1]) + 1, bits, 1)
+    d = Decisions(code, b, c1, c2, None, None, 1, bits, 1)
     return d, owner[d.who]
 
 
@@ -246,6 +256,24 @@ def _quantised(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 _ODDS = np.tile(((np.arange(512) * (2 * _LIMIT / 511)) - _LIMIT).astype(np.float32), 1 << 7)
 
 
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of slot codes for tallies: class by code, and each class's log odds and confidence. Slots seen up to four
+    times have a class for each pair of counts, others one for a half of log odds and their confidence."""
+    pairs = np.array([(z, n - z) for n in range(5) for z in range(n + 1)])
+    rare = _quantised(pairs[:, 0], pairs[:, 1])
+    by_code = np.zeros(1 << 13, np.uint8)
+    by_code[rare] = np.arange(len(rare))
+    often = np.arange(4 << 9, _CONF << 9)
+    by_code[often] = len(rare) + (often - (4 << 9)) // 16
+    odds = np.concatenate((_ODDS[rare], _ODDS[often].reshape(-1, 16).mean(axis=1)))
+    return by_code, odds.astype(np.float64), np.concatenate((rare >> 9, often[::16] >> 9)).astype(np.intp)
+
+
+_CLASS, _CLASS_ODDS, _CLASS_CONF = _classes()
+#: Classes of slot codes; steps of the nodes' own odds, for each bit.
+CLASSES, _STEPS = len(_CLASS_ODDS), 49 * 2
+
+
 def first_weights() -> np.ndarray:
     """Weights (gate, input) before anything is learnt: trust grows with confidence."""
     w = np.zeros((_CONF, _CONF, _INPUTS), np.float32)
@@ -265,10 +293,10 @@ def mixed(d: Decisions, tables: tuple[np.ndarray, np.ndarray], weights: np.ndarr
     gate += q[1] >> np.uint16(9)
     if d.lane is not None:
         gate += d.lane * _GATES
-    sign = d.bit.astype(np.float32)
+    sign = d.code.bit.take(d.at).astype(np.float32)
     sign += sign
     sign -= 1  # inputs are turned so that a large sum is right
-    z = [x * sign for x in (d.odds, _ODDS.take(q[0]), _ODDS.take(q[1]))]
+    z = [x * sign for x in (d.code.stretch.take(d.at), _ODDS.take(q[0]), _ODDS.take(q[1]))]
     wrong = np.empty(len(sign), np.float32)  # probability that what happened would not
     for a, b in zip(d.edge, d.edge[1:]) if rate else ((0, len(sign)),):
         g, y = gate[a:b], [x[a:b] for x in z]
@@ -284,7 +312,8 @@ def mixed(d: Decisions, tables: tuple[np.ndarray, np.ndarray], weights: np.ndarr
             e = e * np.float32(rate)
             for i in range(_INPUTS):
                 np.add.at(w[i], g, e * y[i])
-    return -np.log2(1 - wrong.astype(np.float64)), np.stack([v.reshape(d.lanes, _GATES) for v in w], axis=2)
+    # costs are as exact as probabilities are; in double precision the logarithm alone took longer than all else here
+    return np.log1p(-wrong) * np.float32(-1 / math.log(2)), np.stack([v.reshape(d.lanes, _GATES) for v in w], axis=2)
 
 
 def _groups(batches, most: int = 1 << 18, rows: int = 96):
@@ -335,76 +364,133 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
 
 
-def counted_tables(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Decisions]], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two tables of slot codes, counted over the decisions that `read` makes of all rows.
+def _tasks(rows: DataFrame) -> int:
+    """Tasks for counting rows: each has tables of its own, so there are fewer than partitions."""
+    found = rows.rdd.getNumPartitions()
+    return max(1, min(found, max(2 * rows.sparkSession.sparkContext.defaultParallelism, found // 16)))
+
+
+def counted_tables(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Decisions]], bits: int) -> tuple[tuple, list[tuple]]:
+    """Two tables of slot codes, counted over the decisions that `read` makes of all rows (a column of data, fold 0 or 1), and
+    for each fold the classes of its own counts in both tables.
 
-    Each task counts into tables of its own and sends them in chunks; chunks are added up FAN_IN at a time, until one is
-    left of each. What reaches the driver, 2 * 2^bits slots of 2 bytes, doesn't depend on the corpus.
+    Each task counts one fold into tables of its own and sends them in chunks; chunks are added up FAN_IN at a time, until
+    one is left of each. What reaches the driver, 2 * 2^bits slots of 4 bytes, doesn't depend on the corpus.
     """
-    found = rows.rdd.getNumPartitions()
-    tasks = max(1, min(found, max(2 * rows.sparkSession.sparkContext.defaultParallelism, found // 16)))
+    tasks = -(-_tasks(rows) // 2)
     size = 1 << bits
     chunk = min(CHUNK, size)
+    shape = "chunk long, fold int, part long, counts binary"
+
+    def counter(fold: int):
+        def run(batches):
+            tables = [np.zeros(2 * size, np.int32) for _ in range(2)]
+            for b in batches:
+                for d in read(b):
+                    d.count(tables)
+            part = TaskContext.get().partitionId()
+            for k, t in enumerate(tables):
+                for at in range(0, size, chunk):
+                    row = t[2 * at : 2 * (at + chunk)]
+                    if row.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([k * size + at]), pa.array([fold], pa.int32()), pa.array([part]), pa.array([_pack(row)], pa.binary())], names=["chunk", "fold", "part", "counts"])
 
-    def run(batches):
-        tables = [np.zeros(2 * size, np.int32) for _ in range(2)]
-        for b in batches:
-            for d in read(b):
-                d.count(tables)
-        part = TaskContext.get().partitionId()
-        for k, t in enumerate(tables):
-            for at in range(0, size, chunk):
-                row = t[2 * at : 2 * (at + chunk)]
-                if row.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k * size + at]), pa.array([part]), pa.array([_pack(row)], pa.binary())], names=["chunk", "part", "counts"])
-
-    def adder(last: bool):
-        def add(table: pa.Table) -> pa.Table:
-            total = np.zeros(2 * chunk, np.int64)
-            for c in table.column("counts"):
-                total += _unpack(c.as_py())
-            out = _quantised(total[::2], total[1::2]).tobytes() if last else _pack(total)
-            return pa.table({"chunk": table.column("chunk")[:1].cast(pa.int64()), "part": table.column("part")[:1].cast(pa.int64()), "counts": pa.array([out], pa.binary())})
-
-        return add
-
-    parts = rows.coalesce(tasks).mapInArrow(run, "chunk long, part long, counts binary")
-    while True:
+        return run
+
+    def total(table: pa.Table, fold: int) -> np.ndarray:
+        found = np.zeros(2 * chunk, np.int64)
+        for f, c in zip(table.column("fold").to_pylist(), table.column("counts")):
+            if f == fold:
+                found += _unpack(c.as_py())
+        return found
+
+    def add(table: pa.Table) -> pa.Table:
+        fold = table.column("fold")[0].as_py()
+        return pa.table([*(table.column(c)[:1] for c in ("chunk", "fold", "part")), pa.array([_pack(total(table, fold))], pa.binary())], names=["chunk", "fold", "part", "counts"])
+
+    def finish(table: pa.Table) -> pa.Table:
+        folds = [total(table, f) for f in (0, 1)]
+        codes = [_quantised(x[::2], x[1::2]) for x in (sum(folds), *folds)]
+        out = codes[0].tobytes() + b"".join(_CLASS.take(c).tobytes() for c in codes[1:])
+        return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([out], pa.binary())})
+
+    data = [c for c in rows.columns if c != "fold"]
+    parts = [rows.where(F.col("fold") == f).select(*data).coalesce(tasks).mapInArrow(counter(f), shape) for f in (0, 1)]
+    parts = parts[0].unionByName(parts[1])
+    tasks *= 2
+    while tasks > FAN_IN:
         tasks = -(-tasks // FAN_IN)
-        parts = parts.withColumn("part", F.col("part") % tasks).groupBy("chunk", "part").applyInArrow(adder(tasks == 1), "chunk long, part long, counts binary")
-        if tasks == 1:
-            break
+        parts = parts.withColumn("part", F.col("part") % tasks).groupBy("chunk", "fold", "part").applyInArrow(add, shape)
+        tasks *= 2  # of either fold
     none = _quantised(np.zeros(1), np.zeros(1))[0]
     tables = np.full(2 * size, none, np.uint16)
-    for r in parts.select("chunk", "counts").collect():
-        tables[r.chunk : r.chunk + chunk] = np.frombuffer(r.counts, np.uint16)
-    return tables[:size], tables[size:]
-
+    classes = np.full((2, 2 * size), _CLASS[none], np.uint8)
+    for r in parts.groupBy("chunk").applyInArrow(finish, "chunk long, counts binary").collect():
+        tables[r.chunk : r.chunk + chunk] = np.frombuffer(r.counts, np.uint16, chunk)
+        classes[:, r.chunk : r.chunk + chunk] = np.frombuffer(r.counts, np.uint8, offset=2 * chunk).reshape(2, chunk)
+    return (tables[:size], tables[size:]), [(c[:size], c[size:]) for c in classes]
+
+
+def fitted_weights(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights (gate, input) of least cost for tallied decisions, n in each cell, by Newton's method. The first weights count
+    as much as a few decisions, so gates that have none keep them."""
+    first, step = divmod(cells, _STEPS)
+    first, second = divmod(first, CLASSES)
+    gate = _CLASS_CONF[first] * _CONF + _CLASS_CONF[second]
+    sign = (step % 2) * 2.0 - 1  # inputs are turned so that a large sum is right
+    x = np.stack(((step // 2 - 24) / 2, _CLASS_ODDS[first], _CLASS_ODDS[second])) * sign
+    start = first_weights().astype(np.float64)
+    w, best, least = start.copy(), start.copy(), np.full(_GATES, np.inf)
+    for _ in range(12):
+        t = np.einsum("ic,ci->c", x, w[gate])
+        cost = np.bincount(gate, n * np.logaddexp(0, -t), _GATES) + ((w - start) ** 2).sum(axis=1) / 2
+        better = cost <= least
+        move = least - cost
+        best[better], least[better] = w[better], cost[better]
+        if (np.abs(move) <= 1e-9 * cost + 1e-12).all():
+            break
+        wrong = 1 / (1 + np.exp(np.clip(t, -500, 500)))
+        slope = np.stack([np.bincount(gate, n * wrong * v, _GATES) for v in x], axis=1) - (w - start)
+        curve = np.tile(np.eye(_INPUTS), (_GATES, 1, 1))
+        for i in range(_INPUTS):
+            for j in range(i + 1):
+                c = np.bincount(gate, n * wrong * (1 - wrong) * x[i] * x[j], _GATES)
+                curve[:, i, j] += c
+                curve[:, j, i] += c if i != j else 0
+        ahead = w + np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+        w = np.where(better[:, None], ahead, (w + best) / 2)  # a step that cost more is halved
+    return best.astype(np.float32)
+
+
+def learnt_weights(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Decisions]], classes: list[tuple]) -> np.ndarray:
+    """Weights that fit the decisions of all rows (a column of data, fold) best, each predicted by the other fold's counts.
+
+    Tasks tally their decisions; tallies have a fixed number of cells, and those with decisions are added up by cell.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(classes)
 
-def learnt_weights(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Decisions]], tables, rate: float, rounds: int = 3) -> np.ndarray:
-    """Weights after reading a bounded set of rows a few times, in one task; the mean of what the texts end with."""
     def run(batches):
-        w = first_weights()
-        series = [d for b in batches for d in read(b)]
-        for _ in range(rounds):
-            total, mass = np.zeros_like(w, np.float64), 0
-            for d in series:
-                last = mixed(d, tables.value, w, rate)[1]
-                n = np.bincount(d.lane, minlength=d.lanes) if d.lane is not None else np.array([len(d.bit)])
-                total += np.einsum("lgi,l->gi", last, n)
-                mass += int(n.sum())
-            if mass:
-                w = (total / mass).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["w"])
-
-    found = rows.repartition(1).mapInArrow(run, "w binary").collect()
-    return np.frombuffer(found[0].w, "<f4").reshape(_GATES, _INPUTS) if found else first_weights()
-
-
-def _spelt(rest: DataFrame, byte_bits: int, calibration: int) -> DataFrame:
+        cells = np.zeros(CLASSES * CLASSES * _STEPS, np.int64)
+        for b in batches:
+            for fold in (0, 1):
+                for d in read(b.filter(pc.equal(b.column("fold"), fold))):
+                    d.tally(cells, shared.value[1 - fold])
+        found = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(cells[found])], names=["cell", "n"])
+
+    tallied = rows.coalesce(_tasks(rows)).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
+    shared.unpersist()
+    return fitted_weights(np.asarray(tallied.column("cell")), np.asarray(tallied.column("n")).astype(np.float64))
+
+
+def _fold(seed: int, column: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), column), F.lit(2)).cast("int").alias("fold")
+
+
+def _spelt(rest: DataFrame, byte_bits: int) -> DataFrame:
     """rest (word, n) with `spelt`, the bits that spelling the word takes. Learns from words with n > 0, each once."""
     spark = rest.sparkSession
-    learn = rest.where("n > 0").select("word")
+    learn = rest.where("n > 0").select("word", _fold(5, "word"))
 
     def histogram(batches):
         seen = np.zeros(257, np.int64)
@@ -414,20 +500,17 @@ def _spelt(rest: DataFrame, byte_bits: int, calibration: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(seen)], names=["b", "n"])
 
     weights = np.full(257, 0.05)
-    total = 0
     for r in learn.mapInArrow(histogram, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # 257 rows
         weights[r.b] += r.n
-        total = r.n if r.b == 256 else total
     code = spark.sparkContext.broadcast(Huffman(weights))
 
     def read(b):
         for at in range(0, b.num_rows, 2048):
             yield spelling(b.column(0).slice(at, 2048).to_pylist(), code.value, byte_bits)[0]
 
-    share = int(min(0.1, calibration / max(1, total)) * (1 << 30))
-    aside = F.pmod(F.xxhash64(F.lit(5), "word"), F.lit(1 << 30)) < share
-    tables = spark.sparkContext.broadcast(counted_tables(learn.where(~aside), read, byte_bits))
-    start = learnt_weights(learn.where(aside), read, tables, SPELT_RATE)
+    codes, classes = counted_tables(learn, read, byte_bits)
+    tables = spark.sparkContext.broadcast(codes)
+    start = learnt_weights(learn, read, classes)
 
     def spell(batches):
         for b in batches:
@@ -451,7 +534,7 @@ def escaped_bits(n: Column, spelt: Column, once: float, twice: float, more: floa
     return F.when(n > 0, both).otherwise(by_bytes)
 
 
-def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, table_bits: int = TABLE_BITS, byte_bits: int = BYTE_BITS, calibration: int = CALIBRATION) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, table_bits: int = TABLE_BITS, byte_bits: int = BYTE_BITS) -> DataFrame:
     """Scores every row of docs by a model learnt from its training rows (those not held out, see is_held_out).
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (log10 probability by add-one word counts),
@@ -477,11 +560,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, table_bits: i
     n, v = total.n + documents, total.v + (documents > 0)
     codes = spark.sparkContext.broadcast(Codes(words, top_n, float(total.n - top_n.sum()), float(documents)))
     escaped = escaped_bits(F.col("n"), F.col("spelt"), float(total.once), float(total.twice), float(total.n - top_n.sum() - total.once))
-    rest = stored(_spelt(rest, byte_bits, CALIBRATION_WORDS).withColumn("spelt", escaped), "spelt")
-
-    # a part of the training rows, a tenth at most, starts the weights and stays out of the tables
-    share = int(min(0.1, calibration / max(1, documents)) * (1 << 30))
-    aside = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < share
+    rest = stored(_spelt(rest, byte_bits).withColumn("spelt", escaped), "spelt")
 
     def encode(batches):
         for b in _groups(batches, 1 << 20, 256):
@@ -491,21 +570,19 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, table_bits: i
             symbols = pa.array([np.array(s, "<i4").tobytes() for s, _ in found], pa.binary())
             again = pa.array([repeats(list(r.values())) for _, r in found], pa.float64())
             out = [*b.columns[:3], pc.cast(pc.binary_length(b.column(3)), pa.int64()), again, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare), symbols]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "aside", "n_bytes", "again", "rare", "symbols"])
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "fold", "n_bytes", "again", "rare", "symbols"])
 
-    coded = d.select("doc_id", "held_out", aside.alias("aside"), "_x").mapInArrow(encode, f"doc_id {kind}, held_out boolean, aside boolean, n_bytes long, again double, rare array<struct<word:binary,k:long>>, symbols binary")
+    coded = d.select("doc_id", "held_out", _fold(3, "doc_id"), "_x").mapInArrow(encode, f"doc_id {kind}, held_out boolean, fold int, n_bytes long, again double, rare array<struct<word:binary,k:long>>, symbols binary")
     coded = stored(coded.withColumn("_key", F.monotonically_increasing_id()), "coded")
 
-    def read(ordered):
-        def run(b):
-            for part in _groups([b]):
-                yield Texts([np.frombuffer(t, "<i4") for t in part.column(0).to_pylist()], codes.value, table_bits, ordered=ordered).decisions
-
-        return run
+    def read(b):
+        for part in _groups([b.select(["symbols"])]):
+            yield Texts([np.frombuffer(t, "<i4") for t in part.column(0).to_pylist()], codes.value, table_bits, ordered=False).decisions
 
-    training = coded.where(~F.col("held_out"))
-    tables = spark.sparkContext.broadcast(counted_tables(training.where(~F.col("aside")).select("symbols"), read(False), table_bits))
-    start = learnt_weights(training.where("aside").select("symbols"), read(True), tables, RATE)
+    training = coded.where(~F.col("held_out")).select("symbols", "fold")
+    found, classes = counted_tables(training, read, table_bits)
+    tables = spark.sparkContext.broadcast(found)
+    start = learnt_weights(training, read, classes)
 
     def score(batches):
         c = np.concatenate((codes.value.counts, [0, documents]))  # by symbol; words outside the dictionary are looked up later
