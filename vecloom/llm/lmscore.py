@@ -52,6 +52,7 @@ NOVELTY = (2.0, 8.0, 32.0, 128.0, 512.0, 1e6)
 FAN_IN = 64
 _INPUTS, _CONF, _LIMIT = 3, 7, 8.0
 _GATES = _CONF * _CONF
+_CODE_BITS = 13
 _END_OF_WORD = 256
 
 
@@ -105,10 +106,13 @@ class Huffman:
         ones[parent[kids] - n] = mass[kids]
         whole = np.maximum(mass[n : n + self.nodes], 1e-9) if n > 1 else np.ones(1)
         p = np.clip(ones / whole, 1e-6, 1 - 1e-6)
-        # at each decision: what its node adds to hashes, the node's own odds, and these as a step of a tally with the bit
+        # at each decision: what its node adds to hashes, the node's own odds (turned so that large is right), these as a step
+        # of a tally with the bit, and the bit above slot codes
         self.hashed = self.node.astype(np.uint32) * np.uint32(0x94D049BB)
-        self.stretch = np.clip(np.log(p / (1 - p)), -12, 12).astype(np.float32)[self.node]
-        self.step = (np.rint(self.stretch * 2).astype(np.int32) + 24) * 2 + self.bit
+        odds = np.clip(np.log(p / (1 - p)), -12, 12).astype(np.float32)[self.node]
+        self.odds = np.where(self.bit > 0, odds, -odds)
+        self.step = (np.rint(odds * 2).astype(np.int32) + 24) * 2 + self.bit
+        self.above = self.bit.astype(np.uint16) << np.uint16(_CODE_BITS)
 
     def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the symbol, decision) for all decisions of a series of symbols."""
@@ -149,19 +153,26 @@ def _slots(context: np.ndarray, who: np.ndarray, node: np.ndarray, bits: int) ->
 
 
 class Decisions:
-    """A series of decisions, sorted by step: their places in the code, slots, lane (text); and where each step begins."""
+    """A series of decisions, sorted by step: their places in the code, slots, first gate of their lane (text); and where each
+    symbol and each step begins."""
 
     def __init__(self, code: Huffman, symbols, c1, c2, lane, step, steps: int, bits: int, lanes: int):
         self.code = code
-        self.who, self.at = code.decisions(symbols)
+        who, self.at = code.decisions(symbols)
         node = code.hashed.take(self.at)
-        self.slots = _slots(c1, self.who, node, bits), _slots(c2, self.who, node, bits)
-        self.lane, self.steps, self.lanes = None if lane is None else lane.take(self.who), steps, lanes
+        ends = np.cumsum(code.length.take(symbols), dtype=np.intp)
+        self.first = ends - code.length.take(symbols)
+        self.slots = _slots(c1, who, node, bits), _slots(c2, who, node, bits)
+        self.lane, self.steps, self.lanes = None if lane is None else (lane * _GATES).take(who), steps, lanes
         if step is None:
             self.edge = [0, len(self.at)]
         else:
             first = np.searchsorted(step, np.arange(steps + 1))
-            self.edge = np.concatenate(([0], np.cumsum(code.length.take(symbols))))[first].tolist()
+            self.edge = np.concatenate(([0], ends))[first].tolist()
+
+    def by_symbol(self, costs: np.ndarray) -> np.ndarray:
+        """Costs of the decisions, summed up by symbol."""
+        return np.add.reduceat(costs, self.first)
 
     def count(self, tables: list[np.ndarray]) -> None:
         bit = self.code.bit.take(self.at)
@@ -170,9 +181,10 @@ class Decisions:
 
     def tally(self, cells: np.ndarray, classes: tuple[np.ndarray, np.ndarray]) -> None:
         """Adds each decision to its cell: classes of both slots, step of the odds, bit."""
-        cell = classes[0].take(self.slots[0]).astype(np.intp)
-        cell *= CLASSES
-        cell += classes[1].take(self.slots[1])
+        pair = classes[0].take(self.slots[0]).astype(np.uint16)
+        pair *= np.uint16(CLASSES)
+        pair += classes[1].take(self.slots[1])
+        cell = pair.astype(np.intp)
         cell *= _STEPS
         cell += self.code.step.take(self.at)
         np.add.at(cells, cell, 1)
@@ -217,22 +229,28 @@ class Texts:
         at = np.maximum.accumulate(np.where(symbols < min(FREQUENT, codes.escape), np.arange(len(name), dtype=np.int32), np.int32(-1)))
         last = np.concatenate((np.full(1, -1, np.int32), at[:-1]))
         kind = np.where(last >= starts.astype(np.int32).take(lane), name.take(np.maximum(last, 0)), before)
-        steps, step = 1, None
+        steps, step, by = 1, None, None
         if ordered:
             step = (np.arange(len(name), dtype=np.int32) - starts.astype(np.int32).take(lane)) // np.int32(block)
             steps = int(n.max() - 1) // block + 1
             if steps > 1:
                 order = np.argsort(step.astype(np.int16) if steps < 1 << 15 else step, kind="stable")
                 one, two, kind, step, lane, symbols = (x.take(order) for x in (one, two, kind, step, lane, symbols))
-        self.decisions = Decisions(codes.words, symbols, _mix(kind, 77), _mix(_mix(one, 1), two), lane, step, steps, bits, len(texts))
+            by = lane
+        self.order = lane
+        self.decisions = Decisions(codes.words, symbols, _mix(kind, 77), _mix(_mix(one, 1), two), by, step, steps, bits, len(texts))
 
 
-def spelling(words: list[bytes], code: Huffman, bits: int) -> tuple[Decisions, np.ndarray]:
-    """Decisions of spelt words, and the word of each."""
-    n = np.array([len(w) + 1 for w in words], np.int64)
-    b = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.uint32)
+def spelling(words: pa.Array, code: Huffman, bits: int) -> tuple[Decisions, np.ndarray]:
+    """Decisions of spelt words, and the word of each symbol."""
+    words = words.cast(pa.large_binary())
+    edge = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    n = np.diff(edge) + 1
     last = np.cumsum(n) - 1
-    b[last] = _END_OF_WORD
+    b = np.full(last[-1] + 1, _END_OF_WORD, np.uint32)
+    inner = np.ones(len(b), bool)
+    inner[last] = False
+    b[inner] = np.frombuffer(words.buffers()[2], np.uint8)[edge[0] : edge[-1]]
     owner = np.repeat(np.arange(len(words), dtype=np.intp), n)
     inside = np.arange(len(b)) - (last - n + 1)[owner]
     none = np.uint32(300)
@@ -240,7 +258,7 @@ def spelling(words: list[bytes], code: Huffman, bits: int) -> tuple[Decisions, n
     c1 = _mix(past[0] * np.uint32(512) + past[1], 11)
     c2 = _mix(c1, past[2] * np.uint32(512) + past[3])
     d = Decisions(code, b, c1, c2, None, None, 1, bits, 1)
-    return d, owner[d.who]
+    return d, owner
 
 
 def _quantised(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -252,8 +270,10 @@ def _quantised(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (conf << np.uint16(9)) | q
 
 
-#: Log odds by slot code.
-_ODDS = np.tile(((np.arange(512) * (2 * _LIMIT / 511)) - _LIMIT).astype(np.float32), 1 << 7)
+#: Log odds by slot code; the same turned so that large is right, by slot code and the bit above it; gates by the first's code.
+_ODDS = np.tile(((np.arange(512) * (2 * _LIMIT / 511)) - _LIMIT).astype(np.float32), 1 << 4)
+_TURNED = np.concatenate((-_ODDS, _ODDS))
+_FIRST_GATE = (np.arange(1 << _CODE_BITS) >> 9) * _CONF
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,22 +309,23 @@ def mixed(d: Decisions, tables: tuple[np.ndarray, np.ndarray], weights: np.ndarr
     # a dtype that was sent to a worker isn't numpy's own object, without which add.at is several times slower
     w = [np.tile(weights[:, i], d.lanes).astype(np.float32) for i in range(_INPUTS)]
     q = [t.take(slot) for t, slot in zip(tables, d.slots)]
-    gate = (q[0] >> np.uint16(9)).astype(np.intp) * _CONF
+    gate = _FIRST_GATE.take(q[0])
     gate += q[1] >> np.uint16(9)
     if d.lane is not None:
-        gate += d.lane * _GATES
-    sign = d.code.bit.take(d.at).astype(np.float32)
-    sign += sign
-    sign -= 1  # inputs are turned so that a large sum is right
-    z = [x * sign for x in (d.code.stretch.take(d.at), _ODDS.take(q[0]), _ODDS.take(q[1]))]
-    wrong = np.empty(len(sign), np.float32)  # probability that what happened would not
-    for a, b in zip(d.edge, d.edge[1:]) if rate else ((0, len(sign)),):
+        gate += d.lane
+    above = d.code.above.take(d.at)
+    for x in q:
+        x |= above
+    z = [d.code.odds.take(d.at), _TURNED.take(q[0]), _TURNED.take(q[1])]  # inputs are turned so that a large sum is right
+    wrong = np.empty(len(d.at), np.float32)  # probability that what happened would not
+    for a, b in zip(d.edge, d.edge[1:]) if rate else ((0, len(d.at)),):
         g, y = gate[a:b], [x[a:b] for x in z]
         t = w[0].take(g)
         t *= y[0]
         t += w[1].take(g) * y[1]
         t += w[2].take(g) * y[2]
-        np.clip(t, -14, 14, out=t)
+        np.minimum(t, 14, out=t)
+        np.maximum(t, -14, out=t)
         np.exp(t, out=t)
         t += 1
         e = np.divide(1, t, out=wrong[a:b])
@@ -506,7 +527,7 @@ def _spelt(rest: DataFrame, byte_bits: int) -> DataFrame:
 
     def read(b):
         for at in range(0, b.num_rows, 2048):
-            yield spelling(b.column(0).slice(at, 2048).to_pylist(), code.value, byte_bits)[0]
+            yield spelling(b.column(0).slice(at, 2048), code.value, byte_bits)[0]
 
     codes, classes = counted_tables(learn, read, byte_bits)
     tables = spark.sparkContext.broadcast(codes)
@@ -516,8 +537,8 @@ def _spelt(rest: DataFrame, byte_bits: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                d, owner = spelling(part.column(0).to_pylist(), code.value, byte_bits)
-                cost = np.bincount(owner, mixed(d, tables.value, start, 0)[0], minlength=part.num_rows)
+                d, owner = spelling(part.column(0), code.value, byte_bits)
+                cost = np.bincount(owner, d.by_symbol(mixed(d, tables.value, start, 0)[0]), minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cost)], names=["word", "n", "spelt"])
 
     return rest.select("word", "n").mapInArrow(spell, "word binary, n long, spelt double")
@@ -590,7 +611,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, table_bits: i
         for b in _groups(batches):
             t = Texts([np.frombuffer(x, "<i4") for x in b.column(b.num_columns - 1).to_pylist()], codes.value, table_bits)
             lanes = b.num_rows
-            bits = np.bincount(t.decisions.lane, mixed(t.decisions, tables.value, start)[0], minlength=lanes)
+            bits = np.bincount(t.order, t.decisions.by_symbol(mixed(t.decisions, tables.value, start)[0]), minlength=lanes)
             known = np.bincount(t.lane, (c > 0).take(t.symbols), minlength=lanes).astype(np.int64)
             bits += np.asarray(b.column(4))
             out = [*b.columns[:4], pa.array(t.lengths), pa.array(known), pa.array(np.bincount(t.lane, logs.take(t.symbols), minlength=lanes)), pa.array(bits)]
