@@ -751,3 +751,13 @@ def test_fitted_weights():
     away = np.abs(lmscore._CLASS_ODDS[lmscore._CLASS[codes]] - lmscore._ODDS[codes])
     assert away.max() < 0.3 and (away[counts.sum(axis=1) < 5] == 0).all()
     assert (lmscore._CLASS_CONF[lmscore._CLASS[codes]] == codes >> 9).all()
+
+
+def test_partial_tables_add_up(spark, monkeypatch):
+    """Tables and tallies are the same however many are added up at a time."""
+    r = random.Random(4)
+    df = spark.createDataFrame([(k, " ".join(f"w{int(r.random() ** 2 * 300)}" for _ in range(60))) for k in range(120)], "doc_id long, text string").repartition(8, "doc_id")
+    want = {r.doc_id: r.total_bits for r in score_documents(df, table_bits=12, byte_bits=10).collect()}
+    monkeypatch.setattr(lmscore, "FAN_IN", 2)
+    got = {r.doc_id: r.total_bits for r in score_documents(df, table_bits=12, byte_bits=10).collect()}
+    assert got == pytest.approx(want, rel=1e-9)

@@ -27,9 +27,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -114,15 +115,17 @@ class Huffman:
         self.step = (np.rint(odds * 2).astype(np.int32) + 24) * 2 + self.bit
         self.above = self.bit.astype(np.uint16) << np.uint16(_CODE_BITS)
 
-    def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the symbol, decision) for all decisions of a series of symbols."""
+    def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the symbol, decision) for all decisions of a series of symbols, and where each symbol's begin and end."""
         n = self.length.take(symbols)
+        edge = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=edge[1:])
         who = np.repeat(np.arange(len(symbols), dtype=np.intp), n)
-        start = self.first.take(symbols) - np.cumsum(n, dtype=np.int32)
-        start += n
+        start = self.first.take(symbols)
+        start -= edge[:-1]
         at = np.arange(len(who), dtype=np.intp)
         at += start.take(who)
-        return who, at
+        return who, at, edge
 
 
 class Codes:
@@ -158,17 +161,16 @@ class Decisions:
 
     def __init__(self, code: Huffman, symbols, c1, c2, lane, step, steps: int, bits: int, lanes: int):
         self.code = code
-        who, self.at = code.decisions(symbols)
+        who, self.at, edge = code.decisions(symbols)
         node = code.hashed.take(self.at)
-        ends = np.cumsum(code.length.take(symbols), dtype=np.intp)
-        self.first = ends - code.length.take(symbols)
+        self.first = edge[:-1]
         self.slots = _slots(c1, who, node, bits), _slots(c2, who, node, bits)
         self.lane, self.steps, self.lanes = None if lane is None else (lane * _GATES).take(who), steps, lanes
         if step is None:
             self.edge = [0, len(self.at)]
         else:
             first = np.searchsorted(step, np.arange(steps + 1))
-            self.edge = np.concatenate(([0], ends))[first].tolist()
+            self.edge = edge[first].tolist()
 
     def by_symbol(self, costs: np.ndarray) -> np.ndarray:
         """Costs of the decisions, summed up by symbol."""
@@ -194,7 +196,7 @@ def to_symbols(text: bytes, codes: Codes) -> tuple[list[int], Counter]:
     """The text's symbols, end included, and how often each word outside the dictionary occurs."""
     words = text.translate(LOWER).split()
     found = list(map(codes.known.get, words, repeat(codes.escape)))
-    rare = Counter([w for w, i in zip(words, found) if i == codes.escape]) if codes.escape in found else Counter()
+    rare = Counter(compress(words, map(codes.escape.__eq__, found))) if codes.escape in found else Counter()
     found.append(codes.end)
     return found, rare
 
@@ -391,6 +393,35 @@ def _tasks(rows: DataFrame) -> int:
     return max(1, min(found, max(2 * rows.sparkSession.sparkContext.defaultParallelism, found // 16)))
 
 
+#: A chunk of what one task has counted.
+_PARTIAL = "chunk long, fold int, part long, counts binary"
+
+
+def _partial(chunk: int, fold: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([fold], pa.int32()), pa.array([part]), pa.array([_pack(counts)], pa.binary())], names=["chunk", "fold", "part", "counts"])
+
+
+def _total(table: pa.Table, fold: int, size: int) -> np.ndarray:
+    found = np.zeros(size, np.int64)
+    for f, c in zip(table.column("fold").to_pylist(), table.column("counts")):
+        if f == fold:
+            row = _unpack(c.as_py())
+            found[: len(row)] += row
+    return found
+
+
+def _added(parts: DataFrame, tasks: int, most: int, size: int) -> DataFrame:
+    """Partial chunks of at most `size` counts, of at most `tasks` tasks a fold, added up until there are `most` a fold or fewer."""
+    def add(table: pa.Table) -> pa.Table:
+        chunk, fold, part = (table.column(c)[0].as_py() for c in ("chunk", "fold", "part"))
+        return pa.Table.from_batches([_partial(chunk, fold, part, _total(table, fold, size))])
+
+    while tasks > most:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.withColumn("part", F.col("part") % tasks).groupBy("chunk", "fold", "part").applyInArrow(add, _PARTIAL)
+    return parts
+
+
 def counted_tables(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Decisions]], bits: int) -> tuple[tuple, list[tuple]]:
     """Two tables of slot codes, counted over the decisions that `read` makes of all rows (a column of data, fold 0 or 1), and
     for each fold the classes of its own counts in both tables.
@@ -401,7 +432,6 @@ def counted_tables(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[De
     tasks = -(-_tasks(rows) // 2)
     size = 1 << bits
     chunk = min(CHUNK, size)
-    shape = "chunk long, fold int, part long, counts binary"
 
     def counter(fold: int):
         def run(batches):
@@ -414,35 +444,20 @@ def counted_tables(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[De
                 for at in range(0, size, chunk):
                     row = t[2 * at : 2 * (at + chunk)]
                     if row.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([k * size + at]), pa.array([fold], pa.int32()), pa.array([part]), pa.array([_pack(row)], pa.binary())], names=["chunk", "fold", "part", "counts"])
+                        yield _partial(k * size + at, fold, part, row)
 
         return run
 
-    def total(table: pa.Table, fold: int) -> np.ndarray:
-        found = np.zeros(2 * chunk, np.int64)
-        for f, c in zip(table.column("fold").to_pylist(), table.column("counts")):
-            if f == fold:
-                found += _unpack(c.as_py())
-        return found
-
-    def add(table: pa.Table) -> pa.Table:
-        fold = table.column("fold")[0].as_py()
-        return pa.table([*(table.column(c)[:1] for c in ("chunk", "fold", "part")), pa.array([_pack(total(table, fold))], pa.binary())], names=["chunk", "fold", "part", "counts"])
-
     def finish(table: pa.Table) -> pa.Table:
-        folds = [total(table, f) for f in (0, 1)]
+        folds = [_total(table, f, 2 * chunk) for f in (0, 1)]
         codes = [_quantised(x[::2], x[1::2]) for x in (sum(folds), *folds)]
         out = codes[0].tobytes() + b"".join(_CLASS.take(c).tobytes() for c in codes[1:])
         return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([out], pa.binary())})
 
     data = [c for c in rows.columns if c != "fold"]
-    parts = [rows.where(F.col("fold") == f).select(*data).coalesce(tasks).mapInArrow(counter(f), shape) for f in (0, 1)]
+    parts = [rows.where(F.col("fold") == f).select(*data).coalesce(tasks).mapInArrow(counter(f), _PARTIAL) for f in (0, 1)]
     parts = parts[0].unionByName(parts[1])
-    tasks *= 2
-    while tasks > FAN_IN:
-        tasks = -(-tasks // FAN_IN)
-        parts = parts.withColumn("part", F.col("part") % tasks).groupBy("chunk", "fold", "part").applyInArrow(add, shape)
-        tasks *= 2  # of either fold
+    parts = _added(parts, tasks, FAN_IN // 2, 2 * chunk)
     none = _quantised(np.zeros(1), np.zeros(1))[0]
     tables = np.full(2 * size, none, np.uint16)
     classes = np.full((2, 2 * size), _CLASS[none], np.uint8)
@@ -486,7 +501,7 @@ def fitted_weights(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
 def learnt_weights(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Decisions]], classes: list[tuple]) -> np.ndarray:
     """Weights that fit the decisions of all rows (a column of data, fold) best, each predicted by the other fold's counts.
 
-    Tasks tally their decisions; tallies have a fixed number of cells, and those with decisions are added up by cell.
+    Tasks tally their decisions; tallies have a fixed number of cells and are added up like the tables.
     """
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
@@ -496,12 +511,20 @@ def learnt_weights(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[De
             for fold in (0, 1):
                 for d in read(b.filter(pc.equal(b.column("fold"), fold))):
                     d.tally(cells, shared.value[1 - fold])
-        found = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(cells[found])], names=["cell", "n"])
-
-    tallied = rows.coalesce(_tasks(rows)).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toArrow()
+        part = TaskContext.get().partitionId()
+        for at in range(0, len(cells), CHUNK):
+            if cells[at : at + CHUNK].any():
+                yield _partial(at, 0, part, cells[at : at + CHUNK])
+
+    tasks = _tasks(rows)
+    parts = _added(rows.coalesce(tasks).mapInArrow(run, _PARTIAL), tasks, 1, CHUNK)
+    cells = np.zeros(CLASSES * CLASSES * _STEPS, np.int64)
+    for r in parts.select("chunk", "counts").collect():
+        row = _unpack(r.counts)[: len(cells) - r.chunk]
+        cells[r.chunk : r.chunk + len(row)] += row
     shared.unpersist()
-    return fitted_weights(np.asarray(tallied.column("cell")), np.asarray(tallied.column("n")).astype(np.float64))
+    found = np.flatnonzero(cells)
+    return fitted_weights(found, cells[found].astype(np.float64))
 
 
 def _fold(seed: int, column: str) -> Column:
@@ -588,7 +611,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, table_bits: i
             found = [to_symbols(t.as_py(), codes.value) for t in b.column(3)]
             ends = np.cumsum([0, *(len(r) for _, r in found)])
             rare = pa.StructArray.from_arrays([pa.array([w for _, r in found for w in r], pa.binary()), pa.array([k for _, r in found for k in r.values()], pa.int64())], names=["word", "k"])
-            symbols = pa.array([np.array(s, "<i4").tobytes() for s, _ in found], pa.binary())
+            symbols = pa.array([array("i", s).tobytes() for s, _ in found], pa.binary())
             again = pa.array([repeats(list(r.values())) for _, r in found], pa.float64())
             out = [*b.columns[:3], pc.cast(pc.binary_length(b.column(3)), pa.int64()), again, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare), symbols]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "fold", "n_bytes", "again", "rare", "symbols"])
