@@ -356,3 +356,40 @@ def test_few_candidates_all_stay(spark):
     assert count == {0: 1, 4: 1}
     count = {r.src: r["count"] for r in graph.prune_edges(edges, nodes, 1.0, 8, few=4).groupBy("src").count().collect()}
     assert count == {0: 3, 4: 1}
+
+
+# --- large and cut-off graphs
+
+
+def test_links_fill_places_and_reach_every_node(spark):
+    """Two far groups whose nearest nodes are all of their own: without care one can't be reached from the other."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.standard_normal((60, 16)) * np.r_[1.0, 1.0, rng.uniform(1, 9, 14)], rng.standard_normal((40, 16)) + 500])
+    nodes = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, vector array<double>").cache()
+    edges = kept(graph.link(graph.candidates(nodes, 8), nodes, 1.1, 8))
+    assert tuple(graph.check_graph(edges, nodes, 8).first()) == (0, 0, 0, 0)
+    assert edges.groupBy("src").count().where("count >= 8").count() > 90
+    start = nodes.where(F.col("id") == graph.medoid(nodes)).select("id")
+    assert graph.reached(edges, start, start)[0].count() == 100
+    q = nodes.where("id % 10 = 0").selectExpr("id as qid", "vector as q")
+    base = nodes.selectExpr("id as key", "vector")
+    assert answers(graph.beam_search(q, edges, nodes, 5, width=1000)) == answers(knn.knn(q, base, 5))
+    loose = spark.createDataFrame([(0, 0, 1), (1, 0, 0), (2, 0, 3), (3, 0, 2)], "src long, pos long, dst long")
+    few = nodes.where("id < 7")  # 4 to 6 have no edges at all
+    for most in (1, 2, 8):
+        whole = kept(graph.connected(loose, few, 0, most))
+        assert tuple(graph.check_graph(whole, few, most).first()) == (0, 0, 0, 0)
+        first = few.where("id = 0").select("id")
+        assert graph.reached(whole, first, first)[0].count() == 7
+
+
+def test_wide_search_needs_few_rounds(spark):
+    """As wide as the graph: what isn't reached isn't found, and rounds don't grow with the nodes over the beam."""
+    nodes = spark.createDataFrame([(k, [float(k)]) for k in range(60)], "id long, vector array<double>").cache()
+    edges = spark.createDataFrame([(0, k) for k in range(1, 50)] + [(55, 0)], "src long, dst long")
+    q = spark.createDataFrame([(1, [58.0])], "qid long, q array<double>")
+    got = graph.beam_search(q, edges, nodes, 2, entry=0, width=60, beam=1, rounds=5)
+    assert [r.key for r in got.orderBy("rank").collect()] == [49, 48]
+    odd = nodes.where("id % 2 = 0").select("id")
+    got = graph.beam_search(q, edges, nodes, 2, entry=0, width=60, beam=1, rounds=5, allowed=odd)
+    assert [r.key for r in got.orderBy("rank").collect()] == [48, 46]

@@ -18,6 +18,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..errors import InvalidConfig, TableExists, TableMissing
 from ..functions import vectors as V
@@ -307,9 +308,10 @@ class VectorTable:
             nodes = mutate.with_ids(rows).select("id", "key", "vector")
             nodes.write.parquet(f"{self.path}/index/{name}/nodes")
             nodes = self._read("index", name, "nodes")
-            edges = graph.link(graph.candidates(nodes, c.max_edges, c.metric), nodes, c.distance_threshold, c.max_edges, c.metric)
+            entry = graph.medoid(nodes, c.metric) if nodes.limit(1).count() else None
+            edges = graph.link(graph.candidates(nodes, c.max_edges, c.metric), nodes, c.distance_threshold, c.max_edges, c.metric, entry=entry)
             edges.select("src", "dst").write.parquet(f"{self.path}/index/{name}/edges")
-            index = {"kind": kind, "name": name, "entry": graph.medoid(nodes, c.metric) if nodes.limit(1).count() else None}
+            index = {"kind": kind, "name": name, "entry": entry}
         else:
             raise InvalidConfig("an index is graph or cells")
         self._publish(state, index=index)
@@ -338,10 +340,13 @@ class VectorTable:
         before = kept(graph.compact_edges(edges, gone, nodes, c.distance_threshold, c.max_edges, c.metric))
         nodes = self._read("index", new, "nodes")
         after = graph.extend(before, nodes, fresh, c.distance_threshold, c.max_edges, c.max_add_edges, c.metric, c.update_search_list_cap, c.beam_width)
-        after.write.parquet(f"{self.path}/index/{new}/edges")
+        entry = graph.medoid(nodes, c.metric) if nodes.limit(1).count() else None
+        after = after.select("src", F.row_number().over(Window.partitionBy("src").orderBy("dst")).cast("long").alias("pos"), "dst")
+        after = graph.connected(after, nodes, entry, c.max_edges + c.max_add_edges, c.metric)  # deletions and prunings may cut nodes off
+        after.select("src", "dst").write.parquet(f"{self.path}/index/{new}/edges")
         after = self._read("index", new, "edges")
         touched = after.exceptAll(edges).select("src").union(edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").exceptAll(after).select("src")).distinct().count()
-        return {"kind": "graph", "name": new, "entry": graph.medoid(nodes, c.metric) if nodes.limit(1).count() else None}, touched
+        return {"kind": "graph", "name": new, "entry": entry}, touched
 
     def entry_key(self) -> str | None:
         """The key of the node where searches of the graph begin; None without a graph or rows."""
