@@ -397,3 +397,13 @@ def test_entry_without_corpus_operators(tmp_path):
             os.symlink(f"{root}/vecloom/{name}", tmp_path / "vecloom" / name)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'knn_l2' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path), "PYTHONDONTWRITEBYTECODE": "1"})
+
+
+def test_kmeans_goes_on_to_its_end(spark):
+    """A chain of points that takes over 50 steps, from several tasks."""
+    rng = np.random.default_rng(0)
+    v = np.sort(rng.uniform(0, 1, 3000))[:, None]
+    base = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(v)], "key long, vector array<double>").repartition(7, "key").cache()
+    _, c, steps = kmeans_all(base, v[:8], None)
+    near = ((v - c[:, 0]) ** 2).argmin(axis=1)
+    assert steps > 50 and np.allclose(c[:, 0], [v[near == k].mean() for k in range(8)], rtol=0, atol=1e-12)
