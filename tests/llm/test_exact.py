@@ -3,6 +3,7 @@
 import gc
 import math
 import os
+import pickle
 import random
 import re
 import tracemalloc
@@ -10,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -761,3 +763,23 @@ def test_partial_tables_add_up(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "FAN_IN", 2)
     got = {r.doc_id: r.total_bits for r in score_documents(df, table_bits=12, byte_bits=10).collect()}
     assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_symbols_and_spelling_contexts():
+    """Words outside the dictionary are noted and counted, also by a dictionary that was sent to a worker; contexts of a spelt
+    word end where it begins."""
+    codes = pickle.loads(pickle.dumps(lmscore.Codes([b"the", b"cat"], np.array([5.0, 3.0]), 4.0, 2.0)))
+    for text, symbols, rare in ((b"The dog\tcat dog ox", [0, 2, 1, 2, 2, 3], {b"dog": 2, b"ox": 1}), (b"cat", [1, 3], {}), (b"", [3], {})):
+        assert lmscore.to_symbols(text, codes) == (symbols, rare)
+    assert len(codes.known) == 2
+    words = [b"a", b"", b"bcdefg", b"xy"]
+    code = lmscore.Huffman(np.ones(257))
+    got = lmscore.spelling(pa.array(words, pa.binary()), code, 20)[0].slots
+    alone = [lmscore.spelling(pa.array([w], pa.binary()), code, 20)[0].slots for w in words]
+    assert all((got[k] == np.concatenate([s[k] for s in alone])).all() for k in (0, 1))
+
+
+def test_spellings_are_joined_without_sorting_them(spark):
+    docs = spark.createDataFrame([(k, f"w{k} w{k + 1} the the " * (1 + k % 7)) for k in range(60)], "doc_id long, text string")
+    plan = score_documents(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and plan.count("SortMergeJoin") <= 1

@@ -30,7 +30,6 @@ import math
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, stored, text_bytes
+from .common import LOWER, released, stored, text_bytes
 
 #: Words of the dictionary at most; bits of slot numbers in the tables of words and of bytes; slots in a row of a partial table.
 VOCABULARY, TABLE_BITS, BYTE_BITS, CHUNK = 1 << 17, 22, 20, 1 << 16
@@ -128,11 +127,26 @@ class Huffman:
         return who, at, edge
 
 
+class Known(dict):
+    """Symbols of dictionary words; words that aren't there get the escape and are noted."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(len(words))))
+        self.escape, self.others = len(words), []
+
+    def __missing__(self, word: bytes) -> int:
+        self.others.append(word)
+        return self.escape
+
+    def __reduce__(self):
+        return Known, (list(self),)
+
+
 class Codes:
     """Dictionary and codes. Symbols of words: dictionary words in order, then escape, then end."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, unknown: float, documents: float):
-        self.known = {w: n for n, w in enumerate(words)}
+        self.known = Known(words)
         self.counts = counts
         self.escape, self.end = len(words), len(words) + 1
         self.words = Huffman(np.concatenate((counts, [max(unknown, 0.5), max(documents, 0.5)])))
@@ -179,7 +193,10 @@ class Decisions:
     def count(self, tables: list[np.ndarray]) -> None:
         bit = self.code.bit.take(self.at)
         for t, slot in zip(tables, self.slots):
-            np.add.at(t, slot.astype(np.intp) * 2 + bit, np.int32(1))
+            place = slot.astype(np.intp)
+            place <<= 1
+            place |= bit
+            np.add.at(t, place, np.int32(1))
 
     def tally(self, cells: np.ndarray, classes: tuple[np.ndarray, np.ndarray]) -> None:
         """Adds each decision to its cell: classes of both slots, step of the odds, bit."""
@@ -194,11 +211,10 @@ class Decisions:
 
 def to_symbols(text: bytes, codes: Codes) -> tuple[list[int], Counter]:
     """The text's symbols, end included, and how often each word outside the dictionary occurs."""
-    words = text.translate(LOWER).split()
-    found = list(map(codes.known.get, words, repeat(codes.escape)))
-    rare = Counter(compress(words, map(codes.escape.__eq__, found))) if codes.escape in found else Counter()
+    codes.known.others = others = []
+    found = list(map(codes.known.__getitem__, text.translate(LOWER).split()))
     found.append(codes.end)
-    return found, rare
+    return found, Counter(others)
 
 
 def repeats(counts: list[int]) -> float:
@@ -254,9 +270,13 @@ def spelling(words: pa.Array, code: Huffman, bits: int) -> tuple[Decisions, np.n
     inner[last] = False
     b[inner] = np.frombuffer(words.buffers()[2], np.uint8)[edge[0] : edge[-1]]
     owner = np.repeat(np.arange(len(words), dtype=np.intp), n)
-    inside = np.arange(len(b)) - (last - n + 1)[owner]
-    none = np.uint32(300)
-    past = [np.where(inside >= k, np.concatenate((np.full(k, none), b[:-k]))[: len(b)], none) for k in (1, 2, 3, 4)]
+    first, past = last - n + 1, [b]
+    for _ in range(4):  # the symbol before each, and the three before that one
+        p = np.empty_like(b)
+        p[1:] = past[-1][:-1]
+        p[first] = 300
+        past.append(p)
+    del past[0]
     c1 = _mix(past[0] * np.uint32(512) + past[1], 11)
     c2 = _mix(c1, past[2] * np.uint32(512) + past[3])
     d = Decisions(code, b, c1, c2, None, None, 1, bits, 1)
@@ -272,10 +292,9 @@ def _quantised(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (conf << np.uint16(9)) | q
 
 
-#: Log odds by slot code; the same turned so that large is right, by slot code and the bit above it; gates by the first's code.
+#: Log odds by slot code; the same turned so that large is right, by slot code and the bit above it.
 _ODDS = np.tile(((np.arange(512) * (2 * _LIMIT / 511)) - _LIMIT).astype(np.float32), 1 << 4)
 _TURNED = np.concatenate((-_ODDS, _ODDS))
-_FIRST_GATE = (np.arange(1 << _CODE_BITS) >> 9) * _CONF
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,10 +330,9 @@ def mixed(d: Decisions, tables: tuple[np.ndarray, np.ndarray], weights: np.ndarr
     # a dtype that was sent to a worker isn't numpy's own object, without which add.at is several times slower
     w = [np.tile(weights[:, i], d.lanes).astype(np.float32) for i in range(_INPUTS)]
     q = [t.take(slot) for t, slot in zip(tables, d.slots)]
-    gate = _FIRST_GATE.take(q[0])
-    gate += q[1] >> np.uint16(9)
-    if d.lane is not None:
-        gate += d.lane
+    pair = (q[0] >> np.uint16(9)) * np.uint16(_CONF)
+    pair += q[1] >> np.uint16(9)
+    gate = pair.astype(np.intp) if d.lane is None else pair + d.lane
     above = d.code.above.take(d.at)
     for x in q:
         x |= above
@@ -373,7 +391,7 @@ def count_words(d: DataFrame, most: int = 1 << 18) -> DataFrame:
                     yield rows()
         yield rows()
 
-    return d.select("held_out", "_x").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return d.select("held_out", "_x").mapInArrow(released(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -631,7 +649,8 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, table_bits: i
     def score(batches):
         c = np.concatenate((codes.value.counts, [0, documents]))  # by symbol; words outside the dictionary are looked up later
         logs = np.log10(c + 1)
-        for b in _groups(batches):
+        # texts of like length are read together, so that few steps have only some of them
+        for b in _groups(b.take(pc.sort_indices(pc.binary_length(b.column(b.num_columns - 1)))) for b in batches):
             t = Texts([np.frombuffer(x, "<i4") for x in b.column(b.num_columns - 1).to_pylist()], codes.value, table_bits)
             lanes = b.num_rows
             bits = np.bincount(t.order, t.decisions.by_symbol(mixed(t.decisions, tables.value, start)[0]), minlength=lanes)
@@ -642,7 +661,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, table_bits: i
 
     done = coded.select("_key", "doc_id", "held_out", "n_bytes", "again", "symbols").mapInArrow(score, f"_key long, doc_id {kind}, held_out boolean, n_bytes long, n_tokens long, known long, logs double, bits double")
     # words outside the dictionary: joined with their counts and spellings by word, summed by document
-    rare = coded.select("_key", F.explode("rare").alias("_r")).select("_key", "_r.word", "_r.k").join(rest, "word")
+    rare = coded.select("_key", F.explode("rare").alias("_r")).select("_key", "_r.word", "_r.k").join(rest.hint("shuffle_hash"), "word")  # each word once: not sorted
     rare = rare.groupBy("_key").agg(F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("_k"), F.sum(F.col("k") * F.log10(F.col("n") + F.lit(1.0))).alias("_l"), F.sum("spelt").alias("_b"))
     out = done.join(rare, "_key", "left")
     base = F.col("logs") + F.coalesce("_l", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
