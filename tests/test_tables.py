@@ -140,6 +140,39 @@ def test_table_with_an_index(spark, tmp_path, kind):
     assert t.query(q, 3).count() == 0 and t.count() == 0
 
 
+def test_small_graphs_are_mended_in_memory(spark, tmp_path, monkeypatch):
+    """A compaction mends a small graph in memory, by few jobs, to the same edges as by joins."""
+    rng = np.random.default_rng(21)
+    v = rng.normal(size=(420, 6))
+    made, jobs, metric = [], [], "cosine"
+    for most in (graph.WHOLE_ROWS, 0):
+        t = VectorTable.create(spark, str(tmp_path / f"t{most}"), {"dim": 6, "metric": metric, "max_edges": 8, "max_add_edges": 2, "beam_width": 6, "update_search_list_cap": 30})
+        t.insert(rows(spark, [(f"k{n}", x.tolist()) for n, x in enumerate(v[:300])]))
+        t.build_index("graph")
+        t.insert(rows(spark, [(f"k{n}", x.tolist()) for n, x in enumerate(v) if n >= 280]))
+        t.delete(spark.createDataFrame([(f"k{n}",) for n in range(0, 300, 6)], "key string"))
+        monkeypatch.setattr(graph, "WHOLE_ROWS", most)
+        spark.sparkContext.setJobGroup(str(tmp_path / f"{most}"), "")
+        done = t.compact()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(tmp_path / f"{most}"))))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        index = t._current()["index"]
+        nodes, edges = t._read("index", index["name"], "nodes"), t._read("index", index["name"], "edges")
+        assert tuple(graph.check_graph(edges, nodes, 10).first()) == (0, 0, 0, 0) and nodes.count() == done["rows"] == 370
+        made.append((done, t.entry_key(), sorted(tuple(r) for r in edges.collect())))
+    assert made[0] == made[1]
+    assert jobs[0] <= 40 < jobs[1]
+
+
+def test_table_by_graph_breaks_ties_by_number(spark, tmp_path):
+    """Copies of a vector come in the order of their keys as numbers, as in the query's SQL."""
+    from vecloom import queries
+
+    spark.range(40).selectExpr("id as vec_id", "transform(sequence(1, 64), x -> float(x)) as embedding", "1 as label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    keys = [r.key for r in queries.table_by_graph(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert len(keys) == 10 and keys == sorted(keys)
+
+
 def test_stored_codes(spark, tmp_path):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(300, 8))

@@ -5,9 +5,10 @@ A log has rows (seq, op, key, vector): op is "insert" (an upsert), "delete", or
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..errors import IndexFull, KeyAlreadyExists
 from ..sources.scratch import kept
@@ -23,7 +24,11 @@ def latest(log: DataFrame) -> DataFrame:
 def upsert(base: DataFrame, log: DataFrame) -> DataFrame:
     """base (key, vector) after the log's changes: rows that it doesn't name, and the last insert of each key whose last
     change isn't a delete."""
-    last = latest(log)
+    return replace(base, latest(log))
+
+
+def replace(base: DataFrame, last: DataFrame) -> DataFrame:
+    """upsert by the last change of each key."""
     return base.select("key", "vector").join(last.select("key"), "key", "left_anti").unionByName(last.where("op != 'delete'").select("key", "vector"))
 
 
@@ -67,12 +72,15 @@ def counts(base: DataFrame, tombstones: DataFrame) -> DataFrame:
     return d.agg(total.alias("total"), gone.alias("deleted"), (total - gone).alias("live"), n.cast("long").alias("next_id"))
 
 
-def with_ids(rows: DataFrame, start: int = 1) -> DataFrame:
-    """rows with `id`: dense numbers from `start` in the order of their keys. Sorted in ranges; offsets of the ranges come from their sizes."""
+def with_ids(rows: DataFrame, start: int = 1, few: bool = False) -> DataFrame:
+    """rows with `id`: dense numbers from `start` in the order of their keys. Sorted in ranges; offsets of the ranges come from
+    their sizes. few: one task sorts and numbers them, without other jobs."""
+    if few:
+        return rows.repartition(1).sortWithinPartitions("key").withColumn("id", F.monotonically_increasing_id() + start)
     parts = rows.repartitionByRange("key").sortWithinPartitions("key").withColumn("_m", F.monotonically_increasing_id())
     shift = F.lit(1 << 33)
     parts = parts.withColumn("_p", F.floor(F.col("_m") / shift)).withColumn("_o", F.col("_m") % shift).drop("_m")
     parts = kept(parts)
-    sizes = parts.groupBy("_p").count()
-    before = sizes.withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    return parts.join(before, "_p").withColumn("id", F.col("_b") + F.col("_o") + start).drop("_p", "_o", "_b")
+    sizes = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}  # as many as ranges
+    before = list(accumulate((sizes.get(p, 0) for p in range(max(sizes, default=0))), initial=start))
+    return parts.withColumn("id", F.element_at(F.lit(before).cast("array<long>"), (F.col("_p") + 1).cast("int")) + F.col("_o")).drop("_p", "_o")

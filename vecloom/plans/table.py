@@ -31,6 +31,9 @@ from ..sources.scratch import kept
 
 _ROW = "key string, vector array<float>"
 
+#: Of an index's tables.
+_SCHEMAS = {"nodes": f"id long, {_ROW}", "edges": "src long, dst long"}
+
 
 @dataclasses.dataclass
 class Config:
@@ -112,7 +115,11 @@ class _Files:
         return done
 
     def read(self, *parts: str) -> str:
-        return "\n".join(r.value for r in self.spark.read.text("/".join((self.root, *parts))).collect())
+        file = self.fs().open(self.path(*parts))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+        finally:
+            file.close()
 
 
 class VectorTable:
@@ -157,7 +164,8 @@ class VectorTable:
         return {"generation": n, **json.loads(self._files.read("current", str(n)))}
 
     def _read(self, *parts: str) -> DataFrame:
-        return self.spark.read.parquet("/".join((self.path, *parts)))
+        known = self.spark.read.schema(_SCHEMAS[parts[-1]]) if parts[-1] in _SCHEMAS else self.spark.read
+        return known.parquet("/".join((self.path, *parts)))
 
     def _batches(self, state: dict) -> list[str]:
         """Folders of the whole batches that a generation hasn't taken in."""
@@ -259,16 +267,17 @@ class VectorTable:
             return None
         last = kept(mutate.latest(self._changes(batches)))
         name = uuid.uuid4().hex
-        mutate.upsert(self._base(state), last).write.parquet(f"{self.path}/base/{name}")
-        rows = self._read("base", name)
+        mutate.replace(self._base(state), last).write.parquet(f"{self.path}/base/{name}")
+        rows = self._base({"base": name})
         # what the last generation took in may still lie there, and must not count again
         new = {"base": name, "folded": batches + state["folded"], "rows": rows.count()}
-        found = {"rows": new["rows"], "deleted": last.where("op = 'delete'").count(), "changed": last.where("op != 'delete'").count(), "touched": 0}
+        deleted, changed = last.agg(F.count_if(F.col("op") == "delete"), F.count_if(F.col("op") != "delete")).first()
+        found = {"rows": new["rows"], "deleted": deleted, "changed": changed, "touched": 0}
         if state.get("index"):
             if state["index"]["kind"] == "cells":
                 new["index"] = self._cells(rows, state["index"]["cells"])
             else:
-                new["index"], found["touched"] = self._mended(state["index"]["name"], last)
+                new["index"], found["touched"] = self._mended(state["index"]["name"], last, changed)
         if state.get("codes") or new["rows"] > self.config.compression_threshold:
             new["codes"] = self._encoded(rows)
         if not self._files.publish(json.dumps(new), "current", str(state["generation"] + 1)):
@@ -300,16 +309,15 @@ class VectorTable:
         max_edges and distance_threshold, or "cells", rows by their nearest of `cells` centroids."""
         self.compact()
         state = self._current()
-        rows = kept(self._base(state))
+        rows = self._base(state)
         if kind == "cells":
-            index = self._cells(rows, cells)
+            index = self._cells(kept(rows), cells)
         elif kind == "graph":
             name, c = uuid.uuid4().hex, self.config
-            nodes = mutate.with_ids(rows).select("id", "key", "vector")
+            nodes = mutate.with_ids(rows, few=self._few(state.get("rows"))).select("id", "key", "vector")
             nodes.write.parquet(f"{self.path}/index/{name}/nodes")
             nodes = self._read("index", name, "nodes")
-            entry = graph.medoid(nodes, c.metric) if nodes.limit(1).count() else None
-            edges = graph.link(graph.candidates(nodes, c.max_edges, c.metric), nodes, c.distance_threshold, c.max_edges, c.metric, entry=entry)
+            edges, entry = graph.built(nodes, c.max_edges, c.distance_threshold, c.max_edges, c.metric)
             edges.select("src", "dst").write.parquet(f"{self.path}/index/{name}/edges")
             index = {"kind": kind, "name": name, "entry": entry}
         else:
@@ -328,15 +336,24 @@ class VectorTable:
         index.save(self.spark, f"{self.path}/index/{name}/centroids")
         return {"kind": "cells", "name": name, "cells": cells}
 
-    def _mended(self, name: str, last: DataFrame) -> tuple[dict, int]:
-        """A graph after changes: (its entry in the generation, nodes whose edges changed)."""
+    def _few(self, rows: int | None) -> bool:
+        """Whether so many rows are few enough for one task, as for a graph in memory."""
+        return rows is not None and rows <= graph.WHOLE_ROWS and rows * self.config.dim * 8 <= graph.WHOLE_BYTES
+
+    def _mended(self, name: str, last: DataFrame, changed: int) -> tuple[dict, int]:
+        """A graph after changes, `changed` of them new rows: (its entry in the generation, nodes whose edges changed)."""
         c, new = self.config, uuid.uuid4().hex
         nodes, edges = self._read("index", name, "nodes"), self._read("index", name, "edges")
-        gone = kept(nodes.join(last.select("key"), "key", "left_semi").select("id"))
         shift = nodes.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
-        fresh = kept(mutate.with_ids(last.where("op != 'delete'").select("key", "vector"), shift).select("id", "key", "vector"))
-        live = nodes.join(gone, "id", "left_anti")
+        fresh = mutate.with_ids(last.where("op != 'delete'").select("key", "vector"), shift, self._few(changed)).select("id", "key", "vector")
+        live = nodes.join(last.select("key"), "key", "left_anti")
         live.select("id", "key", "vector").unionByName(fresh).write.parquet(f"{self.path}/index/{new}/nodes")
+        done = graph.mended(edges, self._read("index", new, "nodes"), shift, c.distance_threshold, c.max_edges, c.max_add_edges, c.metric, c.update_search_list_cap, c.beam_width)
+        if done is not None:
+            after, entry, touched = done
+            after.select("src", "dst").write.parquet(f"{self.path}/index/{new}/edges")
+            return {"kind": "graph", "name": new, "entry": entry}, touched
+        gone, fresh = kept(nodes.join(last.select("key"), "key", "left_semi").select("id")), kept(fresh)
         before = kept(graph.compact_edges(edges, gone, nodes, c.distance_threshold, c.max_edges, c.metric))
         nodes = self._read("index", new, "nodes")
         after = graph.extend(before, nodes, fresh, c.distance_threshold, c.max_edges, c.max_add_edges, c.metric, c.update_search_list_cap, c.beam_width)

@@ -337,12 +337,12 @@ def table_query(spark, sf_dir):
     return d.select("qid", "rank", F.col("key").cast("long").alias("key"), F.round("distance", 4).alias("distance"))
 
 
-def _changed(spark, sf_dir, config=None):
-    """A table on disk after inserts, an update, deletes, compactions and changes since."""
+def _changed(spark, sf_dir, config=None, named=lambda d: d):
+    """A table on disk after inserts, an update, deletes, compactions and changes since. named: gives rows the table's keys."""
     b = _base(spark, sf_dir)
     t = VectorTable.create(spark, scratch(spark), {"dim": 64, "metric": "cosine"} | (config or {}))
-    t.insert(b.where("key % 2 = 0"))
-    t.insert(b.where("key % 5 = 0").withColumn("vector", F.transform("vector", lambda x: -x)))
+    t.insert(named(b.where("key % 2 = 0")))
+    t.insert(named(b.where("key % 5 = 0").withColumn("vector", F.transform("vector", lambda x: -x))))
     return b, t
 
 
@@ -356,13 +356,18 @@ def table_on_disk(spark, sf_dir):
 
 
 def table_by_graph(spark, sf_dir):
-    """The same by the table's graph, mended by a compaction, with a search wide enough to be exact."""
-    b, t = _changed(spark, sf_dir, {"query_search_list_cap": WIDE, "beam_width": 64, "max_edges": 24})
+    """The same by the table's graph, mended by a compaction, with a search wide enough to be exact. Keys are padded, so that
+    the table, whose keys are strings, breaks ties as numbers do."""
+
+    def named(d):
+        return d.withColumn("key", F.format_string("%019d", "key"))
+
+    b, t = _changed(spark, sf_dir, {"query_search_list_cap": WIDE, "beam_width": 64, "max_edges": 24}, named)
     t.build_index("graph")
-    t.insert(b.where("key % 2 = 1 and key % 3 = 0 or key % 5 = 0"))
-    t.delete(b.where("key % 7 = 0").select("key"))
+    t.insert(named(b.where("key % 2 = 1 and key % 3 = 0 or key % 5 = 0")))
+    t.delete(named(b.where("key % 7 = 0").select("key")))
     t.compact()
-    t.insert(b.where("key % 2 = 1 and key % 7 <> 0"))
+    t.insert(named(b.where("key % 2 = 1 and key % 7 <> 0")))
     d = VectorTable.open(spark, t.path).query(_queries(b), K)
     return d.select("qid", "rank", F.col("key").cast("long").alias("key"), F.round("distance", 4).alias("distance"))
 
